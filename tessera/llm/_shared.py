@@ -94,14 +94,16 @@ def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    return to_arrow_schema(StructType.fromDDL(ddl), timezone="UTC")
+    return to_arrow_schema(StructType.fromDDL(ddl))
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list] | None]], ddl: str, sized: str | None = None) -> DataFrame:
     """mapInArrow in bounded slices. ``make`` runs once a task and gives the function from a slice to columns."""
 
+    schema = arrow_schema(ddl)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, f = arrow_schema(ddl), make()
+        f = make()
         for batch in batches:
             for part in slices(batch, sized):
                 if (out := f(part)) is not None:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality_rules, url_filters
+from tessera.llm import license_scan, packing, pii, quality_rules, token_counts, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
+    "op4_packing": packing.op4_packing,
+    "op5_token_counts": token_counts.op5_token_counts,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_license_scan": license_scan.op8_license_scan,
+    "op9_pii": pii.op9_pii,
 }
 ORACLE_SQL = {
     "op1_url_filters": url_filters.SQL,
