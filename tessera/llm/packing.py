@@ -4,7 +4,8 @@ The documents of a task form one stream of tokens in their order, which blocks o
 windows are cut at document or sentence boundaries, or at a higher penalty every few tokens of a sentence, minimising
 padding plus the penalties. With f(j) the least cost of the stream's first c_j
 tokens, f(j) = penalty(j) + size - c_j + min(f(i) + c_i) over the i with c_j - c_i <= size, and the minimum over that
-sliding window is kept by a monotone queue. A block's last windows are left to the next block. What a task's last window
+sliding window is kept by a monotone queue. A block ends where
+its cost a token is least; what follows is left to the next block. What a task's last window
 leaves over is dealt into sequences whose lengths are powers of two, which need no padding.
 
 Null texts are empty documents: they hold the end id alone. Empty tables give no rows; repeated rows are packed each.
@@ -30,13 +31,16 @@ TOKENIZER, SIZE, END = "word_bpe_49k.json", 4096, 2
 SENTENCE_CUT, HARD_CUT = 4, 24
 #: Tokens between the places where a sentence may be cut.
 STEP = 32
-#: Windows of a block, and those of its end that the next block decides anew.
+#: Windows of a block, and those of its end among which it is cut.
 BLOCK, LEFT = 64, 2
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def cuts(positions: np.ndarray, penalties: np.ndarray, size: int) -> list[int]:
-    """Indices into positions (ascending from 0, gaps of size at most) of the cheapest cuts; the first and last are among them."""
+def cuts(positions: np.ndarray, penalties: np.ndarray, size: int, left: int = 0) -> list[int]:
+    """Indices into positions (ascending from 0, gaps of size at most) of the cheapest cuts, the first and last among them.
+
+    With left, the end is where the cost a token is least within the last ``left`` positions' tokens.
+    """
     at, pen = positions.tolist(), penalties.tolist()
     cost, back = [0.0] * len(at), [0] * len(at)
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])  # (f(i) + c_i, i), values ascending
@@ -51,6 +55,8 @@ def cuts(positions: np.ndarray, penalties: np.ndarray, size: int) -> list[int]:
             queue.pop()
         queue.append((value, j))
     found, j = [], len(at) - 1
+    if left:
+        j = min((k for k in range(1, len(at)) if at[k] >= at[-1] - left), key=lambda k: cost[k] / at[k])
     while j > 0:
         found.append(j)
         j = back[j]
@@ -94,15 +100,13 @@ class Packer:
         lengths = np.array([len(ids) - done for _, ids, done in self.docs])
         stream = np.concatenate([ids[done:] for _, ids, done in self.docs])
         at, penalties = candidates(stream, np.cumsum(lengths), self.sentence_ends, self.size)
-        bounds = at[cuts(at, penalties, self.size)].tolist()
+        bounds = at[cuts(at, penalties, self.size, 0 if last else LEFT * self.size)].tolist()
         if last:
             rest = bounds[-1] - bounds[-2]
             for bit in reversed(range(rest.bit_length())):  # the last window by powers of two
                 if rest >> bit & 1 and rest != 1 << bit:
                     bounds.insert(-1, bounds[-2] + (1 << bit))
                     rest -= 1 << bit
-        else:
-            bounds = bounds[: -1 - LEFT]
         self.emit(bounds)
 
     def emit(self, bounds: list[int]) -> None:
