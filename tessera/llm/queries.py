@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, license_scan, packing, pii, quality_rules, token_counts, url_filters
+from tessera.llm import decontaminate, license_scan, ngram_join, packing, pii, quality_rules, token_counts, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_packing": packing.op4_packing,
     "op5_token_counts": token_counts.op5_token_counts,
