@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, license_scan, ngram_join, packing, pii, quality_rules, token_counts, url_filters
+from tessera.llm import decontaminate, html_extract, license_scan, ngram_join, packing, pii, quality_rules, token_counts, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_pii": pii.op9_pii,
+    "op10_html_extraction": html_extract.op10_html_extraction,
 }
 ORACLE_SQL = {
     "op1_url_filters": url_filters.SQL,
