@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, html_extract, license_scan, ngram_join, packing, pii, quality_rules, token_counts, url_filters
+from tessera.llm import decontaminate, html_extract, license_scan, ngram_join, packing, pii, quality_rules, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_packing": packing.op4_packing,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_pii": pii.op9_pii,
