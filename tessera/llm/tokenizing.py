@@ -12,7 +12,7 @@ import re
 import numpy as np
 
 #: Pieces that each of a memo's two generations holds; the older one goes when the younger is full.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 600_000
 
 
 def load(path: str):
@@ -28,9 +28,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _splits_off(piece: str) -> bool:
-    """A final comma or full stop after a letter is a pre-token of its own."""
-    return len(piece) > 1 and piece[-1] in ".," and piece[-2].isalpha()
+#: Marks that, in a row after a letter, are one pre-token of their own at a piece's end.
+MARKS = ".,!?*#%$&;:\"()|<>"
+
+
+def _base(piece: str) -> str:
+    """The piece without the marks at its end, if a letter stands before them; else the piece."""
+    base = piece.rstrip(MARKS)
+    return base if base and base[-1].isalpha() else piece
 
 
 def _byte_letters() -> list[str]:
@@ -47,14 +52,11 @@ class _Memo:
         self.tokenizer = load(path)
         self.model, self.young, self.old = self.tokenizer.model, {}, {}
         self.letters = _byte_letters()
-        self.ends = {c: self.value(self.encode_whole(c)) for c in ".,"}
+        self.marks: dict = {}
 
     def value(self, ids: list[int]):
         raise NotImplementedError
 
-    def plus(self, a, b):
-        return a + b
-
     def encode_whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -77,10 +79,14 @@ class _Memo:
                 continue
             if p in old:
                 young[p] = old[p]
-            elif _splits_off(p):
-                base = p[:-1]
+            elif len(base := _base(p)) < len(p):
                 v = young[base] if base in young else old[base] if base in old else self._one(base)
-                young[base], young[p] = v, self.plus(v, self.ends[p[-1]])
+                end = p[len(base) :]
+                if end not in self.marks:
+                    if len(self.marks) > 10_000:
+                        self.marks.clear()
+                    self.marks[end] = self.value(self.encode_whole(end))
+                young[base], young[p] = v, v + self.marks[end]
             else:
                 young[p] = self._one(p)
 
@@ -105,7 +111,7 @@ class WordIds(_Memo):
         return text.split()
 
     def value(self, ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return b"".join([i.to_bytes(4, "little") for i in ids])
 
     def written(self, piece: str) -> str | None:
         if piece.isascii():
