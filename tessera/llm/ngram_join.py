@@ -403,6 +403,19 @@ def _filter_words(ids: DataFrame, key: str) -> np.ndarray:
     return out
 
 
+def _by_filter(rows: DataFrame, key: str, bits, inside: bool) -> DataFrame:
+    """The rows whose key's bit is set, or is not; without a shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            bit = batch.column("_bit").to_numpy(zero_copy_only=False)
+            found = ((bits.value[bit // 32] >> (bit % 32).astype(np.uint32)) & np.uint32(1)).astype(bool)
+            yield batch.filter(pa.array(found == inside)).drop_columns(["_bit"])
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.withColumn("_bit", F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(FILTER_BITS))).mapInArrow(run, ddl)
+
+
 def _needed_sets(n: int):
     def make():
         shingler = Shingler(n)
@@ -444,15 +457,7 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
     needed = lists.select("node").distinct().join(nodes, "node")
     needed = stages.write(needed, "needed")
     bits = spark.sparkContext.broadcast(_filter_words(needed, "rep"))
-    place = F.pmod(F.xxhash64("_key"), F.lit(FILTER_BITS)).alias("_bit")
-
-    def inside(batches):
-        for batch in batches:
-            bit = batch.column("_bit").to_numpy(zero_copy_only=False)
-            ok = (bits.value[bit // 32] >> (bit % 32).astype(np.uint32)) & np.uint32(1)
-            yield batch.filter(pa.array(ok.astype(bool)))
-
-    passed = known.select("_key", "_text", place).mapInArrow(inside, "_key long, _text string, _bit long")
+    passed = _by_filter(known, "_key", bits, inside=True)
     sets = map_rows(passed, _needed_sets(n), "doc_id long, node long, grams binary", sized="_text")
     sets = sets.join(needed.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select("node", "grams")
     sets = stages.write(sets, "sets")
@@ -500,8 +505,12 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
 def deduplicate(docs: DataFrame, key: str = "doc_id", n: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component (that of the least key), as it is, and all documents without words."""
     found = ngram_join(docs, key=key, n=n, percent=percent)
-    gone = found.filter(F.col("component_id") != F.col(key)).select(key).distinct()
-    return docs.join(gone, key, "left_anti")
+    stages = Stages(docs.sparkSession, "duplicates")
+    gone = stages.write(found.filter(F.col("component_id") != F.col(key)).select(F.col(key).alias("_gone")).distinct(), "gone")
+    # most documents pass by the filter alone; only the rest are shuffled for the exact answer
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_words(gone, "_gone"))
+    rest = _by_filter(docs, key, bits, inside=True)
+    return _by_filter(docs, key, bits, inside=False).union(rest.join(gone, rest[key] == gone["_gone"], "left_anti"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,9 @@ from tessera.llm._shared import Stages, table
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Lower posterior bound of a domain's failure rate from which all its documents go.
 HOST_LIMIT, HOST_Z, SALTS = 0.9, 3.0, 16
+#: Rejected domains up to this number are broadcast.
+BROADCAST_DOMAINS = 100_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_OURS = {*COUNTS, "base_failed", "failed", "host_bound", "kept", "_t", "_w", "_g", "_l", "_d", "_h", "_salt"}
 
 
 def _repeat_words(grams: Column) -> Column:
@@ -71,7 +72,7 @@ def host_bounds(counts: DataFrame, z: float = HOST_Z) -> DataFrame:
     return c.select("_h", (a / (a + b) - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1.0)))).alias("host_bound"))
 
 
-def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", limit: float = HOST_LIMIT, z: float = HOST_Z, keep_text: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", limit: float = HOST_LIMIT, z: float = HOST_Z) -> DataFrame:
     """key and host, the counts, base_failed, host_bound and kept of each document.
 
     The counts are written once to the shared folder, as they feed both the domains' sums and the result.
@@ -87,11 +88,25 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", key
     return joined.select(F.col(f"c.{key}").alias(key), F.col("c._h").alias(host), *[F.col(f"c.{c}") for c in COUNTS], "base_failed", "host_bound", (~F.col("base_failed") & ~F.coalesce(F.col("host_bound") > limit, F.lit(False))).alias("kept"))
 
 
-def keep(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, as they are; a document goes if any row of its doc_id fails."""
-    judged = quality_rules(docs)
-    bad = judged.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+def keep(docs: DataFrame, limit: float = HOST_LIMIT, z: float = HOST_Z) -> DataFrame:
+    """The documents that the rules keep, as they are. Domains are judged first; then each row is judged where it stands.
+
+    Rejected domains are broadcast if they are few, and joined over salts if not.
+    """
+    counted = with_counts(docs.select(F.col("source").alias("_h"), "text"))
+    sums = counted.groupBy("_h").agg(F.count("*").cast("double").alias("n"), F.count_if("base_failed").cast("double").alias("k"))
+    bad = Stages(docs.sparkSession, "quality").write(host_bounds(sums, z).filter(F.col("host_bound") > limit).select("_h"), "domains")
+    few = bad.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("_h")), F.lit(0)).alias("chars")).first()
+    # as a generator's output the verdict is made once a row; a filter on it alone would be pushed into the lists' lambdas
+    judged = with_counts(docs).select(*docs.columns, F.explode(F.array("base_failed")).alias("_failed"))
+    passed = judged.filter(~F.col("_failed")).select(*docs.columns)
+    if not few.n:
+        return passed
+    if few.n <= BROADCAST_DOMAINS and few.chars <= 40 * BROADCAST_DOMAINS:
+        return passed.join(F.broadcast(bad), passed["source"].eqNullSafe(bad["_h"]), "left_anti")
+    salted = bad.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    passed = passed.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return passed.join(salted, passed["source"].eqNullSafe(salted["_h"]) & (F.col("_salt") == F.col("_s")), "left_anti").select(*docs.columns)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
