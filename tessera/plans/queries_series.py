@@ -17,11 +17,11 @@ QUERIES, ORACLE_SQL = query.queries, query.sql
 _F = W[:-1]
 
 
-@query(f"SELECT event_id, round(sum(value) OVER {_F} ROWS UNBOUNDED PRECEDING), 4) AS add, min(value) OVER {_F} ROWS UNBOUNDED PRECEDING) AS min, max(value) OVER {_F} ROWS UNBOUNDED PRECEDING) AS max, round(avg(value) OVER {_F} ROWS UNBOUNDED PRECEDING), 9) AS mean, round(coalesce(var_samp(value) OVER {_F} ROWS UNBOUNDED PRECEDING), 0), 9) AS variance, round(sum(value - 10) OVER {_F} ROWS UNBOUNDED PRECEDING), 4) AS centred FROM events")
+@query(f"SELECT event_id, round(sum(value) OVER {_F} ROWS UNBOUNDED PRECEDING), 4) AS add, min(value) OVER {_F} ROWS UNBOUNDED PRECEDING) AS min, max(value) OVER {_F} ROWS UNBOUNDED PRECEDING) AS max, round(avg(value) OVER {_F} ROWS UNBOUNDED PRECEDING), 9) AS mean, round(sqrt(coalesce(var_samp(value) OVER {_F} ROWS UNBOUNDED PRECEDING), 0)), 5) AS deviation, round(sum(value - 10) OVER {_F} ROWS UNBOUNDED PRECEDING), 4) AS centred FROM events")
 def scans(spark, sf_dir):
     w = windows.ordered("user_id", ORDER)
     s = lambda op, **k: windows.scan(op, "value", w, **k)
-    return t(spark, sf_dir, "events").select("event_id", r(s("add"), 4).alias("add"), s("min").alias("min"), s("max").alias("max"), r(s("mean"), 9).alias("mean"), r(s("variance"), 9).alias("variance"), r(s("centred", ref=10.0), 4).alias("centred"))
+    return t(spark, sf_dir, "events").select("event_id", r(s("add"), 4).alias("add"), s("min").alias("min"), s("max").alias("max"), r(s("mean"), 9).alias("mean"), r(F.sqrt(s("variance")), 5).alias("deviation"), r(s("centred", ref=10.0), 4).alias("centred"))
 
 
 _R = "ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
