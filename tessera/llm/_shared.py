@@ -60,6 +60,13 @@ class Stages:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def free(self) -> None:
+        """Lets Spark remove the shuffle files of what has been written; it does so when the driver's garbage is collected."""
+        import gc
+
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Deletes the tables of these names, or all."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

@@ -3,7 +3,8 @@
 Each document is the set of its distinct n-grams, hashed to 64 bits; equal sets are one node, so copies cost nothing.
 The join is size-aware. Small sets enumerate subsets of fixed sizes: two linked sets share a subset that has the least
 overlap's size, and a key is the hash of such a subset. Large sets enter inverted lists: ordered by how common n-grams
-are in the whole corpus, two linked sets share one of their rarest, so only those are listed. The boundary is the size
+are in the whole corpus, two linked sets share one of their rarest, so only those are listed, and a few more: with e more in
+the lists, linked sets share at least 1 + e, so sets that share less with all others go unseen. The boundary is the size
 up to which enumerating is cheaper than listing, by the mean length of the lists that a set would meet.
 
 Lists are scanned in rounds. First each node is held against the partners with which it shares most keys; linked nodes
@@ -32,13 +33,17 @@ from tessera.llm._shared import LOWER_TABLE, Stages, map_rows, space_words, tabl
 SHINGLE, PERCENT = 4, 85
 #: An n-gram in more lists than this is common and goes behind rarer ones; at most so many are told to the executors.
 COMMON_FROM, MAX_COMMON = 32, 1_000_000
+#: n-grams listed beyond the prefix, in hundredths of the size.
+EXTRA_PERCENT = 4
 #: Sizes beyond this are never enumerated, whatever lists cost.
 MAX_BOUNDARY = 20
 #: Partners by shared keys in the first round; lists up to this length give all their pairs to it.
 FIRST_PARTNERS, SHORT_LIST = 2, 8
 RANDOM_ROUNDS, RANDOM_LAGS = 4, 3
+#: Times that nodes of too few shared keys are taken out of the lists.
+PRUNINGS = 2
 SALTS = 8
-_WORDS_KEPT = 500_000
+_WORDS_KEPT = 250_000
 #: Bits of the filter of the nodes whose sets are needed; of a fixed size, as others only cost time.
 FILTER_BITS = 1 << 26
 
@@ -53,31 +58,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingler:
     """Distinct n-gram hashes of texts, ascending; word hashes are kept in a bounded memo."""
 
     def __init__(self, n: int = SHINGLE):
-        import xxhash
-
-        self.n, self.hash, self.memo = n, xxhash.xxh3_64_intdigest, {}
+        self.n, self.memo = n, _WordHashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = space_words((text or "").encode("utf-8", "surrogatepass").translate(LOWER_TABLE))
         if not words:
             return np.empty(0, _U)
-        memo = self.memo
-        if missing := set(words).difference(memo):
-            if len(memo) + len(missing) > _WORDS_KEPT:
-                memo.clear()
-                missing = set(words)
-            memo.update((w, self.hash(w)) for w in missing)
-        h = np.fromiter(map(memo.__getitem__, words), _U, len(words))
+        if len(self.memo) > _WORDS_KEPT:
+            self.memo.clear()
+        h = np.fromiter(map(self.memo.__getitem__, words), _U, len(words))
         k = min(self.n, len(h))
         total = np.full(len(h) - k + 1, k, _U)
         for i in range(k):
             m = _MULTIPLIERS[i % len(_MULTIPLIERS)] + 2 * (i // len(_MULTIPLIERS))
             total += h[i : len(h) - k + 1 + i] * _U(m)
-        return np.unique(mix(total))
+        total = np.sort(mix(total))
+        return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
 def node_of(s: np.ndarray) -> int:
@@ -90,8 +98,18 @@ def least(n, percent: int = PERCENT):
     return -(-percent * n // 100)
 
 
+def extra(n: int) -> int:
+    """n-grams that are listed beyond the prefix; grows with n."""
+    return n * EXTRA_PERCENT // 100
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - least(n, percent) + 1
+    return n - least(n, percent) + 1 + extra(n)
+
+
+def shared_at_least(n: int, percent: int = PERCENT) -> int:
+    """Listed n-grams that a set shares with any linked one; partners are no smaller than least(n)."""
+    return 1 + extra(least(n, percent))
 
 
 def subset_count(n: int, percent: int = PERCENT) -> int:
@@ -154,19 +172,6 @@ def _signed(parts: list[np.ndarray]) -> pa.Array:
     return pa.array(np.concatenate([np.empty(0, _U), *parts]).view(np.int64), pa.int64())
 
 
-def _headers(n: int):
-    def make():
-        shingler = Shingler(n)
-
-        def run(batch: pa.RecordBatch) -> dict:
-            sets = _sets(batch, shingler)
-            return {"doc_id": batch.column("_key"), "n_shingles": [len(s) for s in sets], "node": [node_of(s) if len(s) else None for s in sets]}
-
-        return run
-
-    return make
-
-
 def _once(seen: set, node: int) -> bool:
     """Whether the task sees the node for the first time, as far as it remembers."""
     if node in seen:
@@ -177,18 +182,25 @@ def _once(seen: set, node: int) -> bool:
     return True
 
 
-def _prefix_counts(n: int, percent: int):
-    """How often each n-gram is among the first of a set by hash alone; those of further sets are as common as these tell."""
+def _first_pass(n: int, percent: int):
+    """A header of each row, and (key, n): how often n-grams are listed when sets are ordered by hash alone."""
 
     def make():
         shingler, seen, keys = Shingler(n), set(), Keys(np.empty(0, _U), np.empty(0, np.int16), 0, percent)
 
-        def run(batch: pa.RecordBatch) -> dict | None:
-            parts = [keys.prefix(s) for s in _sets(batch, shingler) if len(s) and _once(seen, node_of(s))]
-            if not parts:
-                return None
-            found, counts = np.unique(np.concatenate(parts), return_counts=True)
-            return {"key": _signed([found]), "n": pa.array(counts, pa.int64())}
+        def run(batch: pa.RecordBatch) -> dict:
+            sets = _sets(batch, shingler)
+            nodes = [node_of(s) if len(s) else None for s in sets]
+            parts = [keys.prefix(s) for s, k in zip(sets, nodes, strict=True) if k is not None and _once(seen, k)]
+            found, counts = np.unique(np.concatenate([np.empty(0, _U), *parts]), return_counts=True)
+            h, k = len(sets), len(found)
+            return {
+                "doc_id": pa.concat_arrays([batch.column("_key"), pa.nulls(k, pa.int64())]),
+                "n_shingles": pa.concat_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.nulls(k, pa.int64())]),
+                "node": pa.concat_arrays([pa.array(nodes, pa.int64()), pa.nulls(k, pa.int64())]),
+                "key": pa.concat_arrays([pa.nulls(h, pa.int64()), _signed([found])]),
+                "n": pa.concat_arrays([pa.nulls(h, pa.int64()), pa.array(counts, pa.int64())]),
+            }
 
         return run
 
@@ -269,6 +281,18 @@ def _shared_lists(batches):
         last = (k[-1:], v[-1:], s[-1:], end_given)
 
 
+def _pruned(lists: DataFrame, percent: int, small: int) -> DataFrame:
+    """Lists without the nodes that share too few keys to be linked with any, and without lists of one node."""
+    size = F.col("size")
+    low = F.ceil(size * percent / 100.0)
+    wanted = F.when(size <= small, 1).otherwise(1 + F.floor(low * EXTRA_PERCENT / 100))
+    # a partner small enough to have entered by subsets may share one subset only
+    wanted = F.when(low <= small, 1).otherwise(wanted)
+    rich = lists.groupBy("node").agg(F.count("*").alias("k"), F.first("size").alias("size")).filter(F.col("k") >= wanted).select("node")
+    kept = lists.join(rich, "node", "left_semi")
+    return kept.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared_lists, "key long, node long, size int")
+
+
 def _fits(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     a, b = a.astype(np.int64), b.astype(np.int64)
     return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
@@ -319,8 +343,19 @@ def _near_pairs(lists: DataFrame, seed: int, lags: range, percent: int, short: i
     return order.mapInArrow(run, _PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a list in different components. lists: key, node, size, comp; keys of one component are left out."""
+def _sized_pairs(a: list, b: list, m: list) -> pa.RecordBatch:
+    """Pairs, how often each is among these, and the smaller of their sizes."""
+    a, b, m = np.concatenate(a), np.concatenate(b), np.concatenate(m).astype(np.int32)
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((high, low))
+    low, high, m = low[order], high[order], m[order]
+    at = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+    counts = np.diff(np.append(at, len(low)))
+    return pa.RecordBatch.from_arrays([pa.array(low[at]), pa.array(high[at]), pa.array(counts.astype(np.int64)), pa.array(m[at])], names=["a", "b", "n", "m"])
+
+
+def _cross_pairs(lists: DataFrame, percent: int, small: int) -> DataFrame:
+    """All pairs of a list in different components that share enough keys. lists: key, node, size, comp."""
     order = lists.select("key", "node", "size", "comp").repartition("key").sortWithinPartitions("key", "comp")
     step = 2000
 
@@ -329,7 +364,7 @@ def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
             new = np.ones(len(k), bool)
             new[1:] = k[1:] != k[:-1]
             starts = np.append(np.flatnonzero(new), len(k))
-            aa, bb, held = [], [], 0
+            aa, bb, mm, held = [], [], [], 0
             for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 ends = x + np.searchsorted(c[x:y], c[x:y], "right")  # of each row's component; later rows are of others
                 for i0 in range(x, y, step):
@@ -342,18 +377,24 @@ def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
                     ok = _fits(s[i], s[j], percent)
                     aa.append(v[i[ok]])
                     bb.append(v[j[ok]])
+                    mm.append(np.minimum(s[i[ok]], s[j[ok]]))
                     held += len(aa[-1])
                     if held > 500_000:
-                        yield _pair_batch(np.concatenate(aa), np.concatenate(bb))
-                        aa, bb, held = [], [], 0
+                        yield _sized_pairs(aa, bb, mm)
+                        aa, bb, mm, held = [], [], [], 0
             if held:
-                yield _pair_batch(np.concatenate(aa), np.concatenate(bb))
+                yield _sized_pairs(aa, bb, mm)
 
-    return order.mapInArrow(run, _PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    shared = order.mapInArrow(run, _PAIR + ", m int").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("m").alias("m"))
+    # m: the smaller size
+    return shared.filter((F.col("m") <= small) | (F.col("n") > F.floor(F.col("m") * EXTRA_PERCENT / 100))).select("a", "b", "n")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are similar enough. Sets travel to the pairs; no list or node is collected."""
+    """The pairs that are similar enough. Only sets that the filter lets through travel to the pairs."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    bits = pairs.sparkSession.sparkContext.broadcast(_filter_words(asked, "node"))
+    sets = _by_filter(sets, "node", bits, inside=True)
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
 
@@ -421,10 +462,10 @@ def _needed_sets(n: int):
         shingler = Shingler(n)
 
         def run(batch: pa.RecordBatch) -> dict | None:
-            sets = [(k, s) for k, s in zip(batch.column("_key").to_pylist(), _sets(batch, shingler), strict=True) if len(s)]
+            sets = [s for s in _sets(batch, shingler) if len(s)]
             if not sets:
                 return None
-            return {"doc_id": [k for k, _ in sets], "node": [node_of(s) for _, s in sets], "grams": [s.tobytes() for _, s in sets]}
+            return {"node": [node_of(s) for s in sets], "grams": [s.tobytes() for s in sets]}
 
         return run
 
@@ -435,13 +476,16 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
     """key, n_shingles and component_id (the least key of the component) of every row. small: the boundary, else by cost."""
     spark, stages = docs.sparkSession, Stages(docs.sparkSession, "ngram")
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
-    headers = stages.write(map_rows(rows, _headers(n), "doc_id long, n_shingles long, node long", sized="_text"), "headers")
+    first = stages.write(map_rows(rows, _first_pass(n, percent), "doc_id long, n_shingles long, node long, key long, n long", sized="_text"), "first")
+    headers = stages.write(first.filter("key IS NULL").select("doc_id", "n_shingles", "node"), "headers")
     nodes = headers.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"))
     known = rows.filter("_key IS NOT NULL")
 
-    counts = map_rows(known, _prefix_counts(n, percent), "key long, n long", sized="_text").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = first.filter("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"))
     counts = counts.groupBy(F.when(F.col("n") > COMMON_FROM, F.col("key")).alias("key")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"))
     counts = stages.write(counts, "counts")
+    stages.drop("first")
+    stages.free()
     rare = counts.filter("key IS NULL").first()
     if small is None:
         small = boundary(rare.n2 / rare.n if rare else 1.0, percent)
@@ -454,13 +498,15 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
     posted = map_rows(known, _postings(n, told, small, percent), "key long, node long, size int", sized="_text")
     lists = stages.write(posted.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared_lists, "key long, node long, size int"), "lists")
 
-    needed = lists.select("node").distinct().join(nodes, "node")
-    needed = stages.write(needed, "needed")
+    stages.free()
+    for _ in range(PRUNINGS):
+        lists = stages.write(_pruned(lists, percent, small), "lists")
+
+    needed = stages.write(lists.select("node").distinct().join(nodes, "node"), "needed")
     bits = spark.sparkContext.broadcast(_filter_words(needed, "rep"))
+    # rows that the filter lets through by chance give sets that no pair asks for, or a second copy of one
     passed = _by_filter(known, "_key", bits, inside=True)
-    sets = map_rows(passed, _needed_sets(n), "doc_id long, node long, grams binary", sized="_text")
-    sets = sets.join(needed.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select("node", "grams")
-    sets = stages.write(sets, "sets")
+    sets = stages.write(map_rows(passed, _needed_sets(n), "node long, grams binary", sized="_text"), "sets")
 
     # first round: the partners that share most keys
     pairs = _near_pairs(lists, 0, range(1, 3), percent, SHORT_LIST, comps=False)
@@ -470,6 +516,7 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
     done = stages.write(pairs, "pairs")
     links = stages.write(_links(done, sets, percent), "links")
     comp = stages.write(components(links, stages), "components")
+    stages.free()
 
     for turn in range(1, RANDOM_ROUNDS + 2):
         labelled = lists.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -480,7 +527,7 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
         if not row.rows:
             break
         last = turn > RANDOM_ROUNDS or row.cross <= 8 * row.rows
-        pairs = _cross_pairs(labelled, percent) if last else _near_pairs(labelled, turn, range(1, RANDOM_LAGS + 1), percent, None, comps=True)
+        pairs = _cross_pairs(labelled, percent, small) if last else _near_pairs(labelled, turn, range(1, RANDOM_LAGS + 1), percent, None, comps=True)
         pairs = stages.write(pairs.select("a", "b").join(done, ["a", "b"], "left_anti"), "pairs")
         links = _links(pairs, sets, percent)
         found = links.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
