@@ -39,11 +39,17 @@ EXTRA_PERCENT = 4
 MAX_BOUNDARY = 20
 #: Partners by shared keys in the first round; lists up to this length give all their pairs to it.
 FIRST_PARTNERS, SHORT_LIST = 2, 8
-RANDOM_ROUNDS, RANDOM_LAGS = 4, 3
+RANDOM_ROUNDS, RANDOM_LAGS = 2, 3
+#: Lists of more nodes are not enumerated by pairs: their nodes' sets are scanned against blocks of outsiders' sets.
+LONG_LIST = 64
+#: Bytes of n-grams of a block of outsiders.
+BLOCK_BYTES = 8_000_000
 #: Times that nodes of too few shared keys are taken out of the lists.
 PRUNINGS = 2
 SALTS = 8
 _WORDS_KEPT = 250_000
+#: Bits of the filter of repeated n-grams. It only orders n-grams, so it may be too small for a corpus, but then lists grow.
+ORDER_BITS = 1 << 27
 #: Bits of the filter of the nodes whose sets are needed; of a fixed size, as others only cost time.
 FILTER_BITS = 1 << 26
 
@@ -124,27 +130,32 @@ def boundary(mean_list: float, percent: int = PERCENT) -> int:
     return b
 
 
+def bit_of(s: np.ndarray) -> np.ndarray:
+    """The place of an n-gram in the filter of repeated ones; n-grams are hashes already."""
+    return (s ^ (s >> _U(29))) & _U(ORDER_BITS - 1)
+
+
 class Keys:
-    """The keys of a set. common: hashes, ascending, and how common each is (from 1)."""
+    """The keys of a set. common: hashes, ascending, and how common each is (from 2); repeated: a filter of repeated ones (grade 1)."""
 
-    def __init__(self, common: np.ndarray, grades: np.ndarray, small: int, percent: int):
-        self.common, self.grades, self.small, self.percent = common, grades, small, percent
+    def __init__(self, common: np.ndarray, grades: np.ndarray, repeated: np.ndarray | None, small: int, percent: int):
+        self.common, self.grades, self.repeated, self.small, self.percent = common, grades, repeated, small, percent
         self.from_listed = least(small + 1, percent)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(common & _U(0xFFFFF)).astype(np.int64)] = True
 
     def prefix(self, s: np.ndarray) -> np.ndarray:
         length = prefix_length(len(s), self.percent)
-        if len(self.common):
-            at = np.flatnonzero(self.maybe[(s & _U(0xFFFFF)).astype(np.int64)])
-            if len(at):
-                place = np.minimum(np.searchsorted(self.common, s[at]), len(self.common) - 1)
-                is_common = self.common[place] == s[at]
-                if is_common.any():
-                    grade = np.zeros(len(s), np.int16)
-                    grade[at[is_common]] = self.grades[place[is_common]]
-                    return s[np.argsort(grade, kind="stable")[:length]]
-        return s[:length]
+        if self.repeated is None:
+            return s[:length]
+        bit = bit_of(s)
+        grade = ((self.repeated[(bit >> _U(5)).astype(np.int64)] >> (bit & _U(31)).astype(np.uint32)) & np.uint32(1)).astype(np.int16)
+        at = np.flatnonzero(self.maybe[(s & _U(0xFFFFF)).astype(np.int64)])
+        if len(at):
+            place = np.minimum(np.searchsorted(self.common, s[at]), len(self.common) - 1)
+            is_common = self.common[place] == s[at]
+            grade[at[is_common]] = self.grades[place[is_common]]
+        return s[np.argsort(grade, kind="stable")[:length]]
 
     def subsets(self, s: np.ndarray) -> np.ndarray:
         parts = mix(s ^ _U(0x2545F4914F6CDD1D))
@@ -186,7 +197,7 @@ def _first_pass(n: int, percent: int):
     """A header of each row, and (key, n): how often n-grams are listed when sets are ordered by hash alone."""
 
     def make():
-        shingler, seen, keys = Shingler(n), set(), Keys(np.empty(0, _U), np.empty(0, np.int16), 0, percent)
+        shingler, seen, keys = Shingler(n), set(), Keys(np.empty(0, _U), np.empty(0, np.int16), None, 0, percent)
 
         def run(batch: pa.RecordBatch) -> dict:
             sets = _sets(batch, shingler)
@@ -355,12 +366,16 @@ def _sized_pairs(a: list, b: list, m: list) -> pa.RecordBatch:
 
 
 def _cross_pairs(lists: DataFrame, percent: int, small: int) -> DataFrame:
-    """All pairs of a list in different components that share enough keys. lists: key, node, size, comp."""
-    order = lists.select("key", "node", "size", "comp").repartition("key").sortWithinPartitions("key", "comp")
+    """All pairs of a list in different components that share enough keys. lists: key, node, size, comp, far.
+
+    far: 0, 1 for nodes of long lists, 2 for outsiders among those. Pairs of an outsider and another far node are left out;
+    no other pair of different components shares a long list, so the lists at hand hold all keys that the others share.
+    """
+    order = lists.select("key", "node", "size", "comp", "far").repartition("key").sortWithinPartitions("key", "comp")
     step = 2000
 
     def run(batches):
-        for k, v, s, c in _runs(batches, "key", "node", "size", "comp"):
+        for k, v, s, c, f in _runs(batches, "key", "node", "size", "comp", "far"):
             new = np.ones(len(k), bool)
             new[1:] = k[1:] != k[:-1]
             starts = np.append(np.flatnonzero(new), len(k))
@@ -374,7 +389,7 @@ def _cross_pairs(lists: DataFrame, percent: int, small: int) -> DataFrame:
                     i = np.repeat(np.arange(i0, i1), counts)
                     first = np.repeat(np.cumsum(counts) - counts, counts)
                     j = np.repeat(own, counts) + np.arange(len(i)) - first
-                    ok = _fits(s[i], s[j], percent)
+                    ok = _fits(s[i], s[j], percent) & ~((np.minimum(f[i], f[j]) > 0) & (np.maximum(f[i], f[j]) == 2))
                     aa.append(v[i[ok]])
                     bb.append(v[j[ok]])
                     mm.append(np.minimum(s[i[ok]], s[j[ok]]))
@@ -416,6 +431,76 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_rows(joined.select("a", "b", "ga", "gb"), make, "a long, b long", sized="ga")
 
 
+def _between(links: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs of different components that links join."""
+    found = links.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    return found.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct()
+
+
+def _scan(rows: DataFrame, told, percent: int) -> DataFrame:
+    """Pairs of components linked by a row's set and one of the told outsiders' sets, by counting over their inverted lists."""
+
+    def run(batches):
+        values, owners, sizes, comps = told.value
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            new = []
+            for comp, grams in zip(batch.column("comp").to_pylist(), batch.column("grams").to_pylist(), strict=True):
+                s = np.frombuffer(grams, _U)
+                lo, hi = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+                n = hi - lo
+                total = int(n.sum())
+                if not total:
+                    continue
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(total)
+                shared = np.bincount(owners[at], minlength=len(sizes))
+                linked = np.flatnonzero((100 * shared >= percent * (len(s) + sizes - shared)) & (comps != comp))
+                for other in set(comps[linked].tolist()):
+                    pair = (min(comp, other), max(comp, other))
+                    if pair not in seen:
+                        seen.add(pair)
+                        new.append(pair)
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in new], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return rows.select("comp", "grams").mapInArrow(run, "a long, b long")
+
+
+def _last_links(lists: DataFrame, sets: DataFrame, done: DataFrame, comp: DataFrame, stages: Stages, percent: int, small: int) -> DataFrame:
+    """Pairs of components that any link joins. lists: key, node, size, comp of the lists with several components.
+
+    Pairs of short lists are enumerated. In a long list, one of two nodes of different components is an outsider, that is
+    not of the list's largest component; outsiders' sets pass in blocks of bounded bytes, and the sets of all nodes of long
+    lists are scanned against each block.
+    """
+    per = lists.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max_by("comp", F.struct("n", "comp")).alias("main")).filter(F.col("n") > LONG_LIST)
+    far = stages.write(lists.join(per.select("key", "main"), "key").groupBy("node").agg(F.max(F.col("comp") != F.col("main")).alias("outside"), F.first("comp").alias("comp")), "far")
+    flagged = lists.join(far.select("node", F.when(F.col("outside"), 2).otherwise(1).alias("far")), "node", "left").withColumn("far", F.coalesce("far", F.lit(0)))
+    pairs = _cross_pairs(flagged.join(per.select("key"), "key", "left_anti"), percent, small)
+    pairs = stages.write(pairs.select("a", "b").join(done, ["a", "b"], "left_anti"), "pairs")
+    found = _between(_links(pairs, sets, percent), comp)
+    if far.limit(1).count():
+        rows = stages.write(sets.join(far, "node"), "scanned")
+        held, size = [], 0
+
+        def block() -> DataFrame:
+            grams = [np.frombuffer(r.grams, _U) for r in held]
+            lengths = np.array([len(x) for x in grams], np.int64)
+            values, owners = np.concatenate(grams), np.repeat(np.arange(len(grams)), lengths)
+            order = np.argsort(values, kind="stable")
+            told = lists.sparkSession.sparkContext.broadcast((values[order], owners[order], lengths, np.array([r.comp for r in held], np.int64)))
+            return stages.write(_scan(rows, told, percent).distinct(), "links")
+
+        for r in rows.filter("outside").select("comp", "grams").toLocalIterator():
+            held.append(r)
+            size += len(r.grams)
+            if size >= BLOCK_BYTES:
+                found, held, size = found.union(block()), [], 0
+        if held:
+            found = found.union(block())
+    return stages.write(found.distinct(), "links")
+
+
 def components(edges: DataFrame, stages: Stages, a: str = "a", b: str = "b") -> DataFrame:
     """node and comp (its component's least node) of every node of the edges, by alternating large and small stars."""
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
@@ -482,25 +567,34 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
     known = rows.filter("_key IS NOT NULL")
 
     counts = first.filter("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"))
-    counts = counts.groupBy(F.when(F.col("n") > COMMON_FROM, F.col("key")).alias("key")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"))
-    counts = stages.write(counts, "counts")
-    stages.drop("first")
-    stages.free()
-    rare = counts.filter("key IS NULL").first()
+    # the repeated ones serve the filter, the common ones and the lists' mean length
+    repeated = stages.write(counts.filter("n > 1"), "repeated")
+    listed = first.filter("key IS NOT NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    rare = repeated.filter(F.col("n") <= COMMON_FROM).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).alias("n2")).first()
     if small is None:
-        small = boundary(rare.n2 / rare.n if rare else 1.0, percent)
-    common = counts.filter("key IS NOT NULL").select("key", "n").orderBy(F.desc("n"), "key").limit(MAX_COMMON).toPandas().sort_values("key")
+        once = max(1, listed - repeated.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n)
+        small = boundary((once + rare.n2) / (once + rare.n), percent)
+    stages.drop("first")
+    place = F.expr(f"(key ^ shiftrightunsigned(key, 29)) & {ORDER_BITS - 1}L")
+    words = repeated.select(place.alias("bit")).groupBy(F.expr("CAST(shiftright(bit, 5) AS INT)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 31L AS INT))")).alias("bits")).toPandas()
+    marks = np.zeros(ORDER_BITS // 32, np.uint32)
+    marks[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    common = repeated.filter(F.col("n") > COMMON_FROM).orderBy(F.desc("n"), "key").limit(MAX_COMMON).toPandas()
     hashes = common["key"].to_numpy(np.int64).view(_U)
     order = np.argsort(hashes)
-    grades = np.floor(np.log2(np.maximum(common["n"].to_numpy(np.int64), 1))).astype(np.int16)
-    told = spark.sparkContext.broadcast((hashes[order], grades[order]))
+    grades = np.floor(np.log2(np.maximum(common["n"].to_numpy(np.int64), 4))).astype(np.int16)
+    told = spark.sparkContext.broadcast((hashes[order], grades[order], marks))
+    stages.drop("repeated")
+    stages.free()
 
     posted = map_rows(known, _postings(n, told, small, percent), "key long, node long, size int", sized="_text")
     lists = stages.write(posted.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared_lists, "key long, node long, size int"), "lists")
 
     stages.free()
-    for _ in range(PRUNINGS):
-        lists = stages.write(_pruned(lists, percent, small), "lists")
+    for k in range(PRUNINGS):
+        lists = stages.write(_pruned(lists, percent, small), f"lists{k}")
+    stages.drop("lists", *[f"lists{k}" for k in range(PRUNINGS - 1)])
+    stages.free()
 
     needed = stages.write(lists.select("node").distinct().join(nodes, "node"), "needed")
     bits = spark.sparkContext.broadcast(_filter_words(needed, "rep"))
@@ -518,31 +612,34 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
     comp = stages.write(components(links, stages), "components")
     stages.free()
 
+    # random partners first, as most nodes of a group find one; the last round compares all that is left
     for turn in range(1, RANDOM_ROUNDS + 2):
         labelled = lists.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         open_keys = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
         labelled = stages.write(labelled.join(open_keys, "key", "left_semi"), "open")
-        by_comp = labelled.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"))
-        row = by_comp.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("n2")) / 2), F.lit(0.0)).alias("cross")).first()
-        if not row.rows:
+        if not labelled.limit(1).count():
             break
-        last = turn > RANDOM_ROUNDS or row.cross <= 8 * row.rows
-        pairs = _cross_pairs(labelled, percent, small) if last else _near_pairs(labelled, turn, range(1, RANDOM_LAGS + 1), percent, None, comps=True)
-        pairs = stages.write(pairs.select("a", "b").join(done, ["a", "b"], "left_anti"), "pairs")
-        links = _links(pairs, sets, percent)
-        found = links.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-        found = stages.write(found.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct(), "links")
+        last = turn > RANDOM_ROUNDS
+        if last:
+            found = _last_links(labelled, sets, done, comp, stages, percent, small)
+        else:
+            pairs = _near_pairs(labelled, turn, range(1, RANDOM_LAGS + 1), percent, None, comps=True)
+            pairs = stages.write(pairs.select("a", "b").join(done, ["a", "b"], "left_anti"), "pairs")
+            found = stages.write(_between(_links(pairs, sets, percent), comp), "links")
+            done = done.union(pairs)
         merged = components(found, stages).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
         old = comp.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
         fresh = merged.join(comp, F.col("node") == merged["comp"], "left_anti").select(F.col("comp").alias("node"), F.col("to").alias("comp"))
         comp = stages.write(old.union(fresh), "components")
-        done = done.union(pairs)
         if last:
             break
 
     labels = nodes.join(comp, "node", "left")
     least_key = labels.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("rep").alias("component_id"))
     labels = labels.join(least_key, "comp", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
+    labels = stages.write(labels, "labels")
+    stages.drop("lists*", "needed", "sets", "pairs", "links", "stars", "components", "open", "far", "scanned")
+    stages.free()
     labels = labels.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = headers.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")

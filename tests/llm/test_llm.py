@@ -103,14 +103,17 @@ def test_join_against_brute_force(spark, small, documents):
     assert joined(queries.QUERIES["op2_ngram_join"](spark, small)) == brute_components(documents, 4, 85)
 
 
-@pytest.mark.parametrize("small_sets", [None, 0, 14])
-def test_join_of_near_copies(spark, small_sets):
+@pytest.mark.parametrize(("small_sets", "long_list"), [(None, 64), (0, 5), (14, 5)])
+def test_join_of_near_copies(spark, small_sets, long_list, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LONG_LIST", long_list)
+    monkeypatch.setattr(ngram_join, "RANDOM_ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 10_000)
     r = np.random.default_rng(5)
     base = [f"w{i}" for i in r.integers(0, 500, 90)]
     texts = list(ODD)
     for _ in range(60):
         t = list(base)
-        for k in r.integers(0, 90, r.integers(0, 4)):
+        for k in r.integers(0, 90, r.integers(0, 5)):
             t[k] = f"x{r.integers(0, 10**6)}"
         texts.append(" ".join(t))
     for n in range(4, 18):  # small sets, and one that is longer by a word
