@@ -477,3 +477,6 @@ def run(df: DataFrame, chain: str | list[Step], columns: list[str] | None = None
         outputs.append((s.name, value))
         c.using = {}
     return Result(outputs, c.df, lint(steps))
+
+
+from tessera.plans import verbs_more  # noqa: E402,F401  (registers its verbs)

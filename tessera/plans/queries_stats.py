@@ -302,3 +302,17 @@ def kendall_by_segment(spark, sf_dir):
 
     c = t(spark, sf_dir, "customer")
     return series.apply(c, "c_mktsegment", ["c_custkey"], ["c_acctbal", "c_nationkey"], kernels.kendall, ["tau"]).select("c_mktsegment", r("tau").alias("tau"))
+
+
+_DIST = "(SELECT l_linenumber, count(*) FILTER (l_returnflag = 'R') / (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS p, count(*) FILTER (l_returnflag <> 'R') / (SELECT count(*) FROM lineitem WHERE l_returnflag <> 'R') AS q FROM lineitem GROUP BY 1)"
+
+
+@query(f"SELECT round(sum(p * ln(p / q)), 9) AS kl, round(0.5 * sum(p * ln(2 * p / (p + q))) + 0.5 * sum(q * ln(2 * q / (p + q))), 9) AS js, round(-sum(p * ln(q)), 7) AS cross_entropy, round(sqrt(sum((sqrt(p) - sqrt(q)) ^ 2) / 2), 7) AS hellinger, round(sum(abs(p - q)) / 2, 7) AS tv, round(sum((p - q) ^ 2 / q), 9) AS chi2, round(ln(sum(p * p / q)), 9) AS renyi2, round(-ln(sum(sqrt(p * q))), 9) AS bhattacharyya FROM {_DIST}")
+def divergences(spark, sf_dir):
+    from tessera.operators import divergences as d
+
+    li = t(spark, sf_dir, "lineitem")
+    flag = F.col("l_returnflag") == "R"
+    counts = li.groupBy("l_linenumber").agg(F.count_if(flag).alias("a"), F.count_if(~flag).alias("b"))
+    x = counts.crossJoin(F.broadcast(counts.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb")))).select((F.col("a") / F.col("ta")).alias("p"), (F.col("b") / F.col("tb")).alias("q"))
+    return x.agg(r(d.kl("p", "q"), 9).alias("kl"), r(d.js("p", "q"), 9).alias("js"), r(d.cross_entropy("p", "q"), 7).alias("cross_entropy"), r(d.hellinger("p", "q"), 7).alias("hellinger"), r(d.total_variation("p", "q"), 7).alias("tv"), r(d.chi_squared("p", "q"), 9).alias("chi2"), r(d.renyi("p", "q", 2.0), 9).alias("renyi2"), r(d.bhattacharyya("p", "q"), 9).alias("bhattacharyya"))

@@ -133,3 +133,32 @@ def test_stream_equals_batch(spark, small, tmp_path):
     q.stop()
     last = spark.table("moments").groupBy("event_type").agg(F.max_by("mean", "n").alias("m")).toPandas().set_index("event_type").m
     assert last.to_dict() == pytest.approx(rows.groupBy("event_type").agg(F.avg("value").alias("m")).toPandas().set_index("event_type").m.to_dict())
+
+
+def test_matrix_verbs(spark):
+    from tessera.functions import matrix
+
+    r = np.random.default_rng(9)
+    a = r.normal(size=(4, 4))
+    spd = a @ a.T + np.eye(4)
+    p, low, u = matrix.lu(a)
+    assert np.allclose(p @ a, low @ u) and np.allclose(matrix.expm(np.zeros((3, 3))), np.eye(3))
+    assert np.allclose(matrix.function_of(spd, np.sqrt) @ matrix.function_of(spd, np.sqrt), spd)
+    assert np.allclose(matrix.conjugate_gradient(spd, np.ones(4)), np.linalg.solve(spd, np.ones(4)))
+    assert matrix.persistence_h0(np.array([[0.0], [1], [3]])).tolist() == [1, 2]
+    assert np.allclose(matrix.stationary(np.array([[0.9, 0.1], [0.5, 0.5]])), [5 / 6, 1 / 6])
+    df = spark.createDataFrame(pd.DataFrame(spd, columns=list("abcd")))
+    out = dict(chain.run(df, "det().log_det().cronbachs_alpha().kl_divergence()").outputs)
+    assert out["det"] == pytest.approx(np.linalg.det(spd)) and out["log_det"] == pytest.approx(np.log(np.linalg.det(spd)))
+
+
+def test_panel_and_discontinuity(spark):
+    from tessera.plans import verbs_more
+
+    r = np.random.default_rng(10)
+    unit, x = r.integers(0, 5, 300), r.normal(size=300)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": 2 * x + unit * 10.0, "u": unit}))
+    assert verbs_more.panel_fixed_effects(df, "u", ["x"], "y")[0] == pytest.approx(2)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": x + 3.0 * (x >= 0)}))
+    assert verbs_more.rdd(df, "x", "y", 0.0) == pytest.approx(3)
+    assert verbs_more.brownian(spark, 2, 10).count() == 20
