@@ -32,7 +32,7 @@ from tessera.llm._shared import LOWER_TABLE, Stages, map_rows, space_words, tabl
 
 SHINGLE, PERCENT = 4, 85
 #: An n-gram in more lists than this is common and goes behind rarer ones; at most so many are told to the executors.
-COMMON_FROM, MAX_COMMON = 32, 1_000_000
+COMMON_FROM, MAX_COMMON = 32, 500_000
 #: n-grams listed beyond the prefix, in hundredths of the size.
 EXTRA_PERCENT = 4
 #: Sizes beyond this are never enumerated, whatever lists cost.
@@ -520,15 +520,33 @@ def components(edges: DataFrame, stages: Stages, a: str = "a", b: str = "b") ->
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def _filter_words(ids: DataFrame, key: str) -> np.ndarray:
-    """A bitmap of a fixed size that holds all the ids."""
-    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-    words = ids.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(pmod(bit, 32) AS INT))")).alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+def _bitmap(ids: DataFrame, bit, bits: int) -> np.ndarray:
+    """A bitmap of a fixed size of all the ids' places. Executors make its blocks, so the driver takes bits/8 bytes at most."""
+    shift = 19
+
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column("bit").to_numpy(zero_copy_only=False)
+            for block in np.unique(at >> shift).tolist():
+                mine = at[at >> shift == block] & ((1 << shift) - 1)
+                marks = held.setdefault(block, np.zeros((1 << shift) // 32, np.uint32))
+                np.bitwise_or.at(marks, mine >> 5, np.uint32(1) << (mine & 31).astype(np.uint32))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([m.tobytes() for m in held.values()], pa.binary())], names=["block", "marks"])
+
+    rows = ids.select(bit.alias("bit")).repartition(F.expr(f"shiftright(bit, {shift})")).mapInArrow(run, "block long, marks binary")
+    out = np.zeros(bits // 32, np.uint32)
+    for r in rows.collect():
+        at = r.block << (shift - 5)
+        out[at : at + (1 << (shift - 5))] = np.frombuffer(r.marks, np.uint32)
     return out
 
 
+def _filter_words(ids: DataFrame, key: str) -> np.ndarray:
+    return _bitmap(ids, F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)), FILTER_BITS)
+
+
 def _by_filter(rows: DataFrame, key: str, bits, inside: bool) -> DataFrame:
     """The rows whose key's bit is set, or is not; without a shuffle."""
 
@@ -576,9 +594,7 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
         small = boundary((once + rare.n2) / (once + rare.n), percent)
     stages.drop("first")
     place = F.expr(f"(key ^ shiftrightunsigned(key, 29)) & {ORDER_BITS - 1}L")
-    words = repeated.select(place.alias("bit")).groupBy(F.expr("CAST(shiftright(bit, 5) AS INT)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 31L AS INT))")).alias("bits")).toPandas()
-    marks = np.zeros(ORDER_BITS // 32, np.uint32)
-    marks[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    marks = _bitmap(repeated, place, ORDER_BITS)
     common = repeated.filter(F.col("n") > COMMON_FROM).orderBy(F.desc("n"), "key").limit(MAX_COMMON).toPandas()
     hashes = common["key"].to_numpy(np.int64).view(_U)
     order = np.argsort(hashes)
