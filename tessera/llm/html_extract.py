@@ -158,21 +158,30 @@ def items_of(tokens: list[str | Text]) -> list[Item]:
 
 def fold(items: list[Item], known: frozenset[str] = frozenset()) -> list[Item]:
     """Makes neighbouring equal groups, or single ones that the wrapper knows as repeated, a repeated group."""
+    firsts = {k[1:].split(" ")[0].removesuffix(")+") for k in known}
     for _ in range(2):
         out, i = [], 0
-        while i < len(items):
-            for size in range(1, GROUP + 1):
-                unit = [x[0] for x in items[i : i + size]]
-                if len(unit) < size or (size == 1 and unit[0].startswith("(")):
+        keys = [x[0] for x in items]
+        n = len(keys)
+        while i < n:
+            first, size = keys[i], 0
+            repeat = 0
+            for size in range(1, min(GROUP, n - i) + 1):
+                if size == 1 and first.startswith("("):
                     continue
                 k = i + size
-                while [x[0] for x in items[k : k + size]] == unit:
+                if k < n and keys[k] == first and keys[i:k] == keys[k : k + size]:
                     k += size
-                key = f"({' '.join(unit)})+"
-                if k > i + size or key in known:
-                    out.append([key, None, items[i][2], 1])
-                    i = k
+                    while keys[k : k + size] == keys[i : i + size]:
+                        k += size
+                    repeat = k
                     break
+                if first in firsts and f"({' '.join(keys[i:k])})+" in known:
+                    repeat = k
+                    break
+            if repeat:
+                out.append([f"({' '.join(keys[i : i + size])})+", None, items[i][2], 1])
+                i = repeat
             else:
                 out.append(items[i])
                 i += 1
