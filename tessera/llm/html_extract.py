@@ -4,8 +4,9 @@ A wrapper is a union-free regular expression over tags and texts. A page's token
 groups become a repeated group) and aligned with its host's wrapper: what only one side has becomes optional, texts that
 differ become slots, and texts that are the same on all pages stay constant. Alignment is done page by page within a
 task, then between the tasks' wrappers, over salts first, so no task meets all pages of a large host. The texts of a page
-are then read through its host's wrapper: inside the article all but boilerplate containers are kept; on pages without an
-article, constant texts are template and go as well.
+are then read through its host's wrapper: constant texts are template and go, inside an article too; slots and repeated
+groups are content. Boilerplate containers are checked after that. An article's bounds decide only where the host has too
+few pages for a wrapper, and a page that is all template is a copy, not a template, and is kept.
 
 Null pages, URLs and hosts are allowed: a null page has an empty text, a null or odd URL belongs to the host ''. Malformed
 and cut-off pages are read as far as they go. Repeated rows and ties are alike; empty tables give no rows. Other columns
@@ -42,6 +43,8 @@ _CLOSES_P = _BLOCKS - {"caption", "body", "head", "html", "option", "tbody", "td
 _OUT_TAGS = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", "option", "label", "input"}
 _OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 _OUT_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "banner", "popup", "modal", "newsletter", "subscribe", "subscription", "share", "sharing", "social", "comment", "comments", "respond", "disqus", "related", "recommended", "widget", "widgets", "toolbar", "pagination", "pager", "login", "signup", "search", "masthead", "topbar", "skip"}
+#: Class words after these say what a layout has, not what the element is.
+_LAYOUT = re.compile(r"(?<!\S)(?:has|with|no|without)[-_]\S*")
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
@@ -50,7 +53,7 @@ def _names(attrs: str) -> tuple[str, set[str], str]:
     found = {}
     for m in _ATTRIBUTE.finditer(attrs):
         found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
-    words = {w for v in (found.get("class", ""), found.get("id", "")) for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", v).lower()) if w}
+    words = {w for v in (_LAYOUT.sub("", found.get("class", "")), found.get("id", "")) for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", v).lower()) if w}
     return (found.get("class", "").split() or [""])[0], words, found.get("role", "").lower()
 
 
@@ -70,7 +73,7 @@ def read(page: str | None) -> tuple[list[str | Text], bool]:
     """The page's tokens (tags and block texts, in order) and whether it has an article."""
     page = page or ""
     tokens: list[str | Text] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, in an article, out, in a header of an article
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, in an article, out, in a header of an article, out by more than words
     path: list[str] = []
     text: Text | None = None
     found_article, at, n = False, 0, len(page)
@@ -80,7 +83,7 @@ def read(page: str | None) -> tuple[list[str | Text], bool]:
         if text is None:
             if raw.isspace():
                 return
-            _, article, out, header = stack[-1] if stack else ("", False, False, False)
+            _, article, out, header, _ = stack[-1] if stack else ("", False, False, False, False)
             if header and not any(s[0] in _HEADINGS for s in stack):
                 out = True
             text = Text("/".join(path), article, out)
@@ -130,13 +133,16 @@ def read(page: str | None) -> tuple[list[str | Text], bool]:
                 if stack[k][0] in _BLOCKS:
                     break
         name, words, role = _names(m["attrs"]) if m["attrs"] else ("", set(), "")
-        _, article, out, header = stack[-1] if stack else ("", False, False, False)
-        out = out or tag in _OUT_TAGS or role in _OUT_ROLES or bool(words & _OUT_WORDS) or (tag == "header" and not article)
+        _, article, out, header, hard = stack[-1] if stack else ("", False, False, False, False)
+        hard = hard or tag in _OUT_TAGS or role in _OUT_ROLES or (tag == "header" and not article)
+        if tag == "main" and not hard:  # a page has one: what it stands in is layout
+            out = False
+        out = out or hard or (tag not in ("html", "body") and bool(words & _OUT_WORDS))
         header = header or (tag == "header" and article)
         if not article and not out and (tag in ("article", "main") or role in ("article", "main")):
             article = found_article = True
         if not m["attrs"].endswith("/"):
-            stack.append((tag, article, out, header))
+            stack.append((tag, article, out, header, hard))
             path.append(f"{tag}.{name}" if name else tag)
         tokens.append(path[-1] if stack else tag)
     return tokens, found_article
@@ -308,34 +314,35 @@ def infer(pages: DataFrame) -> DataFrame:
     return part.groupBy("host", "salt").applyInPandas(_merged, ddl).groupBy("host").applyInPandas(_merged, ddl).select("host", "wrapper")
 
 
+def pages_of(wrapper: str | None) -> int:
+    """The pages that a wrapper is made of, by its most frequent item."""
+    return max((i[3] for i in json.loads(wrapper or "[]")), default=0)
+
+
 def constants(wrapper: str | None) -> set[tuple[str, int]]:
     """Places and hashes of the texts that are the same on all of a host's pages that have them."""
     return {(key, text) for key, text, _, pages in json.loads(wrapper or "[]") if text and pages >= CONSTANT_FROM}
 
 
-def main_text(page: str | None, template: set[tuple[str, int]]) -> str:
+def main_text(page: str | None, template: set[tuple[str, int]], known: bool = False) -> str:
+    """The texts that the template does not have. known: the host has pages enough for one, so an article's bounds decide nothing."""
     tokens, has_article = read(page)
-    out = []
-    for t in tokens:
-        if isinstance(t, str) or t.out or (has_article and not t.article):
-            continue
-        value = t.value()
-        if value and (t.article or ("#" + t.path, _hash(value)) not in template):
-            out.append(value)
-    return "\n".join(out)
+    kept = [(t, v) for t in tokens if not isinstance(t, str) and not t.out and (known or t.article or not has_article) and (v := t.value())]
+    own = [v for t, v in kept if ("#" + t.path, _hash(v)) not in template]
+    return "\n".join(own or [v for t, v in kept if t.article])
 
 
 def _extract():
-    memo: OrderedDict[str, set] = OrderedDict()
+    memo: OrderedDict[str, tuple[set, bool]] = OrderedDict()
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = []
         for page, wrapper in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
             if wrapper not in memo:
-                memo[wrapper] = constants(wrapper)
+                memo[wrapper] = constants(wrapper), pages_of(wrapper) >= CONSTANT_FROM
                 if len(memo) > 1000:
                     memo.popitem(last=False)
-            texts.append(main_text(page, memo[wrapper]))
+            texts.append(main_text(page, *memo[wrapper]))
         return {"_key": batch.column("_key"), "url": batch.column("url"), "text": texts, "n_chars": [len(t) for t in texts]}
 
     return run

@@ -351,6 +351,15 @@ def test_wrapper_alignment():
     assert [i[1] for i in w if i[0] == "#p"] == [0]
 
 
+def test_html_wrapper_decides_in_articles(spark):
+    page = "<html><body class='has-sidebar'><div class=lead>Lead {0}</div><article><div class=x>Same in all</div><p>Text {0}</p></article></body></html>"
+    rows = [(i, "http://h.net/", page.format(i)) for i in range(12)] + [(i, "http://copies.net/", page.format("c")) for i in range(20, 26)]
+    rows += [(50, "http://one.net/", "<div class=sidebar-left><main><p>m</p></main></div>"), (51, "http://two.net/", page.format("one"))]
+    got = {r.page_id: r.text for r in html_extract.html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Lead {i}\nText {i}" for i in range(12))
+    assert got[20] == "Same in all\nText c" and got[50] == "m" and got[51] == "Same in all\nText one"
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 
