@@ -20,6 +20,7 @@ import json
 import re
 from collections import OrderedDict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +30,12 @@ from tessera.llm.url_filters import parts
 
 #: Wrappers of up to so many characters in all are broadcast; more are joined over salts.
 BROADCAST_CHARS, SALTS = 4_000_000, 16
-#: Longest group that is tested for repetition; pages that a text must be on to be constant.
-GROUP, CONSTANT_FROM = 12, 5
-#: Alignments of more cells than this are only made at both ends; what is between becomes optional.
-CELLS = 250_000
+#: Pages that a text must be on to be constant.
+CONSTANT_FROM = 5
+#: Groups of up to so many items are folded at once, longer ones by rising length.
+SHORT = 12
+#: Alignments of more cells (a bit each) than this are halved until they fit: the same alignment in linear memory.
+CELLS = 1 << 28
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -162,37 +165,119 @@ def items_of(tokens: list[str | Text]) -> list[Item]:
     return [[t, None, False, 1] if isinstance(t, str) else ["#" + t.path, _hash(t.value()), False, 1] for t in tokens]
 
 
+def _first(body: str) -> str:
+    """The first key of a group's keys."""
+    if not body.startswith("("):
+        return body.split(" ", 1)[0]
+    depth = 0
+    for m in re.finditer(r"(?:(?<=\s)|(?<=\()|^)\(|\)\+(?=[\s)]|$)", body):
+        depth += 1 if m[0] == "(" else -1
+        if not depth:
+            return body[: m.end()]
+    return body
+
+
 def fold(items: list[Item], known: frozenset[str] = frozenset()) -> list[Item]:
-    """Makes neighbouring equal groups, or single ones that the wrapper knows as repeated, a repeated group."""
-    firsts = {k[1:].split(" ")[0].removesuffix(")+") for k in known}
-    for _ in range(2):
-        out, i = [], 0
+    """Makes neighbouring equal groups of any length, or single ones that the wrapper knows as repeated, a repeated group.
+
+    Short groups are folded first, so that the records of a longer one are equal whatever is repeated in them.
+    """
+    bodies: dict[str, list[str]] = {}
+    for k in known:
+        bodies.setdefault(_first(k[1:-2]), []).append(k[1:-2])
+    limit = SHORT
+    while True:
+        out, i, longer = [], 0, 0
         keys = [x[0] for x in items]
         n = len(keys)
+        pairs = list(zip(keys, [*keys[1:], ""], strict=False))
+        places: dict[tuple[str, str], list[int]] = {}
+        for k in range(n - 1, -1, -1):
+            places.setdefault(pairs[k], []).append(k)
         while i < n:
-            first, size = keys[i], 0
-            repeat = 0
-            for size in range(1, min(GROUP, n - i) + 1):
-                if size == 1 and first.startswith("("):
-                    continue
-                k = i + size
-                if k < n and keys[k] == first and keys[i:k] == keys[k : k + size]:
-                    k += size
-                    while keys[k : k + size] == keys[i : i + size]:
-                        k += size
-                    repeat = k
-                    break
-                if first in firsts and f"({' '.join(keys[i:k])})+" in known:
-                    repeat = k
-                    break
-            if repeat:
+            first, size, repeat = keys[i], 0, 0
+            if not first.startswith("(") and i + 1 < n and first == keys[i + 1]:
+                size = 1
+            else:
+                near = places[pairs[i]]  # falling; places passed by are dropped
+                while near and near[-1] <= i:
+                    near.pop()
+                for k in reversed(near):
+                    d = k - i
+                    if k + d > n:
+                        break
+                    if d > 1 and keys[k - 1] == keys[k + d - 1] and keys[i:k] == keys[k : k + d]:
+                        if d <= limit:
+                            size = d
+                        else:
+                            longer = min(longer or d, d)
+                        break
+            if size:
+                repeat = i + 2 * size
+                while keys[repeat : repeat + size] == keys[i : i + size]:
+                    repeat += size
+            for body in bodies.get(first, ()):
+                k, at = i, 0
+                while k < n and body.startswith(keys[k], at) and body[at + len(keys[k]) :][:1] in ("", " "):
+                    at += len(keys[k]) + 1
+                    k += 1
+                    if at > len(body):
+                        if (k - i > 1 or not first.startswith("(")) and (not size or k - i < size):
+                            size, repeat = k - i, k
+                        break
+            if size:
                 out.append([f"({' '.join(keys[i : i + size])})+", None, items[i][2], 1])
                 i = repeat
             else:
                 out.append(items[i])
                 i += 1
+        if [x[0] for x in out] == keys:
+            if not longer:
+                return out
+            limit = longer
         items = out
-    return items
+
+
+def _rows(p: list[str], q: list[str]):
+    """After each of p: a number whose bit j is 0 where the longest common sequence with q grows at j (Hyyrö)."""
+    full, masks = (1 << len(q)) - 1, {}
+    for j, y in enumerate(q):
+        masks[y] = masks.get(y, 0) | 1 << j
+    v = full
+    for x in p:
+        u = v & masks.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+        yield v
+
+
+def _lengths(p: list[str], q: list[str]) -> np.ndarray:
+    """Lengths of the longest common sequences of p and each start of q."""
+    v = (1 << len(q)) - 1
+    for v in _rows(p, q):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(q) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(q)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def common(p: list[str], q: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common sequence."""
+    if not p or not q:
+        return []
+    if len(p) * len(q) > CELLS and len(p) > 1:
+        half = len(p) // 2
+        cut = int((_lengths(p[:half], q) + _lengths(p[half:][::-1], q[::-1])[::-1]).argmax())
+        return common(p[:half], q[:cut]) + [(half + i, cut + j) for i, j in common(p[half:], q[cut:])]
+    rows = [(1 << len(q)) - 1, *_rows(p, q)]
+    found, i, j = [], len(p), len(q)
+    while i and j:
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+        elif not rows[i - 1] >> (j - 1) & 1:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            found.append((i, j))
+    return found[::-1]
 
 
 def align(a: list[Item], b: list[Item]) -> list[Item]:
@@ -206,25 +291,12 @@ def align(a: list[Item], b: list[Item]) -> list[Item]:
         tail += 1
     p, q = x[head : len(x) - tail], y[head : len(y) - tail]
     pairs: list[tuple[int | None, int | None]] = [(k, k) for k in range(head)]
-    if len(p) * len(q) > CELLS:
-        pairs += [(head + k, None) for k in range(len(p))] + [(None, head + k) for k in range(len(q))]
-    else:
-        best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-        for i in range(len(p) - 1, -1, -1):
-            row, below = best[i], best[i + 1]
-            for j in range(len(q) - 1, -1, -1):
-                row[j] = below[j + 1] + 1 if p[i] == q[j] else max(below[j], row[j + 1])
-        i = j = 0
-        while i < len(p) or j < len(q):
-            if i < len(p) and j < len(q) and p[i] == q[j]:
-                pairs.append((head + i, head + j))
-                i, j = i + 1, j + 1
-            elif j == len(q) or (i < len(p) and best[i + 1][j] >= best[i][j + 1]):
-                pairs.append((head + i, None))
-                i += 1
-            else:
-                pairs.append((None, head + j))
-                j += 1
+    i = j = 0
+    for m, n in [*common(p, q), (len(p), len(q))]:
+        pairs += [(head + k, None) for k in range(i, m)] + [(None, head + k) for k in range(j, n)]
+        if m < len(p):
+            pairs.append((head + m, head + n))
+        i, j = m + 1, n + 1
     pairs += [(len(x) - tail + k, len(y) - tail + k) for k in range(tail)]
     out = []
     for i, j in pairs:

@@ -351,6 +351,40 @@ def test_wrapper_alignment():
     assert [i[1] for i in w if i[0] == "#p"] == [0]
 
 
+def lcs(p, q):
+    row = [0] * (len(q) + 1)
+    for a in p:
+        old, row = row, [0]
+        for j, b in enumerate(q):
+            row.append(old[j] + 1 if a == b else max(old[j + 1], row[j]))
+    return row[-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=30), st.lists(st.sampled_from("abcd"), max_size=30), st.sampled_from([1 << 28, 20]))
+def test_alignment_is_longest(p, q, cells):
+    was, html_extract.CELLS = html_extract.CELLS, cells
+    try:
+        pairs = html_extract.common(p, q)
+    finally:
+        html_extract.CELLS = was
+    assert len(pairs) == lcs(p, q) and all(p[i] == q[j] for i, j in pairs)
+    assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False))
+
+
+def test_long_pages_are_aligned():
+    def item(k):
+        return [k, None, False, 1]
+
+    a = [item(f"a{k // 2}" if k % 2 else f"s{k}") for k in range(1500)]
+    b = [item(f"b{k // 2}" if k % 2 else f"s{k}") for k in range(1500)]
+    assert len(html_extract.align([item("x"), *a, item("p")], [item("y"), *b, item("q")])) == 2254
+    group = [item(f"k{k}") for k in range(30)]
+    assert [i[0] for i in html_extract.fold(group * 3)] == ["(" + " ".join(i[0] for i in group) + ")+"]
+    once = html_extract.fold(group, frozenset(["(" + " ".join(i[0] for i in group) + ")+"]))
+    assert len(once) == 1
+
+
 def test_html_wrapper_decides_in_articles(spark):
     page = "<html><body class='has-sidebar'><div class=lead>Lead {0}</div><article><div class=x>Same in all</div><p>Text {0}</p></article></body></html>"
     rows = [(i, "http://h.net/", page.format(i)) for i in range(12)] + [(i, "http://copies.net/", page.format("c")) for i in range(20, 26)]
