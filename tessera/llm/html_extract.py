@@ -2,7 +2,8 @@
 
 A wrapper is a union-free regular expression over tags and texts. A page's token stream is folded (equal neighbouring
 groups become a repeated group) and aligned with its host's wrapper: what only one side has becomes optional, texts that
-differ become slots, and texts that are the same on all pages stay constant. Alignment is done page by page within a
+differ become slots, and texts that are the same on all pages stay constant; so do, inside a repeated group, the texts
+that are in it on all pages. Constants of an item on more than half of the host's pages are template. Alignment is done page by page within a
 task, then between the tasks' wrappers, over salts first, so no task meets all pages of a large host. The texts of a page
 are then read through its host's wrapper: constant texts are template and go, inside an article too; slots and repeated
 groups are content. Boilerplate containers are checked after that. An article's bounds decide only where the host has too
@@ -30,8 +31,8 @@ from tessera.llm.url_filters import parts
 
 #: Wrappers of up to so many characters in all are broadcast; more are joined over salts.
 BROADCAST_CHARS, SALTS = 4_000_000, 16
-#: Pages that a text must be on to be constant.
-CONSTANT_FROM = 5
+#: A constant is template where it is on more than this share of its host's pages; two pages that share texts may be copies.
+CONSTANT_SHARE, CONSTANT_FROM = 0.5, 3
 #: Groups of up to so many items are folded at once, longer ones by rising length.
 SHORT = 12
 #: Alignments of more cells (a bit each) than this are halved until they fit: the same alignment in linear memory.
@@ -157,10 +158,28 @@ def _hash(value: str) -> int:
     return zlib.crc32(value.encode("utf-8", "surrogatepass")) + 1
 
 
-#: A wrapper's item: [key, text's hash (0: a slot; None: no text), optional, pages]. Keys: a tag, "#path", or "(a b)+".
+#: A wrapper's item: [key, text, optional, pages]. Keys: a tag, "#path", or "(a b)+". Text: None for a tag; a text's hash, or
+#: 0 for a slot; for a group the "hash key" of all texts that are in it on each of its pages.
 Item = list
 
 
+def _same(s: int | list[str] | None, t: int | list[str] | None) -> int | list[str] | None:
+    """The text of an item that is s on some pages and t on others."""
+    if isinstance(s, list):
+        return s if s == t else sorted(set(s) & set(t))
+    return None if s is None else s if s == t else 0
+
+
+def _group(key: str, items: list[Item]) -> Item:
+    """One item for neighbouring ones. A text counts only where it is on as many pages as the group."""
+    pages = max(i[3] for i in items)
+    texts = set()
+    for k, text, _, n in items:
+        if text and n == pages:
+            texts.update(text if isinstance(text, list) else [f"{text} {k}"])
+    return [key, sorted(texts), all(i[2] for i in items), pages]
+
+
 def items_of(tokens: list[str | Text]) -> list[Item]:
     return [[t, None, False, 1] if isinstance(t, str) else ["#" + t.path, _hash(t.value()), False, 1] for t in tokens]
 
@@ -226,7 +245,7 @@ def fold(items: list[Item], known: frozenset[str] = frozenset()) -> list[Item]:
                             size, repeat = k - i, k
                         break
             if size:
-                out.append([f"({' '.join(keys[i : i + size])})+", None, items[i][2], 1])
+                out.append(_group(f"({' '.join(keys[i : i + size])})+", items[i:repeat]))
                 i = repeat
             else:
                 out.append(items[i])
@@ -305,7 +324,7 @@ def align(a: list[Item], b: list[Item]) -> list[Item]:
             out.append([key, text, True, pages])
         else:
             (key, s, o, m), (_, t, r, k) = a[i], b[j]
-            out.append([key, None if s is None else s if s == t else 0, o or r, m + k])
+            out.append([key, _same(s, t), o or r, m + k])
     return out
 
 
@@ -332,8 +351,7 @@ class Inference:
             for k, i in zip(places, page, strict=True):
                 mine = self.wrapper[k]
                 mine[3] += 1
-                if mine[1] is not None and mine[1] != i[1]:
-                    mine[1] = 0
+                mine[1] = _same(mine[1], i[1])
             return
         merged = align(fold(self.wrapper, repeated(page)), page)
         if [i[0] for i in merged] != [i[0] for i in self.wrapper]:
@@ -392,8 +410,14 @@ def pages_of(wrapper: str | None) -> int:
 
 
 def constants(wrapper: str | None) -> set[tuple[str, int]]:
-    """Places and hashes of the texts that are the same on all of a host's pages that have them."""
-    return {(key, text) for key, text, _, pages in json.loads(wrapper or "[]") if text and pages >= CONSTANT_FROM}
+    """Places and hashes of the texts that are the same on all of a host's pages that have them, and on most pages."""
+    items = json.loads(wrapper or "[]")
+    least = CONSTANT_SHARE * pages_of(wrapper)
+    found = set()
+    for key, text, _, pages in items:
+        if text and pages >= CONSTANT_FROM and pages > least:
+            found.update((k, int(h)) for h, k in (x.split(" ", 1) for x in text) if k) if isinstance(text, list) else found.add((key, text))
+    return found
 
 
 def main_text(page: str | None, template: set[tuple[str, int]], known: bool = False) -> str:

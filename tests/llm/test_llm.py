@@ -385,6 +385,13 @@ def test_long_pages_are_aligned():
     assert len(once) == 1
 
 
+def test_constants_survive_folding(spark):
+    page = "<body><div>Terms</div><div>Imprint</div><h1>T {0}</h1><p>One {0}</p><p>Two {0}</p><p>Write to us</p></body>"
+    rows = [(i, "http://h.net/", page.format(i)) for i in range(4)] + [(i, f"http://h{i % 2}.net/", page.format(i) + "<p>x" * (i % 5)) for i in range(10, 40)]
+    got = {r.page_id: r.text for r in html_extract.html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].split("\n")[:3] == [f"T {i}", f"One {i}", f"Two {i}"] and "Write" not in got[i] for i in got)
+
+
 def test_html_wrapper_decides_in_articles(spark):
     page = "<html><body class='has-sidebar'><div class=lead>Lead {0}</div><article><div class=x>Same in all</div><p>Text {0}</p></article></body></html>"
     rows = [(i, "http://h.net/", page.format(i)) for i in range(12)] + [(i, "http://copies.net/", page.format("c")) for i in range(20, 26)]
