@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import kernels
 from tessera.operators import aggregates as agg
 from tessera.operators import graph, hypothesis, joins, models
+from tessera.operators.stages import written
 from tessera.plans._queries import Registry, r, t
 
 query = Registry()
@@ -245,23 +246,40 @@ def pagerank(spark, sf_dir):
     return graph.pagerank(_edges(spark, sf_dir), 25, rounds=10, tol=0.0).select("node", r("rank", 7).alias("rank"))
 
 
-def _sparse(spark, sf_dir):
-    return t(spark, sf_dir, "orders").select((F.col("o_orderkey") % 997).alias("src"), (F.col("o_custkey") % 499 * 2 % 997).alias("dst"), F.col("o_totalprice").alias("w")).filter("src % 3 = dst % 3")
+def _dense(keys, name: str, first: int):
+    """The keys by rising order as numbers from first on, and how many there are."""
+    from tessera.operators.aggregates import running_total
+
+    keys = written(keys.filter(F.col(name).isNotNull()).distinct().withColumn("one", F.lit(1)), "keys")
+    return running_total(keys, name, "one", "k").select(name, (F.col("k") - 1 + first).cast("long").alias(f"{name}_id")), keys.count()
+
+
+def _supply(spark, sf_dir):
+    """Customers to suppliers through orders, all lines, and the number of nodes: customers come first, then suppliers."""
+    o, li = t(spark, sf_dir, "orders"), t(spark, sf_dir, "lineitem")
+    e = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).filter("o_custkey IS NOT NULL AND l_suppkey IS NOT NULL")
+    e = written(e.groupBy("o_custkey", "l_suppkey").agg(F.min("l_quantity").alias("w")), "lines")
+    customers, n = _dense(e.select("o_custkey"), "o_custkey", 0)
+    suppliers, m = _dense(e.select("l_suppkey"), "l_suppkey", n)
+    e = e.join(customers, "o_custkey").join(suppliers, "l_suppkey")
+    return e.select(F.col("o_custkey_id").alias("src"), F.col("l_suppkey_id").alias("dst"), "w"), n + m
 
 
 @query()
 def connected_components(spark, sf_dir):
-    return graph.components(_sparse(spark, sf_dir), 997)
+    return graph.components(*_supply(spark, sf_dir))
 
 
 @query()
 def shortest_paths(spark, sf_dir):
-    return graph.shortest_paths(_sparse(spark, sf_dir), 0, 997, directed=False).select("node", r("d", 4).alias("d"))
+    edges, n = _supply(spark, sf_dir)
+    return graph.shortest_paths(edges, 0, n, directed=False).select("node", r("d", 4).alias("d"))
 
 
 @query()
 def breadth_first(spark, sf_dir):
-    return graph.bfs(_sparse(spark, sf_dir), 0, 997)
+    edges, n = _supply(spark, sf_dir)
+    return graph.bfs(edges, 0, n)
 
 
 @query("SELECT event_type, round(avg(CASE WHEN rn > 1 THEN (s <> ps)::INT END), 6) AS rate FROM (SELECT event_type, value >= 0 AS s, lag(value >= 0) OVER w AS ps, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)) GROUP BY 1")

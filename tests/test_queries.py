@@ -38,3 +38,35 @@ def test_equals_sql(spark, small, con, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_has_rows(spark, small, name):
     assert registry.QUERIES[name](spark, small).count() >= 0
+
+
+def test_graphs_equal_brute_force(spark, small, con):
+    """Customers to suppliers, every line, ids coded densely."""
+    import heapq
+
+    lines = con.sql("SELECT o_custkey, l_suppkey, l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey").fetchall()
+    nodes = {k: i for i, k in enumerate([*sorted({("c", a) for a, _, _ in lines}), *sorted({("s", b) for _, b, _ in lines})])}
+    near = {i: [] for i in nodes.values()}
+    for a, b, w in lines:
+        near[nodes["c", a]].append((nodes["s", b], w))
+        near[nodes["s", b]].append((nodes["c", a], w))
+
+    def reach(start, weighted):
+        done, heap = {}, [(0.0, start)]
+        while heap:
+            d, i = heapq.heappop(heap)
+            if i not in done:
+                done[i] = d
+                for j, w in near[i]:
+                    heapq.heappush(heap, (d + (w if weighted else 1), j))
+        return done
+
+    parts = {}
+    for i in near:
+        if i not in parts:
+            k = len(set(parts.values()))
+            parts |= dict.fromkeys(reach(i, False), k)
+    got = {name: registry.QUERIES[name](spark, small).collect() for name in ("connected_components", "shortest_paths", "breadth_first")}
+    assert {r.node: r.component for r in got["connected_components"]} == parts
+    assert {r.node: r.d for r in got["shortest_paths"]} == pytest.approx(reach(0, True), abs=1e-4)
+    assert {r.node: r.hops for r in got["breadth_first"]} == reach(0, False)
