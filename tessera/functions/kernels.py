@@ -439,23 +439,33 @@ def cusum(x: np.ndarray) -> dict:
     return {"statistic": float(np.abs(c).max() / (s * math.sqrt(len(x)))), "place": int(np.abs(c).argmax())}
 
 
-def bocpd(x: np.ndarray, max_run: int = 200, hazard: float = 0.01, threshold: float = 0.5) -> list[int]:
-    """Places at which a new run is likelier than the threshold allows; normal data, unknown mean and variance."""
-    k, m, a, b = (np.array([v]) for v in (1.0, 0.0, 1.0, 1.0))
+def bocpd(x: np.ndarray, hazard: float = 0.01, threshold: float = 0.5, negligible: float = 1e-6) -> list[int]:
+    """Places at which a new run is likelier than the threshold allows; normal data, unknown mean and variance.
+
+    Runs of any length are tracked; one is left out only while its share of the mass is negligible.
+    """
+    half = np.arange(1, len(x) + 1) / 2 + 0.5  # a of each run length
+    gammas = sp.log_gamma(half + 0.5) - sp.log_gamma(half)
+    run, m, b = np.zeros(1, int), np.zeros(1), np.ones(1)
     mass, found, last = np.ones(1), [], 0
     for i, v in enumerate(x):
+        k, a = run + 1.0, half[run]
         scale2 = b * (k + 1) / (a * k)
-        df = 2 * a
-        logp = sp.log_gamma((df + 1) / 2) - sp.log_gamma(df / 2) - 0.5 * np.log(df * math.pi * scale2) - (df + 1) / 2 * np.log1p((v - m) ** 2 / (df * scale2))
-        p = np.exp(logp) * mass
-        mass = np.append(p.sum() * hazard, p * (1 - hazard))[:max_run]
+        logp = gammas[run] - 0.5 * np.log(2 * a * math.pi * scale2) - (a + 0.5) * np.log1p((v - m) ** 2 / (2 * a * scale2))
+        p = np.exp(logp - logp.max()) * mass
+        mass = np.append(p.sum() * hazard, p * (1 - hazard))
         mass /= mass.sum() or 1.0
-        k1, m1 = k + 1, (k * m + v) / (k + 1)
-        b1 = b + k * (v - m) ** 2 / (2 * (k + 1))
-        k, m, a, b = (np.append(s, t)[:max_run] for s, t in ((1.0, k1), (0.0, m1), (1.0, a + 0.5), (1.0, b1)))
-        run = int(mass.argmax())
-        if i - run > last and run < i and mass[: max(1, run + 1)].sum() > threshold:
-            last = i - run
+        b = np.append(1.0, b + k * (v - m) ** 2 / (2 * (k + 1)))
+        m = np.append(0.0, (k * m + v) / (k + 1))
+        run = np.append(0, run + 1)
+        if mass.min() < negligible:
+            keep = mass >= negligible
+            run, m, b, mass = run[keep], m[keep], b[keep], mass[keep]
+            mass /= mass.sum()
+        best = int(mass.argmax())
+        start = i - int(run[best])
+        if start > last and run[best] < i and mass[: best + 1].sum() > threshold:
+            last = start
             found.append(last)
     return found
 

@@ -153,7 +153,7 @@ def partial_autocorrelation(spark, sf_dir):
 
 @query()
 def change_points(spark, sf_dir):
-    return series.vectors(t(spark, sf_dir, "events"), "user_id", ORDER, "value", lambda x: kernels.bocpd(x, 100))
+    return series.vectors(t(spark, sf_dir, "events"), "user_id", ORDER, "value", kernels.bocpd)
 
 
 @query()

@@ -162,3 +162,12 @@ def test_panel_and_discontinuity(spark):
     df = spark.createDataFrame(pd.DataFrame({"x": x, "y": x + 3.0 * (x >= 0)}))
     assert verbs_more.rdd(df, "x", "y", 0.0) == pytest.approx(3)
     assert verbs_more.brownian(spark, 2, 10).count() == 20
+
+
+def test_long_steady_runs_have_no_change_points():
+    r = np.random.default_rng(3)
+    steady = r.normal(0, 1, 1200)
+    found = kernels.bocpd(steady)
+    assert len(found) <= 2 and found == kernels.bocpd(steady, negligible=0.0)
+    step = kernels.bocpd(np.concatenate([steady, r.normal(4, 1, 300)]))
+    assert step[: len(found)] == found and step[len(found) :] and all(abs(k - 1200) <= 3 for k in step[len(found) :])
