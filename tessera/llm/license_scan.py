@@ -46,49 +46,76 @@ BASE_WEIGHT, TAG_WEIGHT, BAD_TAG_WEIGHT = 0.6, 0.9, 0.3
 TAG = "spdx license identifier"
 _TAG_TEXT = re.compile(r"spdx[^a-z0-9]+license[^a-z0-9]+identifier[^a-z0-9(\n]*([^\n]*)", re.IGNORECASE | re.ASCII)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+|\S")
+_IDENTIFIER = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+:-]*")
 _PRECEDENCE = {"OR": 1, "AND": 2, "WITH": 3}
 
 
-def to_postfix(expression: str) -> list[str]:
-    """Shunting yard: identifiers and operators in postfix order; ValueError where it is no licence expression."""
+def _read(tokens: list[str], prose: bool = False) -> tuple[list[str] | None, str]:
+    """Shunting yard in one pass: the postfix form of the longest start that is an expression, and what ended the pass.
+
+    Behind an operand with no parenthesis open, what is read so far is an expression; the operators that wait go behind it.
+    In prose, full stops after its last identifier are not part of it.
+    """
     out: list[str] = []
     operators: list[str] = []
-    want_operand = True
-    for token in _TOKEN.findall(expression):
+    want_operand, depth = True, 0
+    best: tuple[int, list[str], str] | None = None  # the output's length, the waiting operators, the last token
+    fault = ""
+    for token in tokens:
         upper = token.upper()
         if token == "(":
             if not want_operand:
-                raise ValueError("operator expected")
+                fault = "operator expected"
+                break
             operators.append(token)
+            depth += 1
         elif token == ")":
             if want_operand:
-                raise ValueError("identifier expected")
-            while operators and operators[-1] != "(":
+                fault = "identifier expected"
+                break
+            if not depth:
+                fault = "no opening parenthesis"
+                break
+            while operators[-1] != "(":
                 out.append(operators.pop())
-            if not operators:
-                raise ValueError("no opening parenthesis")
             operators.pop()
+            depth -= 1
         elif upper in _PRECEDENCE:
             if want_operand:
-                raise ValueError("identifier expected")
+                fault = "identifier expected"
+                break
             while operators and operators[-1] != "(" and _PRECEDENCE[operators[-1]] >= _PRECEDENCE[upper]:
                 out.append(operators.pop())
             operators.append(upper)
             want_operand = True
-        elif re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9.+:-]*", token):
+        elif _IDENTIFIER.fullmatch(token):
             if not want_operand:
-                raise ValueError("operator expected")
+                fault = "operator expected"
+                break
             out.append(token)
             want_operand = False
         else:
-            raise ValueError(f"unknown {token!r}")
-    if want_operand:
-        raise ValueError("identifier expected")
-    while operators:
-        if (op := operators.pop()) == "(":
-            raise ValueError("no closing parenthesis")
-        out.append(op)
-    return out
+            fault = f"unknown {token!r}"
+            break
+        if not want_operand and not depth and not (prose and token.rstrip(".").upper() in _PRECEDENCE):
+            best = len(out), operators[::-1], token
+    if not fault and (want_operand or depth):
+        fault = "identifier expected" if want_operand else "no closing parenthesis"
+    if best is None:
+        return None, fault
+    n, waiting, token = best
+    postfix = out[:n]
+    if prose and token != ")":
+        postfix[-1] = token.rstrip(".")
+    return postfix + waiting, fault
+
+
+def to_postfix(expression: str) -> list[str]:
+    """Identifiers and operators in postfix order; ValueError where it is no licence expression."""
+    postfix, fault = _read(_TOKEN.findall(expression))
+    if fault:
+        raise ValueError(fault)
+    return postfix
 
 
 def evaluate(postfix: list[str]) -> list[frozenset[str]]:
@@ -96,32 +123,28 @@ def evaluate(postfix: list[str]) -> list[frozenset[str]]:
 
     AND multiplies choices, so one with more than 64 choices is read as all its licences together.
     """
-    stack: list[list[frozenset[str]]] = []
+    stack: list[dict[frozenset[str], None]] = []
     for token in postfix:
         if token not in _PRECEDENCE:
-            stack.append([frozenset([token.lower()])])
+            stack.append({frozenset([token.lower()]): None})
             continue
         b, a = stack.pop(), stack.pop()
         if token == "OR":
-            stack.append(list(dict.fromkeys(a + b)))
+            a.update(b)
+            stack.append(a)
         elif token == "WITH":
-            stack.append([frozenset(f"{x} with {y}" for x in one for y in b[0]) for one in a])
+            stack.append({frozenset(f"{x} with {y}" for x in one for y in next(iter(b))): None for one in a})
         elif len(a) * len(b) <= 64:
-            stack.append(list(dict.fromkeys(x | y for x in a for y in b)))
+            stack.append(dict.fromkeys(x | y for x in a for y in b))
         else:
-            stack.append([frozenset().union(*a, *b)])
-    return stack[0]
+            stack.append({frozenset().union(*a, *b): None})
+    return list(stack[0])
 
 
 def _line_expression(rest: str) -> list[frozenset[str]] | None:
-    """Of the longest start of the line that is an expression, token by token; comment ends and prose may follow it."""
-    tokens = _TOKEN.findall(rest)[:64]
-    for n in range(len(tokens), 0, -1):
-        try:
-            return evaluate(to_postfix(" ".join(tokens[:n]).rstrip(".")))
-        except ValueError:
-            continue
-    return None
+    """Of the longest start of the line that is an expression, in one pass; comment ends and prose may follow it."""
+    postfix, _ = _read(_TOKEN.findall(rest), prose=True)
+    return None if postfix is None else evaluate(postfix)
 
 
 def automaton():

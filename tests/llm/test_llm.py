@@ -324,6 +324,17 @@ def test_pii_added_kinds_and_redaction(spark):
     assert [r.text for r in sorted(out, key=lambda r: r.doc_id)][:-1] == ODD
 
 
+def test_long_license_expressions():
+    machine = license_scan.automaton()
+    names = [f"lic-{i}" for i in range(500)]
+    for op in ("AND", "OR"):
+        for text in (f" {op} ".join(names), "(" + f" {op} ".join(names) + ") */ and prose"):
+            got = license_scan.scan("SPDX-License-Identifier: " + text, machine)
+            assert got["labels"].split(",") == sorted(names) and got["score"] == license_scan.TAG_WEIGHT
+    for text, labels in (("MIT. This file", "mit"), ("MIT AND (X", "mit"), ("AND. x", ""), ("A WITH B OR C. */", "a with b,c")):
+        assert license_scan.scan("SPDX-License-Identifier: " + text, machine)["labels"] == labels
+
+
 def test_html(spark, small):
     pages = {r.page_id: r for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
     for r in queries.QUERIES["op10_html_extraction"](spark, small).collect():
