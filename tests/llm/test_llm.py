@@ -335,6 +335,13 @@ def test_long_license_expressions():
         assert license_scan.scan("SPDX-License-Identifier: " + text, machine)["labels"] == labels
 
 
+def test_ibans_before_words():
+    a, b = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    for text, found in ((f"{a} BIC COBADEFFXXX", [a]), (f"{b} {a} 12", [b, a]), (f"AB12 {a} BANK", [a]), (f"NO9386011117947 {a}X", ["NO9386011117947"]), (f"{a}0 x", [])):
+        assert [text[s.start : s.end] for s in pii.find(text) if s.kind == "iban"] == found
+    assert pii.redact(f"iban {a} BIC COBADEFFXXX") == "iban [IBAN] BIC COBADEFFXXX"
+
+
 def test_html(spark, small):
     pages = {r.page_id: r for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
     for r in queries.QUERIES["op10_html_extraction"](spark, small).collect():
