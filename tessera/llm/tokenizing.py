@@ -32,10 +32,18 @@ def tokenizer_path(name: str) -> str:
 MARKS = ".,!?*#%$&;:\"()|<>"
 
 
+def _stays_letter(c: str) -> bool:
+    """Whether the character is a letter in every version of Unicode, and still one letter when composed and lower-cased.
+
+    Others (such as U+0130, which becomes i and a combining mark) may be, but their pieces are encoded whole.
+    """
+    return c.isalpha() and (c < "\u0250" and c != "\u0130" or "\u0400" <= c <= "\u0481" or "\u4e00" <= c <= "\u9fa5")
+
+
 def _base(piece: str) -> str:
-    """The piece without the marks at its end, if a letter stands before them; else the piece."""
+    """The piece without the marks at its end, if what stands before them surely ends in a letter; else the piece."""
     base = piece.rstrip(MARKS)
-    return base if base and base[-1].isalpha() else piece
+    return base if base and _stays_letter(base[-1]) else piece
 
 
 def _byte_letters() -> list[str]:
@@ -154,7 +162,8 @@ class ByteCounts(_Memo):
         return len(ids)
 
     def written(self, piece: str) -> str | None:
-        if piece[piece[0] == " " :].isalpha():
+        word = piece[piece[0] == " " :]
+        if word.isalpha() and (max(word) < "\u0250" or all(map(_stays_letter, word))):
             return "".join([self.letters[b] for b in piece.encode()])
         return None
 

@@ -166,15 +166,21 @@ def test_decontamination_against_brute_force(spark, small, documents):
         assert (r.n_words, r.n_hit, r.n_items) == (len(w), len(hit), len(items))
 
 
-PIECES = st.sampled_from(["word", "It's", " ", "  ", "\n", "\n\n", ".", ",", "!!", "é", "ß", "İ", "中", "<|endoftext|>", "\t", "\u00a0", "\x1c", "12", "&&&", "'ll", "\u0301", "Ab,", "\x85"])
+PIECES = st.one_of(
+    st.sampled_from(["word", "It's", " ", "  ", "\n", "\n\n", ".", ",", "!!", "é", "ß", "İ", "中", "<|endoftext|>", "\t", "\u00a0", "\x1c", "12", "&&&", "'ll", "\u0301", "Ab,", "\x85", "<", "|", "Σ", "K", "ŉ", ";", "\u0338"]),
+    st.text(alphabet=st.characters(exclude_categories=["Cs"]), min_size=1, max_size=3),
+    st.text(alphabet=st.characters(categories=["Lu", "Lt", "Lm", "Lo", "Mn", "Nl", "No", "Sk", "Zs"]), min_size=1, max_size=3),
+)
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=3000, deadline=None)
 @given(st.lists(PIECES, max_size=12))
 def test_memos_equal_tokenizers(parts):
     text = "".join(parts)
     for cls, name in ((tokenizing.WordIds, "word_bpe_49k.json"), (tokenizing.ByteCounts, "byte_bpe_50k.json")):
-        k = _MEMOS.setdefault(name, None) or _MEMOS.__setitem__(name, cls(tokenizing.tokenizer_path(name))) or _MEMOS[name]
+        if name not in _MEMOS:
+            _MEMOS[name] = cls(tokenizing.tokenizer_path(name))
+        k = _MEMOS[name]
         ids = k.tokenizer.encode(text, add_special_tokens=False).ids
         if cls is tokenizing.WordIds:
             assert np.frombuffer(k.encode([text])[0], "<u4").tolist() == ids
@@ -182,6 +188,12 @@ def test_memos_equal_tokenizers(parts):
             assert k.counts([text]) == [len(ids)]
 
 
+@pytest.mark.parametrize("code", [0x130, 0x149, 0x1F0, 0x3A3, 0x37E, 0x212A, 0x1E9E, 0xFB01, 0x1100, 0x10400, 0x1E900, 0x1DF00])
+def test_marks_behind_odd_letters(code):
+    test_memos_equal_tokenizers.hypothesis.inner_test([chr(code), "."])
+    test_memos_equal_tokenizers.hypothesis.inner_test(["a" + chr(code) + "!?", " b" + chr(code), "\u0301,"])
+
+
 _MEMOS: dict = {}
 
 
