@@ -40,14 +40,65 @@ def space_words(data: bytes) -> list[bytes]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it names none, as in tests, a new one."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it names none, a new one, but for local masters only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def quoted(name: str) -> str:
+    """The name as an expression, whatever marks it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def ddl_of(df: DataFrame) -> str:
+    """The frame's columns as DDL."""
+    return ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of the frame is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+#: Tables of up to so many rows and characters are broadcast by join_back.
+BROADCAST_ROWS, BROADCAST_CHARS = 100_000, 4_000_000
+#: Keys with more than this share of the rows are heavy; there are no more of them than its reciprocal.
+HEAVY_SHARE = 1 / 1000
+
+
+def join_back(rows: DataFrame, small: DataFrame, key: str, weight: str, value: str) -> DataFrame:
+    """Adds to each row its key's ``value`` (null where there is none); keys may hold any share of the rows, null is a key too.
+
+    small: a written table with one row a key: key, weight (the rows of that key) and value. It is broadcast if its size
+    allows it. If not, heavy keys, which are few by definition, are broadcast, and their rows are spread in the shuffle
+    that joins the others.
+    """
+    k, h, hv, s, sv, spread = unused(rows.select(*map(quoted, rows.columns), F.lit(0).alias(value)), "_key", "_heavy", "_heavy_value", "_small", "_small_value", "_spread")
+    known = small.select(F.col(key).alias(s), F.col(weight).alias(k), F.col(value).alias(sv))
+    size = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.col(s).cast("string"))), F.lit(0)).alias("chars"), F.coalesce(F.sum(k), F.lit(0)).alias("rows")).first()
+    own = [F.col(quoted(c)) for c in rows.columns]
+    mine = F.col(quoted(key))
+    if size.n <= BROADCAST_ROWS and size.chars <= BROADCAST_CHARS:
+        return rows.join(F.broadcast(known), mine.eqNullSafe(F.col(s)), "left").select(*own, F.col(sv).alias(value))
+    heavy = F.col(k) > HEAVY_SHARE * size.rows
+    first = rows.join(F.broadcast(known.filter(heavy).select(F.col(s).alias(h), F.struct(sv).alias(hv))), mine.eqNullSafe(F.col(h)), "left")
+    first = first.withColumn(spread, F.when(F.col(hv).isNotNull(), 1 + F.monotonically_increasing_id() % 4096).otherwise(0))
+    rest = known.filter(~heavy).select(s, sv, F.lit(0).cast("long").alias(k))
+    joined = first.join(rest, mine.eqNullSafe(F.col(s)) & (F.col(spread) == F.col(k)), "left")
+    return joined.select(*own, F.coalesce(F.col(hv)[sv], F.col(sv)).alias(value))
+
+
 class Stages:
     """Tables that cut lineage, written to the shared folder; a lost executor loses none of them."""
 
