@@ -77,21 +77,20 @@ BROADCAST_ROWS, BROADCAST_CHARS = 100_000, 4_000_000
 HEAVY_SHARE = 1 / 1000
 
 
-def join_back(rows: DataFrame, small: DataFrame, key: str, weight: str, value: str) -> DataFrame:
+def join_back(rows: DataFrame, small: tuple[DataFrame, dict], key: str, weight: str, value: str) -> DataFrame:
     """Adds to each row its key's ``value`` (null where there is none); keys may hold any share of the rows, null is a key too.
 
-    small: a written table with one row a key: key, weight (the rows of that key) and value. It is broadcast if its size
-    allows it. If not, heavy keys, which are few by definition, are broadcast, and their rows are spread in the shuffle
+    small: a written table with one row a key and its size, as ``Stages.keyed`` gives them: key, weight (the rows of that
+    key) and value. It is broadcast if its size allows it. If not, heavy keys, which are few by definition, are broadcast, and their rows are spread in the shuffle
     that joins the others.
     """
     k, h, hv, s, sv, spread = unused(rows.select(*map(quoted, rows.columns), F.lit(0).alias(value)), "_key", "_heavy", "_heavy_value", "_small", "_small_value", "_spread")
-    known = small.select(F.col(key).alias(s), F.col(weight).alias(k), F.col(value).alias(sv))
-    size = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.col(s).cast("string"))), F.lit(0)).alias("chars"), F.coalesce(F.sum(k), F.lit(0)).alias("rows")).first()
+    known, size = small[0].select(F.col(key).alias(s), F.col(weight).alias(k), F.col(value).alias(sv)), small[1]
     own = [F.col(quoted(c)) for c in rows.columns]
     mine = F.col(quoted(key))
-    if size.n <= BROADCAST_ROWS and size.chars <= BROADCAST_CHARS:
+    if size["n"] <= BROADCAST_ROWS and size["chars"] <= BROADCAST_CHARS:
         return rows.join(F.broadcast(known), mine.eqNullSafe(F.col(s)), "left").select(*own, F.col(sv).alias(value))
-    heavy = F.col(k) > HEAVY_SHARE * size.rows
+    heavy = F.col(k) > HEAVY_SHARE * size["rows"]
     first = rows.join(F.broadcast(known.filter(heavy).select(F.col(s).alias(h), F.struct(sv).alias(hv))), mine.eqNullSafe(F.col(h)), "left")
     first = first.withColumn(spread, F.when(F.col(hv).isNotNull(), 1 + F.monotonically_increasing_id() % 4096).otherwise(0))
     rest = known.filter(~heavy).select(s, sv, F.lit(0).cast("long").alias(k))
@@ -111,6 +110,19 @@ class Stages:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def measured(self, df: DataFrame, name: str, **metrics) -> tuple[DataFrame, dict]:
+        """Writes the table and gives these aggregates of it from the same job, besides its number of rows ``n``."""
+        from pyspark.sql import Observation
+
+        seen = Observation()
+        out = self.write(df.observe(seen, F.count(F.lit(1)).alias("n"), *[e.alias(k) for k, e in metrics.items()]), name)
+        return out, seen.get
+
+    def keyed(self, df: DataFrame, name: str, key: str, weight: str) -> tuple[DataFrame, dict]:
+        """Writes the table and gives the size of it that join_back asks for."""
+        chars = F.coalesce(F.sum(F.length(F.col(key).cast("string"))), F.lit(0))
+        return self.measured(df, name, chars=chars, rows=F.coalesce(F.sum(weight), F.lit(0)))
+
     def free(self) -> None:
         """Lets Spark remove the shuffle files of what has been written; it does so when the driver's garbage is collected."""
         import gc

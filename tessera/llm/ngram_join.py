@@ -1,57 +1,61 @@
 """Similarity self-join of documents on word n-grams: all pairs of Jaccard similarity from a threshold, as components.
 
 Each document is the set of its distinct n-grams, hashed to 64 bits; equal sets are one node, so copies cost nothing.
-The join is size-aware. Small sets enumerate subsets of fixed sizes: two linked sets share a subset that has the least
-overlap's size, and a key is the hash of such a subset. Large sets enter inverted lists: ordered by how common n-grams
-are in the whole corpus, two linked sets share one of their rarest, so only those are listed, and a few more: with e more in
-the lists, linked sets share at least 1 + e, so sets that share less with all others go unseen. The boundary is the size
-up to which enumerating is cheaper than listing, by the mean length of the lists that a set would meet.
-
-Lists are scanned in rounds. First each node is held against the partners with which it shares most keys; linked nodes
-are merged into components; nodes of long lists are then held against random partners of other components; at last all
-pairs of a list that are still in different components are compared. So a group of near copies costs little more than
-its size, no pair within a component needs a comparison, and no link between components is lost.
-
-Documents without words are linked with nothing; those with fewer words than n are one n-gram. Null texts have no words.
-Rows of a null key come back with a null component and link nothing. Repeated rows and ties are one node. Every stage is
-written to the shared folder. Two different sets are taken for equal with a chance of one in 2**64 a pair.
+The join is size-aware. Sets are listed under their first n-grams in the order of hashes (their prefix): q of the n-grams
+of a set stay behind, so two linked sets share at least the overlap that a link needs less the larger q. The prefix is a
+little longer than a link needs, so linked sets share at least 1 + extra n-grams, and a set that shares less with all others
+together is out. Of what it shares, each set keeps the rarest, so that any two linked sets still share 1 + extra/2 of them,
+and the n-grams that most documents have are scanned by those only that have little else. Small sets leave the lists and
+enumerate subsets of fixed sizes instead: two linked sets share their overlap as a subset, and a key is a subset's hash. The
+boundary is the size up to which enumerating is cheaper than scanning, by the mean length of the lists that sets have kept.
+
+Lists are scanned in rounds. Each node is held against neighbours in random orders of its lists, those first with which it
+shares most; linked nodes are merged into components. At last all pairs of a list that are still in different components
+are compared: in short lists one by one, in long ones in blocks, where one of a pair is an outsider to the list's largest
+component. So a group of near copies costs little more than its size, no pair within a component needs a comparison, and
+no link between components is lost. Sets travel once to each pair of blocks of nodes, not to each pair of nodes.
+
+No task holds a whole list or a group of copies: counts are combined before shuffles, joins on keys are split by adaptive
+execution, long lists are dealt out by salts or blocks. Nothing of the documents passes the driver but the bits of a filter
+of at most MAX_BITS. Documents without words are linked with nothing; those with fewer words than n are one n-gram. Null
+texts have no words. Texts of any length are read whole. Keys may be of any ordered type; rows of a null key come back with
+a null component and link nothing. Repeated rows and ties are one node; empty tables give no rows. Only key, n_shingles and
+component_id are returned; ``deduplicate`` keeps all columns, whatever their names. Every stage is written to the shared
+folder. Two different sets are taken for equal with a chance of one in 2**64 a pair.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from collections.abc import Iterator
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm._shared import LOWER_TABLE, Stages, map_rows, space_words, table
+from tessera.llm._shared import LOWER_TABLE, Stages, join_back, map_rows, quoted, space_words, table, unused
 
 SHINGLE, PERCENT = 4, 85
-#: An n-gram in more lists than this is common and goes behind rarer ones; at most so many are told to the executors.
-COMMON_FROM, MAX_COMMON = 32, 500_000
-#: n-grams listed beyond the prefix, in hundredths of the size.
+#: n-grams listed beyond the prefix that a link needs, in hundredths of the size.
 EXTRA_PERCENT = 4
-#: Sizes beyond this are never enumerated, whatever lists cost.
-MAX_BOUNDARY = 20
-#: Partners by shared keys in the first round; lists up to this length give all their pairs to it.
-FIRST_PARTNERS, SHORT_LIST = 2, 8
-RANDOM_ROUNDS, RANDOM_LAGS = 2, 3
-#: Lists of more nodes are not enumerated by pairs: their nodes' sets are scanned against blocks of outsiders' sets.
-LONG_LIST = 64
-#: Bytes of n-grams of a block of outsiders.
-BLOCK_BYTES = 8_000_000
-#: Times that nodes of too few shared keys are taken out of the lists.
+#: Times that sets which share too little are taken out of the lists.
 PRUNINGS = 2
-SALTS = 8
-_WORDS_KEPT = 250_000
-#: Bits of the filter of repeated n-grams. It only orders n-grams, so it may be too small for a corpus, but then lists grow.
-ORDER_BITS = 1 << 27
-#: Bits of the filter of the nodes whose sets are needed; of a fixed size, as others only cost time.
-FILTER_BITS = 1 << 26
+#: Rounds over random orders, the neighbours that a node is held against in each list, and the best of them that are compared.
+ROUNDS, LAGS, PARTNERS = 2, 2, 2
+#: Rows of a list that are put into one order; longer lists are dealt out by hash.
+LIST_ROWS = 10_000
+#: Lists of more nodes are not enumerated by pairs but compared in blocks.
+LONG_LIST = 64
+#: Bytes of n-grams of a block of nodes; two blocks meet in a task.
+BLOCK_BYTES = 4_000_000
+#: Partners from which a set is counted against an index of the others rather than pair by pair.
+INDEX_FROM = 16
+#: Bits of a filter of keys: as many a key, and at most so many in all. Beyond, more rows pass it to the exact join behind.
+BITS_A_KEY, MAX_BITS = 16, 1 << 28
+_WORDS_KEPT = 100_000
 
 _U = np.uint64
 _MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
@@ -100,22 +104,27 @@ def node_of(s: np.ndarray) -> int:
 
 
 def least(n, percent: int = PERCENT):
-    """Words of overlap that a set of n needs with any partner."""
+    """n-grams of overlap that a set of n needs with any partner."""
     return -(-percent * n // 100)
 
 
-def extra(n: int) -> int:
-    """n-grams that are listed beyond the prefix; grows with n."""
-    return n * EXTRA_PERCENT // 100
+def extra(n: int, percent: int = PERCENT) -> int:
+    """n-grams that are listed beyond the prefix; never falls with n."""
+    return min(n * EXTRA_PERCENT // 100, least(n, percent) - 1)
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - least(n, percent) + 1 + extra(n)
+    """All but least - 1 - extra n-grams: so linked sets share 1 + extra of them at least."""
+    return n - least(n, percent) + 1 + extra(n, percent)
+
 
+def _extra(size: Column, percent: int) -> Column:
+    size = size.cast("long")
+    return F.least(F.floor(size * EXTRA_PERCENT / 100), F.floor((size * percent + 99) / 100) - 1).cast("int")
 
-def shared_at_least(n: int, percent: int = PERCENT) -> int:
-    """Listed n-grams that a set shares with any linked one; partners are no smaller than least(n)."""
-    return 1 + extra(least(n, percent))
+
+def _fits(a: Column, b: Column, percent: int) -> Column:
+    return F.least(a, b).cast("long") * 100 >= F.greatest(a, b).cast("long") * percent
 
 
 def subset_count(n: int, percent: int = PERCENT) -> int:
@@ -125,310 +134,209 @@ def subset_count(n: int, percent: int = PERCENT) -> int:
 def boundary(mean_list: float, percent: int = PERCENT) -> int:
     """The size up to which enumerating subsets is no dearer than scanning a prefix's lists."""
     b = 0
-    while b < MAX_BOUNDARY and subset_count(b + 1, percent) <= max(1.0, prefix_length(b + 1, percent) * mean_list):
+    while subset_count(b + 1, percent) <= max(1.0, prefix_length(b + 1, percent) * mean_list):
         b += 1
     return b
 
 
-def bit_of(s: np.ndarray) -> np.ndarray:
-    """The place of an n-gram in the filter of repeated ones; n-grams are hashes already."""
-    return (s ^ (s >> _U(29))) & _U(ORDER_BITS - 1)
-
-
-class Keys:
-    """The keys of a set. common: hashes, ascending, and how common each is (from 2); repeated: a filter of repeated ones (grade 1)."""
+def subsets(s: np.ndarray, percent: int = PERCENT) -> Iterator[np.ndarray]:
+    """Hashes of the subsets of least(n) to n n-grams, in parts of bounded size."""
+    parts = mix(s ^ _U(0x2545F4914F6CDD1D))
+    total, step = parts.sum(dtype=_U), 50_000
+    for left_out in range(len(s) - least(len(s), percent) + 1):
+        found, size = combinations(range(len(s)), left_out), _U(len(s) - left_out)
+        while chosen := list(islice(found, step)):
+            sums = parts[np.array(chosen, np.int64)].sum(axis=1, dtype=_U) if left_out else np.zeros(1, _U)
+            yield mix((total - sums + size) * _U(0x9E3779B97F4A7C15))
 
-    def __init__(self, common: np.ndarray, grades: np.ndarray, repeated: np.ndarray | None, small: int, percent: int):
-        self.common, self.grades, self.repeated, self.small, self.percent = common, grades, repeated, small, percent
-        self.from_listed = least(small + 1, percent)
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(common & _U(0xFFFFF)).astype(np.int64)] = True
 
-    def prefix(self, s: np.ndarray) -> np.ndarray:
-        length = prefix_length(len(s), self.percent)
-        if self.repeated is None:
-            return s[:length]
-        bit = bit_of(s)
-        grade = ((self.repeated[(bit >> _U(5)).astype(np.int64)] >> (bit & _U(31)).astype(np.uint32)) & np.uint32(1)).astype(np.int16)
-        at = np.flatnonzero(self.maybe[(s & _U(0xFFFFF)).astype(np.int64)])
-        if len(at):
-            place = np.minimum(np.searchsorted(self.common, s[at]), len(self.common) - 1)
-            is_common = self.common[place] == s[at]
-            grade[at[is_common]] = self.grades[place[is_common]]
-        return s[np.argsort(grade, kind="stable")[:length]]
+def _lists(parts: list[np.ndarray | None]) -> pa.Array:
+    """A list column of signed numbers; None is null."""
+    counts = [0 if p is None else len(p) for p in parts]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.int32())
+    values = pa.array(np.concatenate([np.empty(0, _U), *[p for p in parts if p is not None]]).view(np.int64), pa.int64())
+    mask = pa.array([p is None for p in parts], pa.bool_())
+    return pa.ListArray.from_arrays(offsets, values, mask=mask) if parts else pa.array([], pa.list_(pa.int64()))
 
-    def subsets(self, s: np.ndarray) -> np.ndarray:
-        parts = mix(s ^ _U(0x2545F4914F6CDD1D))
-        total, out = parts.sum(dtype=_U), []
-        for left_out in range(len(s) - least(len(s), self.percent) + 1):
-            size = _U(len(s) - left_out)
-            if left_out == 0:
-                out.append(np.array([total], _U) + size)
-            else:
-                out.append(np.array([total - parts[list(c)].sum(dtype=_U) for c in combinations(range(len(s)), left_out)], _U) + size)
-        return mix(np.concatenate(out) * _U(0x9E3779B97F4A7C15))
 
-    def __call__(self, s: np.ndarray) -> np.ndarray:
-        n = len(s)
-        if n > self.small:
-            return self.prefix(s)
-        return np.concatenate([self.subsets(s), self.prefix(s)]) if n >= self.from_listed else self.subsets(s)
+def _first_pass(n: int, percent: int, whole_to: int):
+    """Of each row: size and node; and, where the task has not just given them, the node's prefix, and its whole set if small."""
 
+    def make():
+        shingler, seen = Shingler(n), set()
 
-def _sets(batch: pa.RecordBatch, shingler: Shingler) -> list[np.ndarray]:
-    return [shingler(t) for t in batch.column("_text").to_pylist()]
-
-
-def _signed(parts: list[np.ndarray]) -> pa.Array:
-    return pa.array(np.concatenate([np.empty(0, _U), *parts]).view(np.int64), pa.int64())
-
+        def run(batch: pa.RecordBatch) -> dict:
+            sizes, nodes, prefixes, wholes = [], [], [], []
+            known = batch.column("_key").is_valid().to_pylist()
+            for text, keyed in zip(batch.column("_text").to_pylist(), known, strict=True):
+                s = shingler(text)
+                node = node_of(s) if len(s) else None
+                sizes.append(len(s))
+                nodes.append(node)
+                new = keyed and node is not None and node not in seen
+                if new:
+                    if len(seen) >= _WORDS_KEPT:
+                        seen.clear()
+                    seen.add(node)
+                prefixes.append(s[: prefix_length(len(s), percent)] if new else None)
+                wholes.append(s if new and len(s) <= whole_to else None)
+            return {"_key": batch.column("_key"), "n_shingles": sizes, "node": nodes, "prefix": _lists(prefixes), "whole": _lists(wholes)}
 
-def _once(seen: set, node: int) -> bool:
-    """Whether the task sees the node for the first time, as far as it remembers."""
-    if node in seen:
-        return False
-    if len(seen) >= _WORDS_KEPT:
-        seen.clear()
-    seen.add(node)
-    return True
+        return run
 
+    return make
 
-def _first_pass(n: int, percent: int):
-    """A header of each row, and (key, n): how often n-grams are listed when sets are ordered by hash alone."""
 
-    def make():
-        shingler, seen, keys = Shingler(n), set(), Keys(np.empty(0, _U), np.empty(0, np.int16), None, 0, percent)
+def _shared_keys(postings: DataFrame, stages: Stages, percent: int, name: str) -> DataFrame:
+    """node, size and ks: (n, key) of the keys that other nodes have too, rarest first, of nodes that share enough.
 
-        def run(batch: pa.RecordBatch) -> dict:
-            sets = _sets(batch, shingler)
-            nodes = [node_of(s) if len(s) else None for s in sets]
-            parts = [keys.prefix(s) for s, k in zip(sets, nodes, strict=True) if k is not None and _once(seen, k)]
-            found, counts = np.unique(np.concatenate([np.empty(0, _U), *parts]), return_counts=True)
-            h, k = len(sets), len(found)
-            return {
-                "doc_id": pa.concat_arrays([batch.column("_key"), pa.nulls(k, pa.int64())]),
-                "n_shingles": pa.concat_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.nulls(k, pa.int64())]),
-                "node": pa.concat_arrays([pa.array(nodes, pa.int64()), pa.nulls(k, pa.int64())]),
-                "key": pa.concat_arrays([pa.nulls(h, pa.int64()), _signed([found])]),
-                "n": pa.concat_arrays([pa.nulls(h, pa.int64()), pa.array(counts, pa.int64())]),
-            }
+    postings: node, size, key, perhaps repeated. n orders keys; repeated postings may raise it.
+    """
+    counts = postings.groupBy("key").agg(F.count("*").cast("int").alias("n"), F.min("node").alias("x"), F.max("node").alias("y"))
+    counts = stages.write(counts.filter("x <> y").select("key", "n"), "shared")
+    found = postings.join(counts, "key").groupBy("node").agg(F.max("size").alias("size"), F.sort_array(F.collect_set(F.struct("n", "key"))).alias("ks"))
+    found = stages.write(found.filter(F.size("ks") > _extra(F.col("size"), percent)), name)
+    stages.drop("shared")
+    return found
 
-        return run
 
-    return make
+def _kept(arrays: DataFrame, percent: int) -> DataFrame:
+    """node, size, f, n, key: of each node its rarest keys, so that linked nodes share 1 + f of them."""
+    e = _extra(F.col("size"), percent)
+    f = F.floor(e / 2).cast("int")
+    ks = F.slice("ks", 1, F.size("ks") - e + f)
+    return arrays.select("node", "size", f.alias("f"), F.explode(ks).alias("k")).select("node", "size", "f", "k.n", "k.key")
 
 
-def _postings(n: int, common, small: int, percent: int):
+def _subset_keys(percent: int):
     def make():
-        values = common.value
-        shingler, seen, keys = Shingler(n), set(), Keys(*values, small, percent)
-
         def run(batch: pa.RecordBatch) -> dict | None:
-            found, nodes, sizes = [], [], []
-            for s in _sets(batch, shingler):
-                if len(s) and _once(seen, node := node_of(s)):
-                    found.append(keys(s))
-                    nodes.append(node)
-                    sizes.append(len(s))
-            if not nodes:
-                return None
-            counts = [len(k) for k in found]
-            return {"key": _signed(found), "node": pa.array(np.repeat(np.array(nodes, np.int64), counts)), "size": pa.array(np.repeat(np.array(sizes, np.int32), counts))}
+            keys, nodes, sizes = [], [], []
+            for node, size, whole in zip(*(batch.column(c).to_pylist() for c in ("node", "size", "whole")), strict=True):
+                for part in subsets(np.array(whole, np.int64).view(_U), percent):
+                    keys.append(part)
+                    nodes.append(np.full(len(part), node, np.int64))
+                    sizes.append(np.full(len(part), size, np.int32))
+            return {"node": pa.array(np.concatenate(nodes)), "size": pa.array(np.concatenate(sizes)), "key": pa.array(np.concatenate(keys).view(np.int64))} if keys else None
 
         return run
 
     return make
 
 
-def _runs(batches, *names: str):
-    """Columns of rows that are sorted by key, as pieces that hold whole keys, unless one key has more rows than a batch.
+def _with_subsets(lists: DataFrame, arrays: DataFrame, wholes: DataFrame, small: int, stages: Stages, percent: int) -> DataFrame:
+    """lists, but sets up to the boundary stand under their subsets, and sets that may be linked with such under both."""
+    to = small * 100 // percent
+    few = wholes.join(arrays.filter(F.col("size") <= to).select("node", "size"), "node").dropDuplicates(["node"])
+    found = map_rows(few.select("node", "size", "whole"), _subset_keys(percent), "node long, size int, key long")
+    found = stages.write(found, "subsets")
+    counts = found.groupBy("key").agg(F.count("*").cast("int").alias("n")).filter("n > 1")
+    found = found.join(counts, "key").select("node", "size", F.lit(0).alias("f"), "n", "key")
+    return lists.filter(F.col("size") > small).withColumn("f", F.when(F.col("size") <= to, 0).otherwise(F.col("f"))).unionByName(found)
+
+
+def _neighbours(lists: DataFrame, seed: int, percent: int) -> DataFrame:
+    """Pairs of neighbours in a random order of each list, in different components; of each node the best by shared keys."""
+    place = F.xxhash64("node", F.lit(seed))
+    dealt = lists.select("key", "node", "size", "comp", place.alias("at"), F.pmod(F.col("at"), F.ceil(F.col("n") / LIST_ROWS)).alias("salt"))
+    order = Window.partitionBy("key", "salt").orderBy("at")
+    other = F.struct("node", "size", "comp")
+    near = dealt.select("node", "size", "comp", F.array(*[F.lead(other, k).over(order) for k in range(1, LAGS + 1)]).alias("os"))
+    near = near.select("node", "size", "comp", F.explode("os").alias("o"))
+    near = near.filter((F.col("comp") != F.col("o.comp")) & _fits(F.col("size"), F.col("o.size"), percent))
+    pairs = near.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    ends = pairs.select("a", "b", "n", F.explode(F.array("a", "b")).alias("end"))
+    best = Window.partitionBy("end").orderBy(F.desc("n"), F.xxhash64("a", "b"))
+    return ends.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= PARTNERS).select("a", "b").distinct()
+
+
+def _places(arrays: DataFrame, stages: Stages, percent: int) -> DataFrame:
+    """node and block: nodes that share their most common kept key stand together, in blocks of about BLOCK_BYTES."""
+    e = _extra(F.col("size"), percent)
+    home = F.element_at("ks", (F.size("ks") - e + F.floor(e / 2)).cast("int"))["key"]
+    own = stages.write(arrays.select("node", "size", home.alias("home")), "homes")
+    total = own.groupBy("home").agg(F.count("*").alias("rows"), F.sum(F.col("size").cast("long") * 8).alias("bytes"))
+    placed = join_back(own, stages.keyed(total, "totals", "home", "rows"), "home", "rows", "bytes")
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("bytes") / BLOCK_BYTES))
+    return stages.write(placed.select("node", F.xxhash64("home", chunk).alias("block")), "places")
+
+
+def _index(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams in order, and the set of each."""
+    values = np.concatenate([np.empty(0, _U), *sets])
+    owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    return values[order], owners[order]
+
+
+def _overlaps(s: np.ndarray, values: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+    """How many of its n-grams each indexed set holds."""
+    lo, hi = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+    counts = hi - lo
+    at = np.repeat(lo - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+    return np.bincount(owners[at], minlength=n)
+
+
+def _similar(sets: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray, percent: int, index: list) -> np.ndarray:
+    """Which pairs are linked. a is ascending; index: keeps the index of all sets once it is made."""
+    out = np.zeros(len(a), bool)
+    starts = np.append(np.flatnonzero(np.append(True, a[1:] != a[:-1])), len(a))
+    for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        s = sets[int(a[x])]
+        if y - x >= INDEX_FROM:
+            if not index:
+                names = np.array(sorted(sets), np.int64)
+                held = [sets[k] for k in names.tolist()]
+                index += [names, np.array([len(h) for h in held], np.int64), *_index(held)]
+            names, sizes, values, owners = index
+            at = np.searchsorted(names, b[x:y])
+            shared, n = _overlaps(s, values, owners, len(names))[at], sizes[at]
+            out[x:y] = 100 * shared >= percent * (len(s) + n - shared)
+        else:
+            for k in range(x, y):
+                both = np.sort(np.concatenate([s, sets[int(b[k])]]))
+                shared = int((both[1:] == both[:-1]).sum())
+                out[k] = 100 * shared >= percent * (len(both) - shared)
+    return out
 
-    Gives (arrays, whether the first key began in an earlier piece).
-    """
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-        at = int(np.searchsorted(held[0], held[0][-1], "left"))
-        if at:
-            yield [x[:at] for x in held]
-            held = [x[at:] for x in held]
-    if held is not None:
-        yield held
-
-
-def _shared_lists(batches):
-    """Drops repeats and keys of one node. Rows are sorted by key, then node; a long list passes in batches."""
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32())])
-    last = None  # the last distinct row and whether it has been given
+
+def _by_group(batches, names: tuple[str, ...], group: str):
+    """(new, columns): pieces of rows of one group each, as rows are sorted by it; new: whether a group begins."""
+    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        k, v, s = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "size"))
-        if last is not None:
-            k, v, s = np.append(last[0], k), np.append(last[1], v), np.append(last[2], s)
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1])
-        k, v, s = k[new], v[new], s[new]
-        same = np.zeros(len(k) + 1, bool)
-        same[1:-1] = k[1:] == k[:-1]
-        shared = same[1:] | same[:-1]
-        if last is not None and last[3]:
-            shared[0] = True
-            if len(k) > 1 and k[1] == k[0]:
-                shared[1] = True
-        give = shared.copy()
-        if last is not None and last[3]:
-            give[0] = False  # it has been given
-        give[-1] = False  # the next batch tells
-        if give.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[give]) for x in (k, v, s)], schema=schema)
-        end_given = len(k) == 1 and last is not None and last[3]
-        if not end_given and shared[-1]:
-            yield pa.RecordBatch.from_arrays([pa.array(x[-1:]) for x in (k, v, s)], schema=schema)
-            end_given = True
-        last = (k[-1:], v[-1:], s[-1:], end_given)
-
-
-def _pruned(lists: DataFrame, percent: int, small: int) -> DataFrame:
-    """Lists without the nodes that share too few keys to be linked with any, and without lists of one node."""
-    size = F.col("size")
-    low = F.ceil(size * percent / 100.0)
-    wanted = F.when(size <= small, 1).otherwise(1 + F.floor(low * EXTRA_PERCENT / 100))
-    # a partner small enough to have entered by subsets may share one subset only
-    wanted = F.when(low <= small, 1).otherwise(wanted)
-    rich = lists.groupBy("node").agg(F.count("*").alias("k"), F.first("size").alias("size")).filter(F.col("k") >= wanted).select("node")
-    kept = lists.join(rich, "node", "left_semi")
-    return kept.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared_lists, "key long, node long, size int")
-
-
-def _fits(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    a, b = a.astype(np.int64), b.astype(np.int64)
-    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
-
-
-_PAIR = "a long, b long, n long"
-
-
-def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    pairs, counts = np.unique(np.stack([low, high], 1), axis=0, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(counts.astype(np.int64))], names=["a", "b", "n"])
-
-
-def _lagged(arrays: list[np.ndarray], lags: range, percent: int, short: int | None, comps: bool):
-    """Pairs of rows of one key at the given distances; short: of lists up to this length all distances."""
-    k, v, s = arrays[:3]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    starts = np.flatnonzero(new)
-    lengths = np.repeat(np.diff(np.append(starts, len(k))), np.diff(np.append(starts, len(k))))
-    out = []
-    for lag in range(1, max(lags[-1], (short or 1) - 1) + 1):
-        if lag >= len(k):
-            break
-        ok = (k[lag:] == k[:-lag]) & _fits(s[lag:], s[:-lag], percent)
-        if lag not in lags:
-            ok &= lengths[lag:] <= short
-        if comps:
-            ok &= arrays[3][lag:] != arrays[3][:-lag]
-        at = np.flatnonzero(ok)
-        out.append((v[at], v[at + lag]))
-    a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 2
-    return a, b
-
-
-def _near_pairs(lists: DataFrame, seed: int, lags: range, percent: int, short: int | None, comps: bool) -> DataFrame:
-    """Pairs at given distances of each list's random order; memory is bounded as only neighbours are needed."""
-    names = ["key", "node", "size", *(["comp"] if comps else [])]
-    order = lists.select(*names).repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node", F.lit(seed)))
-
-    def run(batches):
-        for arrays in _runs(batches, *names):
-            a, b = _lagged(arrays, lags, percent, short, comps)
-            if len(a):
-                yield _pair_batch(a, b)
-
-    return order.mapInArrow(run, _PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-def _sized_pairs(a: list, b: list, m: list) -> pa.RecordBatch:
-    """Pairs, how often each is among these, and the smaller of their sizes."""
-    a, b, m = np.concatenate(a), np.concatenate(b), np.concatenate(m).astype(np.int32)
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((high, low))
-    low, high, m = low[order], high[order], m[order]
-    at = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
-    counts = np.diff(np.append(at, len(low)))
-    return pa.RecordBatch.from_arrays([pa.array(low[at]), pa.array(high[at]), pa.array(counts.astype(np.int64)), pa.array(m[at])], names=["a", "b", "n", "m"])
-
-
-def _cross_pairs(lists: DataFrame, percent: int, small: int) -> DataFrame:
-    """All pairs of a list in different components that share enough keys. lists: key, node, size, comp, far.
-
-    far: 0, 1 for nodes of long lists, 2 for outsiders among those. Pairs of an outsider and another far node are left out;
-    no other pair of different components shares a long list, so the lists at hand hold all keys that the others share.
-    """
-    order = lists.select("key", "node", "size", "comp", "far").repartition("key").sortWithinPartitions("key", "comp")
-    step = 2000
+        g = batch.column(group).to_numpy(zero_copy_only=False)
+        starts = np.append(np.flatnonzero(np.append(True, g[1:] != g[:-1])), len(g))
+        for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            part = batch.slice(x, y - x)
+            yield g[x] != last if last is not None else True, [part.column(n) for n in names]
+            last = g[x]
+
+
+def _links(pairs: DataFrame, sets: DataFrame, places: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are similar enough. A set goes once to each pair of blocks that has a pair of its node."""
+    x, y = places.select(F.col("node").alias("a"), F.col("block").alias("x")), places.select(F.col("node").alias("b"), F.col("block").alias("y"))
+    met = pairs.select("a", "b").join(x, "a").join(y, "b").select(F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("met"), "a", "b")
+    asked = met.select("met", F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = asked.join(sets, "node").select("met", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(0).cast("long").alias("b"), "grams")
+    rows = rows.union(met.select("met", F.lit(1), "a", "b", F.lit(None).cast("binary")))
 
     def run(batches):
-        for k, v, s, c, f in _runs(batches, "key", "node", "size", "comp", "far"):
-            new = np.ones(len(k), bool)
-            new[1:] = k[1:] != k[:-1]
-            starts = np.append(np.flatnonzero(new), len(k))
-            aa, bb, mm, held = [], [], [], 0
-            for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                ends = x + np.searchsorted(c[x:y], c[x:y], "right")  # of each row's component; later rows are of others
-                for i0 in range(x, y, step):
-                    i1 = min(y, i0 + step)
-                    own = ends[i0 - x : i1 - x]
-                    counts = y - own
-                    i = np.repeat(np.arange(i0, i1), counts)
-                    first = np.repeat(np.cumsum(counts) - counts, counts)
-                    j = np.repeat(own, counts) + np.arange(len(i)) - first
-                    ok = _fits(s[i], s[j], percent) & ~((np.minimum(f[i], f[j]) > 0) & (np.maximum(f[i], f[j]) == 2))
-                    aa.append(v[i[ok]])
-                    bb.append(v[j[ok]])
-                    mm.append(np.minimum(s[i[ok]], s[j[ok]]))
-                    held += len(aa[-1])
-                    if held > 500_000:
-                        yield _sized_pairs(aa, bb, mm)
-                        aa, bb, mm, held = [], [], [], 0
-            if held:
-                yield _sized_pairs(aa, bb, mm)
-
-    shared = order.mapInArrow(run, _PAIR + ", m int").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("m").alias("m"))
-    # m: the smaller size
-    return shared.filter((F.col("m") <= small) | (F.col("n") > F.floor(F.col("m") * EXTRA_PERCENT / 100))).select("a", "b", "n")
-
-
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are similar enough. Only sets that the filter lets through travel to the pairs."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    bits = pairs.sparkSession.sparkContext.broadcast(_filter_words(asked, "node"))
-    sets = _by_filter(sets, "node", bits, inside=True)
-    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
-
-    def make():
-        def run(batch: pa.RecordBatch) -> dict | None:
-            a, b = [], []
-            for x, y, gx, gy in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ga", "gb")), strict=True):
-                p, q = np.frombuffer(gx, _U), np.frombuffer(gy, _U)
-                both = np.sort(np.concatenate([p, q]))
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (len(both) - shared):
-                    a.append(x)
-                    b.append(y)
-            return {"a": a, "b": b} if a else None
-
-        return run
+        held: dict[int, np.ndarray] = {}
+        index: list = []
+        for new, (kind, a, b, grams) in _by_group(batches, ("kind", "a", "b", "grams"), "met"):
+            if new:
+                held, index = {}, []
+            kind, a, b = (c.to_numpy(zero_copy_only=False) for c in (kind, a, b))
+            n = int((kind == 0).sum())
+            held.update((k, np.frombuffer(g.as_py(), _U)) for k, g in zip(a[:n].tolist(), grams[:n], strict=True))
+            if n < len(a):
+                ok = _similar(held, a[n:], b[n:], percent, index)
+                if ok.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(a[n:][ok]), pa.array(b[n:][ok])], names=["a", "b"])
 
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-    return map_rows(joined.select("a", "b", "ga", "gb"), make, "a long, b long", sized="ga")
+    return rows.repartition("met").sortWithinPartitions("met", "kind", "a").mapInArrow(run, "a long, b long")
 
 
 def _between(links: DataFrame, comp: DataFrame) -> DataFrame:
@@ -437,86 +345,95 @@ def _between(links: DataFrame, comp: DataFrame) -> DataFrame:
     return found.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct()
 
 
-def _scan(rows: DataFrame, told, percent: int) -> DataFrame:
-    """Pairs of components linked by a row's set and one of the told outsiders' sets, by counting over their inverted lists."""
+def _short_pairs(lists: DataFrame, far: DataFrame, percent: int) -> DataFrame:
+    """Pairs of short lists that are in different components and share enough keys.
 
-    def run(batches):
-        values, owners, sizes, comps = told.value
-        seen: set[tuple[int, int]] = set()
-        for batch in batches:
-            new = []
-            for comp, grams in zip(batch.column("comp").to_pylist(), batch.column("grams").to_pylist(), strict=True):
-                s = np.frombuffer(grams, _U)
-                lo, hi = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
-                n = hi - lo
-                total = int(n.sum())
-                if not total:
-                    continue
-                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(total)
-                shared = np.bincount(owners[at], minlength=len(sizes))
-                linked = np.flatnonzero((100 * shared >= percent * (len(s) + sizes - shared)) & (comps != comp))
-                for other in set(comps[linked].tolist()):
-                    pair = (min(comp, other), max(comp, other))
-                    if pair not in seen:
-                        seen.add(pair)
-                        new.append(pair)
-            if new:
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in new], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    return rows.select("comp", "grams").mapInArrow(run, "a long, b long")
+    A pair that also shares a long list has an outsider among two far nodes. Its keys here are not all, so any one is enough.
+    """
+    flagged = lists.join(far.select("node", "outside"), "node", "left").select("key", F.struct("node", "size", "comp", "f", F.col("outside").isNotNull().alias("far"), F.coalesce("outside", F.lit(False)).alias("outside")).alias("v"))
+    held = flagged.groupBy("key").agg(F.collect_list("v").alias("vs"))
+    ones = held.select("vs", F.explode("vs").alias("v"))
+    both = ones.select("v", F.explode(F.filter("vs", lambda w: (w["node"] > F.col("v.node")) & (w["comp"] != F.col("v.comp")) & _fits(w["size"], F.col("v.size"), percent))).alias("w"))
+    any_one = F.col("v.far") & F.col("w.far") & (F.col("v.outside") | F.col("w.outside"))
+    least_n = F.when(any_one, 1).otherwise(1 + F.least("v.f", "w.f"))
+    pairs = both.select(F.col("v.node").alias("a"), F.col("w.node").alias("b"), least_n.alias("least")).groupBy("a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least"))
+    return pairs.filter("n >= least").select("a", "b")
+
+
+def _long_links(rows: DataFrame, far: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of components that are linked by an outsider and another node of a long list. rows: key, node, block, outside."""
+    per = rows.groupBy("key", "block").agg(F.max("outside").alias("o"))
+    met = per.alias("x").join(per.alias("y"), "key").filter("x.block <= y.block AND (x.o OR y.o)").select(F.col("x.block").alias("x"), F.col("y.block").alias("y")).distinct()
+    met = met.select(F.xxhash64("x", "y").alias("met"), F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    held = far.join(sets, "node").select("block", "comp", "outside", "grams")
+    sent = met.join(held, "block").repartition("met").sortWithinPartitions("met", "block")
+
+    def compare(comps: list[int], outside: list[bool], blocks: list[int], sets: list[np.ndarray]) -> set[tuple[int, int]]:
+        names, own, blocks = np.array(comps, np.int64), np.array([len(s) for s in sets], np.int64), np.array(blocks, np.int64)
+        out = np.flatnonzero(np.array(outside, bool))
+        pairs: set[tuple[int, int]] = set()
+        if not len(out):
+            return pairs
+        values, owners = _index([sets[k] for k in out.tolist()])
+        two = blocks[0] != blocks[-1]
+        for k, s in enumerate(sets):
+            shared, n = _overlaps(s, values, owners, len(out)), own[out]
+            ok = (100 * shared >= percent * (len(s) + n - shared)) & (names[out] != names[k])
+            if two:  # pairs within a block meet in a task of its own
+                ok &= blocks[out] != blocks[k]
+            pairs.update((min(comps[k], c), max(comps[k], c)) for c in set(names[out[ok]].tolist()))
+        return pairs
 
+    def run(batches):
+        held: tuple[list, list, list, list] = ([], [], [], [])
 
-def _last_links(lists: DataFrame, sets: DataFrame, done: DataFrame, comp: DataFrame, stages: Stages, percent: int, small: int) -> DataFrame:
-    """Pairs of components that any link joins. lists: key, node, size, comp of the lists with several components.
+        def finish():
+            found = compare(*held) if held[0] else set()
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    Pairs of short lists are enumerated. In a long list, one of two nodes of different components is an outsider, that is
-    not of the list's largest component; outsiders' sets pass in blocks of bounded bytes, and the sets of all nodes of long
-    lists are scanned against each block.
-    """
-    per = lists.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max_by("comp", F.struct("n", "comp")).alias("main")).filter(F.col("n") > LONG_LIST)
-    far = stages.write(lists.join(per.select("key", "main"), "key").groupBy("node").agg(F.max(F.col("comp") != F.col("main")).alias("outside"), F.first("comp").alias("comp")), "far")
-    flagged = lists.join(far.select("node", F.when(F.col("outside"), 2).otherwise(1).alias("far")), "node", "left").withColumn("far", F.coalesce("far", F.lit(0)))
-    pairs = _cross_pairs(flagged.join(per.select("key"), "key", "left_anti"), percent, small)
-    pairs = stages.write(pairs.select("a", "b").join(done, ["a", "b"], "left_anti"), "pairs")
-    found = _between(_links(pairs, sets, percent), comp)
-    if far.limit(1).count():
-        rows = stages.write(sets.join(far, "node"), "scanned")
-        held, size = [], 0
-
-        def block() -> DataFrame:
-            grams = [np.frombuffer(r.grams, _U) for r in held]
-            lengths = np.array([len(x) for x in grams], np.int64)
-            values, owners = np.concatenate(grams), np.repeat(np.arange(len(grams)), lengths)
-            order = np.argsort(values, kind="stable")
-            told = lists.sparkSession.sparkContext.broadcast((values[order], owners[order], lengths, np.array([r.comp for r in held], np.int64)))
-            return stages.write(_scan(rows, told, percent).distinct(), "links")
-
-        for r in rows.filter("outside").select("comp", "grams").toLocalIterator():
-            held.append(r)
-            size += len(r.grams)
-            if size >= BLOCK_BYTES:
-                found, held, size = found.union(block()), [], 0
-        if held:
-            found = found.union(block())
+        for new, columns in _by_group(batches, ("comp", "outside", "block", "grams"), "met"):
+            if new:
+                yield finish()
+                held = ([], [], [], [])
+            for into, c in zip(held, columns, strict=True):
+                into += c.to_pylist() if into is not held[3] else [np.frombuffer(g, _U) for g in c.to_pylist()]
+        yield finish()
+
+    return sent.mapInArrow(run, "a long, b long").distinct()
+
+
+def _last_links(lists: DataFrame, sets: DataFrame, places: DataFrame, comp: DataFrame, stages: Stages, percent: int) -> DataFrame:
+    """Pairs of components that any link joins. lists: key, node, size, f, comp of the lists with several components."""
+    per = lists.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    long = stages.write(per.filter(F.col("n") > LONG_LIST).select("key", "main"), "long")
+    rows = lists.join(long, "key").join(places, "node").select("key", "node", "comp", "block", (F.col("comp") != F.col("main")).alias("outside"))
+    rows = stages.write(rows, "rows")
+    far, size = stages.measured(rows.groupBy("node").agg(F.max("outside").alias("outside"), F.first("comp").alias("comp"), F.first("block").alias("block")), "far")
+    pairs = stages.write(_short_pairs(lists.join(long, "key", "left_anti"), far, percent), "pairs")
+    found = _between(_links(pairs, sets, places, percent), comp)
+    if size["n"]:
+        found = found.union(_long_links(rows, far, sets, percent))
     return stages.write(found.distinct(), "links")
 
 
 def components(edges: DataFrame, stages: Stages, a: str = "a", b: str = "b") -> DataFrame:
-    """node and comp (its component's least node) of every node of the edges, by alternating large and small stars."""
-    edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    edges = stages.write(edges, "stars")
-    before = None
+    """node and comp (its component's least node) of every node of the edges, by alternating large and small stars.
+
+    A star's centre may have any number of edges: its least neighbour is found by partial sums and joined back to them.
+    """
+    edges = stages.write(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "stars")
+    less, more = F.count_if(F.col("v") < F.col("u")), F.count_if(F.col("v") > F.col("u"))
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        smallest = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(smallest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(smallest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        edges = stages.write(small, "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if tuple(now) == before:
+        near = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("k"), ((less > 1) | (less == 1) & (more > 0)).alias("inner"))
+        near, size = stages.measured(near, "near", chars=F.lit(20) * F.count(F.lit(1)), rows=F.coalesce(F.sum("k"), F.lit(0)), inner=F.count_if("inner"))
+        if not size["inner"]:  # every node has one least neighbour, which has no lesser one itself: stars
             break
-        before = tuple(now)
+        large = join_back(both, (near, size), "u", "k", "m").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stages.write(large, "stars")
+        near = stages.keyed(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")), "near", "u", "k")
+        small = join_back(large, near, "u", "k", "m").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        edges = stages.write(small.filter("u <> v").distinct(), "stars")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
@@ -543,32 +460,24 @@ def _bitmap(ids: DataFrame, bit, bits: int) -> np.ndarray:
     return out
 
 
-def _filter_words(ids: DataFrame, key: str) -> np.ndarray:
-    return _bitmap(ids, F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)), FILTER_BITS)
-
-
-def _by_filter(rows: DataFrame, key: str, bits, inside: bool) -> DataFrame:
-    """The rows whose key's bit is set, or is not; without a shuffle."""
+def _filter_of(ids: DataFrame, key: str, n: int):
+    """A broadcast filter of a column's n values and its number of bits."""
+    bits = min(MAX_BITS, 1 << max(20, (n * BITS_A_KEY).bit_length()))
+    return ids.sparkSession.sparkContext.broadcast(_bitmap(ids, F.pmod(F.xxhash64(key), F.lit(bits)), bits)), bits
 
-    def run(batches):
-        for batch in batches:
-            bit = batch.column("_bit").to_numpy(zero_copy_only=False)
-            found = ((bits.value[bit // 32] >> (bit % 32).astype(np.uint32)) & np.uint32(1)).astype(bool)
-            yield batch.filter(pa.array(found == inside)).drop_columns(["_bit"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.withColumn("_bit", F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(FILTER_BITS))).mapInArrow(run, ddl)
+def _is_set(words: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return ((words[bit >> 5] >> (bit & 31).astype(np.uint32)) & np.uint32(1)).astype(bool)
 
 
-def _needed_sets(n: int):
+def _needed_sets(n: int, bits):
     def make():
         shingler = Shingler(n)
 
         def run(batch: pa.RecordBatch) -> dict | None:
-            sets = [s for s in _sets(batch, shingler) if len(s)]
-            if not sets:
-                return None
-            return {"node": [node_of(s) for s in sets], "grams": [s.tobytes() for s in sets]}
+            asked = _is_set(bits.value, batch.column("_bit").to_numpy(zero_copy_only=False))
+            sets = [s for t in batch.column("_text").filter(pa.array(asked)).to_pylist() if len(s := shingler(t))]
+            return {"node": [node_of(s) for s in sets], "grams": [s.tobytes() for s in sets]} if sets else None
 
         return run
 
@@ -577,100 +486,102 @@ def _needed_sets(n: int):
 
 def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = SHINGLE, percent: int = PERCENT, small: int | None = None) -> DataFrame:
     """key, n_shingles and component_id (the least key of the component) of every row. small: the boundary, else by cost."""
-    spark, stages = docs.sparkSession, Stages(docs.sparkSession, "ngram")
-    rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
-    first = stages.write(map_rows(rows, _first_pass(n, percent), "doc_id long, n_shingles long, node long, key long, n long", sized="_text"), "first")
-    headers = stages.write(first.filter("key IS NULL").select("doc_id", "n_shingles", "node"), "headers")
-    nodes = headers.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    known = rows.filter("_key IS NOT NULL")
-
-    counts = first.filter("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"))
-    # the repeated ones serve the filter, the common ones and the lists' mean length
-    repeated = stages.write(counts.filter("n > 1"), "repeated")
-    listed = first.filter("key IS NOT NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    rare = repeated.filter(F.col("n") <= COMMON_FROM).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).alias("n2")).first()
+    stages = Stages(docs.sparkSession, "ngram")
+    rows = docs.select(F.col(quoted(key)).alias("_key"), F.col(quoted(text)).alias("_text"))
+    kind = rows.schema["_key"].dataType.simpleString()
+    # sets of a size that even lists of all documents could make worth enumerating are kept whole
+    largest = boundary(float(rows.count()), percent) if small is None else small
+    first = map_rows(rows, _first_pass(n, percent, largest * 100 // percent), f"_key {kind}, n_shingles long, node long, prefix array<long>, whole array<long>", sized="_text")
+    first = stages.write(first, "first")
+    headers = first.select("_key", "n_shingles", "node")
+    nodes = headers.filter("node IS NOT NULL AND _key IS NOT NULL").groupBy("node").agg(F.min("_key").alias("rep"), F.count("*").alias("rows"))
+    nodes = stages.write(nodes, "nodes")
+
+    postings = first.filter("prefix IS NOT NULL").select("node", F.col("n_shingles").cast("int").alias("size"), F.explode("prefix").alias("key"))
+    arrays = _shared_keys(postings, stages, percent, "arrays0")
+    for k in range(1, PRUNINGS):
+        stages.free()
+        arrays = _shared_keys(arrays.select("node", "size", F.explode("ks.key").alias("key")), stages, percent, f"arrays{k}")
+        stages.drop(f"arrays{k - 1}")
+    lists = _kept(arrays, percent)
     if small is None:
-        once = max(1, listed - repeated.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n)
-        small = boundary((once + rare.n2) / (once + rare.n), percent)
-    stages.drop("first")
-    place = F.expr(f"(key ^ shiftrightunsigned(key, 29)) & {ORDER_BITS - 1}L")
-    marks = _bitmap(repeated, place, ORDER_BITS)
-    common = repeated.filter(F.col("n") > COMMON_FROM).orderBy(F.desc("n"), "key").limit(MAX_COMMON).toPandas()
-    hashes = common["key"].to_numpy(np.int64).view(_U)
-    order = np.argsort(hashes)
-    grades = np.floor(np.log2(np.maximum(common["n"].to_numpy(np.int64), 4))).astype(np.int16)
-    told = spark.sparkContext.broadcast((hashes[order], grades[order], marks))
-    stages.drop("repeated")
+        small = boundary(lists.agg(F.coalesce(F.avg("n"), F.lit(1.0))).first()[0], percent)
+    if small:
+        wholes = first.filter("whole IS NOT NULL").select("node", "whole")
+        lists = _with_subsets(lists, arrays, wholes, small, stages, percent)
+    lists = stages.write(lists, "lists")
+    places = _places(arrays, stages, percent)
     stages.free()
 
-    posted = map_rows(known, _postings(n, told, small, percent), "key long, node long, size int", sized="_text")
-    lists = stages.write(posted.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared_lists, "key long, node long, size int"), "lists")
-
-    stages.free()
-    for k in range(PRUNINGS):
-        lists = stages.write(_pruned(lists, percent, small), f"lists{k}")
-    stages.drop("lists", *[f"lists{k}" for k in range(PRUNINGS - 1)])
-    stages.free()
-
-    needed = stages.write(lists.select("node").distinct().join(nodes, "node"), "needed")
-    bits = spark.sparkContext.broadcast(_filter_words(needed, "rep"))
+    needed, size = stages.measured(arrays.select("node").join(nodes, "node").select("rep"), "needed")
+    bits, size = _filter_of(needed, "rep", size["n"])
     # rows that the filter lets through by chance give sets that no pair asks for, or a second copy of one
-    passed = _by_filter(known, "_key", bits, inside=True)
-    sets = stages.write(map_rows(passed, _needed_sets(n), "node long, grams binary", sized="_text"), "sets")
-
-    # first round: the partners that share most keys
-    pairs = _near_pairs(lists, 0, range(1, 3), percent, SHORT_LIST, comps=False)
-    ends = pairs.select("a", "b", "n", F.explode(F.array("a", "b")).alias("end"))
-    best = Window.partitionBy("end").orderBy(F.desc("n"), F.xxhash64("a", "b"))
-    pairs = ends.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= FIRST_PARTNERS).select("a", "b").distinct()
-    done = stages.write(pairs, "pairs")
-    links = stages.write(_links(done, sets, percent), "links")
-    comp = stages.write(components(links, stages), "components")
-    stages.free()
-
-    # random partners first, as most nodes of a group find one; the last round compares all that is left
-    for turn in range(1, RANDOM_ROUNDS + 2):
-        labelled = lists.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_keys = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-        labelled = stages.write(labelled.join(open_keys, "key", "left_semi"), "open")
-        if not labelled.limit(1).count():
-            break
-        last = turn > RANDOM_ROUNDS
+    asked = rows.filter("_key IS NOT NULL").select("_text", F.pmod(F.xxhash64("_key"), F.lit(size)).alias("_bit"))
+    sets = stages.write(map_rows(asked, _needed_sets(n, bits), "node long, grams binary", sized="_text"), "copies")
+    sets = stages.write(sets.join(arrays.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    bits.destroy()
+    stages.drop("copies", "arrays*", "homes", "totals", "subsets")
+
+    comp, last = None, False
+    for turn in range(ROUNDS + 1):
+        stages.free()
+        if comp is None:
+            open_lists = lists.withColumn("comp", F.col("node"))
+        else:
+            open_lists = lists.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            several = open_lists.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
+            open_lists, left = stages.measured(open_lists.join(several, "key", "left_semi"), f"open{turn}")
+            if not left["n"]:
+                break
+        last = turn == ROUNDS
         if last:
-            found = _last_links(labelled, sets, done, comp, stages, percent, small)
+            found = _last_links(open_lists, sets, places, comp, stages, percent)
         else:
-            pairs = _near_pairs(labelled, turn, range(1, RANDOM_LAGS + 1), percent, None, comps=True)
-            pairs = stages.write(pairs.select("a", "b").join(done, ["a", "b"], "left_anti"), "pairs")
-            found = stages.write(_between(_links(pairs, sets, percent), comp), "links")
-            done = done.union(pairs)
-        merged = components(found, stages).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+            found = _links(stages.write(_neighbours(open_lists, turn, percent), "pairs"), sets, places, percent)
+            found = stages.write(found if comp is None else _between(found, comp), "links")
+        merged = components(found, stages)
+        if comp is None:
+            comp = stages.write(merged, f"components{turn}")
+            continue
+        merged = merged.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
         old = comp.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
         fresh = merged.join(comp, F.col("node") == merged["comp"], "left_anti").select(F.col("comp").alias("node"), F.col("to").alias("comp"))
-        comp = stages.write(old.union(fresh), "components")
-        if last:
-            break
-
-    labels = nodes.join(comp, "node", "left")
-    least_key = labels.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("rep").alias("component_id"))
-    labels = labels.join(least_key, "comp", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    labels = stages.write(labels, "labels")
-    stages.drop("lists*", "needed", "sets", "pairs", "links", "stars", "components", "open", "far", "scanned")
+        comp = stages.write(old.union(fresh), f"components{turn}")
+
+    # nodes that are alone in every way keep their own key
+    labels = nodes.join(comp, "node", "left").filter("comp IS NOT NULL OR rows > 1")
+    own = stages.write(labels.withColumn("comp", F.coalesce("comp", "node")), "own")
+    least_key = stages.keyed(own.groupBy("comp").agg(F.count("*").alias("k"), F.min("rep").alias("component_id")), "least", "comp", "k")
+    labels = stages.keyed(join_back(own, least_key, "comp", "k", "component_id").select("node", "rows", "component_id"), "labels", "node", "rows")
+    stages.drop("lists", "sets", "pairs", "links", "stars", "near", "components*", "open*", "long", "rows", "far", "own", "least", "places", "nodes", "needed")
     stages.free()
-    labels = labels.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = headers.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
-    return salted.join(labels, ["node", "_salt"], "left").select(F.col("doc_id").alias(key), "n_shingles", own)
+    found = join_back(headers, labels, "node", "rows", "component_id")
+    own_key = F.when(F.col("_key").isNotNull(), F.coalesce("component_id", "_key")).alias("component_id")
+    return found.select(F.col("_key").alias(key), "n_shingles", own_key)
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", n: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component (that of the least key), as it is, and all documents without words."""
-    found = ngram_join(docs, key=key, n=n, percent=percent)
+def deduplicate(docs: DataFrame, key: str = "doc_id", n: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+    """One document of each component (that of the least key), as it is, and all documents without words.
+
+    Rows of one key are kept or go together.
+    """
+    found = ngram_join(docs, text=text, key=key, n=n, percent=percent)
     stages = Stages(docs.sparkSession, "duplicates")
-    gone = stages.write(found.filter(F.col("component_id") != F.col(key)).select(F.col(key).alias("_gone")).distinct(), "gone")
+    name, bit = unused(docs, "_gone", "_bit")
+    gone, size = stages.measured(found.filter(F.col("component_id") != F.col(quoted(key))).select(F.col(quoted(key)).alias(name)).distinct(), "gone")
+    bits, size = _filter_of(gone, name, size["n"])
+
+    def passed(inside: bool) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                found = _is_set(bits.value, batch.column(bit).to_numpy(zero_copy_only=False))
+                yield batch.filter(pa.array(found == inside)).drop_columns([bit])
+
+        return docs.withColumn(bit, F.pmod(F.xxhash64(F.col(quoted(key))), F.lit(size))).mapInArrow(run, docs.schema)
+
     # most documents pass by the filter alone; only the rest are shuffled for the exact answer
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_words(gone, "_gone"))
-    rest = _by_filter(docs, key, bits, inside=True)
-    return _by_filter(docs, key, bits, inside=False).union(rest.join(gone, rest[key] == gone["_gone"], "left_anti"))
+    rest = passed(inside=True)
+    return passed(inside=False).union(rest.join(gone, rest[quoted(key)] == gone[name], "left_anti"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

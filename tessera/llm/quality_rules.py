@@ -81,10 +81,10 @@ def soft_rules(c: dict[str, Column]) -> Column:
     )
 
 
-def host_verdicts(counts: DataFrame, z: float = HOST_Z) -> DataFrame:
-    """counts: a written table of _h, n and k (failures). Adds host_bound and host_verdict: bad, doubtful or good."""
-    total = counts.agg(F.coalesce(F.sum("k"), F.lit(0.0)).alias("k"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("n")).first()
-    m = F.lit((total.k + 0.5) / (total.n + 1.0))
+def host_verdicts(counts: DataFrame, stages: Stages, z: float = HOST_Z) -> DataFrame:
+    """counts: _h, n and k (failures). Adds host_bound and host_verdict: bad, doubtful or good."""
+    counts, total = stages.measured(counts, "sums", k=F.coalesce(F.sum("k"), F.lit(0.0)), of=F.coalesce(F.sum("n"), F.lit(0.0)))
+    m = F.lit((total["k"] + 0.5) / (total["of"] + 1.0))
     over = (F.col("k") - F.col("n") * m) * (F.col("k") - F.col("n") * m) / (F.col("n") * m * (1.0 - m)) - 1.0
     rho = F.sum(over) / F.nullif(F.sum(F.col("n") - 1.0), F.lit(0.0))
     w = counts.agg(1.0 / F.greatest(F.least(F.coalesce(rho, F.lit(0.5)), F.lit(0.5)), F.lit(0.001)) - 1.0).first()[0]
@@ -97,8 +97,8 @@ def host_verdicts(counts: DataFrame, z: float = HOST_Z) -> DataFrame:
 def _judged(counted: DataFrame, stages: Stages, host: str, base: str, soft: str, verdict: str, z: float) -> DataFrame:
     """Adds the host's verdict to written rows that know what they fail."""
     sums = counted.groupBy(F.col(quoted(host)).alias("_h")).agg(F.count("*").cast("double").alias("n"), F.count_if(F.col(base) | F.col(soft)).cast("double").alias("k"))
-    hosts = stages.write(host_verdicts(stages.write(sums, "sums"), z).select(F.col("_h").alias(host), "n", F.col("host_verdict").alias(verdict)), "verdicts")
-    return join_back(counted, hosts, host, "n", verdict)
+    hosts = stages.keyed(host_verdicts(sums, stages, z).select("_h", "n", F.col("host_verdict").alias(verdict)), "verdicts", "_h", "n")
+    return join_back(counted, (hosts[0].withColumnRenamed("_h", host), hosts[1]), host, "n", verdict)
 
 
 def kept(base: Column, soft: Column, verdict: Column) -> Column:

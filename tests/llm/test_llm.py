@@ -103,11 +103,12 @@ def test_join_against_brute_force(spark, small, documents):
     assert joined(queries.QUERIES["op2_ngram_join"](spark, small)) == brute_components(documents, 4, 85)
 
 
-@pytest.mark.parametrize(("small_sets", "long_list"), [(None, 64), (0, 5), (14, 5)])
-def test_join_of_near_copies(spark, small_sets, long_list, monkeypatch):
+@pytest.mark.parametrize(("small_sets", "long_list", "rounds"), [(None, 64, 2), (0, 5, 0), (14, 5, 0), (7, 64, 0), (None, 3, 1)])
+def test_join_of_near_copies(spark, small_sets, long_list, rounds, monkeypatch):
     monkeypatch.setattr(ngram_join, "LONG_LIST", long_list)
-    monkeypatch.setattr(ngram_join, "RANDOM_ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
     monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 10_000)
+    monkeypatch.setattr(ngram_join, "LIST_ROWS", 20)
     r = np.random.default_rng(5)
     base = [f"w{i}" for i in r.integers(0, 500, 90)]
     texts = list(ODD)
@@ -122,6 +123,30 @@ def test_join_of_near_copies(spark, small_sets, long_list, monkeypatch):
     assert got == brute_components(dict(enumerate(texts)), 4, 85)
 
 
+def test_join_of_string_keys_and_nulls(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [("b", text), ("a", text), (None, text), ("c", None), ("b", text), ("d", text + " x")]
+    docs = spark.createDataFrame(rows, "id string, body string")
+    got = sorted(map(tuple, ngram_join.ngram_join(docs, text="body", key="id").collect()), key=str)
+    assert got == sorted([("b", 37, "a"), ("a", 37, "a"), (None, 37, None), ("c", 0, "c"), ("b", 37, "a"), ("d", 38, "a")], key=str)
+    assert ngram_join.ngram_join(docs.limit(0), text="body", key="id").count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 300), st.data())
+def test_prefixes_share_enough(n, data):
+    """Sets that are just similar enough share 1 + extra of their prefixes, however their n-grams are ordered."""
+    m = data.draw(st.integers(ngram_join.least(n), n))
+    overlap = -(-85 * (n + m) // 185)
+    if overlap > m:
+        return
+    r = np.random.default_rng(data.draw(st.integers(0, 2**31)))
+    union = r.permutation(n + m - overlap)
+    a, b = np.sort(union[:n]), np.sort(union[n - overlap :])
+    shared = set(a[: ngram_join.prefix_length(n)].tolist()) & set(b[: ngram_join.prefix_length(m)].tolist())
+    assert len(shared) > max(ngram_join.extra(n), ngram_join.extra(m)) and len(b) == m
+
+
 def test_deduplicate_keeps_one(spark):
     text = " ".join(f"w{i}" for i in range(40))
     docs = docs_of(spark, [text, text, text + " more", None, "", "other words here to keep"])
@@ -129,8 +154,9 @@ def test_deduplicate_keeps_one(spark):
 
 
 def test_boundary_follows_cost():
-    assert ngram_join.boundary(1.0) == 6 and ngram_join.boundary(1e9) == ngram_join.MAX_BOUNDARY
+    assert ngram_join.boundary(1.0) == 6 and 30 < ngram_join.boundary(1e9) < 60
     assert ngram_join.subset_count(13) == 14
+    assert sum(map(len, ngram_join.subsets(np.arange(20, dtype=np.uint64)))) == ngram_join.subset_count(20)
 
 
 def test_decontamination(spark):
