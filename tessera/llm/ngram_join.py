@@ -51,6 +51,8 @@ LIST_ROWS = 10_000
 LONG_LIST = 64
 #: Bytes of n-grams of a block of nodes; two blocks meet in a task.
 BLOCK_BYTES = 4_000_000
+#: Components of up to so many links are found in one task, of more by stars.
+ONE_TASK_LINKS = 500_000
 #: Partners from which a set is counted against an index of the others rather than pair by pair.
 INDEX_FROM = 16
 #: Bits of a filter of keys: as many a key, and at most so many in all. Beyond, more rows pass it to the exact join behind.
@@ -261,20 +263,58 @@ def _places(arrays: DataFrame, stages: Stages, percent: int) -> DataFrame:
     return stages.write(placed.select("node", F.xxhash64("home", chunk).alias("block")), "places")
 
 
-def _index(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All n-grams in order, and the set of each."""
-    values = np.concatenate([np.empty(0, _U), *sets])
-    owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = np.argsort(values, kind="stable")
-    return values[order], owners[order]
+class Overlaps:
+    """Counts the n-grams that sets share with indexed ones: frequent ones by products of matrices, the others by lists.
 
+    An n-gram is frequent where an eighth of the indexed sets have it, so the matrix takes at most eight times their n-grams.
+    """
 
-def _overlaps(s: np.ndarray, values: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
-    """How many of its n-grams each indexed set holds."""
-    lo, hi = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
-    counts = hi - lo
-    at = np.repeat(lo - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-    return np.bincount(owners[at], minlength=n)
+    def __init__(self, sets: list[np.ndarray]):
+        values, self.n = np.concatenate([np.empty(0, _U), *sets]), len(sets)
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        owners = np.repeat(np.arange(self.n), self.sizes)
+        order = np.argsort(values, kind="stable")
+        values, owners = values[order], owners[order]
+        grams, place, counts = np.unique(values, return_inverse=True, return_counts=True)
+        often = counts > max(8, self.n // 8)
+        self.frequent, self.column = grams[often], np.cumsum(often) - 1
+        at = often[place]
+        self.matrix = np.zeros((len(self.frequent), self.n), np.float32)
+        self.matrix[self.column[place[at]], owners[at]] = 1
+        self.values, self.owners = values[~at], owners[~at]
+
+    def of(self, sets: list[np.ndarray]) -> np.ndarray:
+        """(sets, indexed sets): n-grams in common."""
+        grams = np.concatenate([np.empty(0, _U), *sets])
+        rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        lo, hi = np.searchsorted(self.values, grams, "left"), np.searchsorted(self.values, grams, "right")
+        counts = hi - lo
+        at = np.repeat(lo - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+        out = np.bincount(np.repeat(rows, counts) * self.n + self.owners[at], minlength=len(sets) * self.n).reshape(len(sets), self.n)
+        if len(self.frequent):
+            place = np.minimum(np.searchsorted(self.frequent, grams), len(self.frequent) - 1)
+            hit = self.frequent[place] == grams
+            dense = np.zeros((len(sets), len(self.frequent)), np.float32)
+            dense[rows[hit], place[hit]] = 1
+            out += (dense @ self.matrix).astype(np.int64)
+        return out
+
+    def linked(self, sets: list[np.ndarray], percent: int) -> np.ndarray:
+        shared = self.of(sets)
+        own = np.array([len(s) for s in sets], np.int64)
+        return 100 * shared >= percent * (own[:, None] + self.sizes - shared)
+
+
+def parts_of(sets: list[np.ndarray], n: int = 200_000) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of sets with about so many n-grams in all."""
+    at, held = 0, 0
+    for k, s in enumerate(sets):
+        held += len(s)
+        if held >= n:
+            yield at, k + 1
+            at, held = k + 1, 0
+    if at < len(sets):
+        yield at, len(sets)
 
 
 def _similar(sets: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray, percent: int, index: list) -> np.ndarray:
@@ -286,12 +326,8 @@ def _similar(sets: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray, percent:
         if y - x >= INDEX_FROM:
             if not index:
                 names = np.array(sorted(sets), np.int64)
-                held = [sets[k] for k in names.tolist()]
-                index += [names, np.array([len(h) for h in held], np.int64), *_index(held)]
-            names, sizes, values, owners = index
-            at = np.searchsorted(names, b[x:y])
-            shared, n = _overlaps(s, values, owners, len(names))[at], sizes[at]
-            out[x:y] = 100 * shared >= percent * (len(s) + n - shared)
+                index += [names, Overlaps([sets[k] for k in names.tolist()])]
+            out[x:y] = index[1].linked([s], percent)[0][np.searchsorted(index[0], b[x:y])]
         else:
             for k in range(x, y):
                 both = np.sort(np.concatenate([s, sets[int(b[k])]]))
@@ -369,19 +405,19 @@ def _long_links(rows: DataFrame, far: DataFrame, sets: DataFrame, percent: int)
     sent = met.join(held, "block").repartition("met").sortWithinPartitions("met", "block")
 
     def compare(comps: list[int], outside: list[bool], blocks: list[int], sets: list[np.ndarray]) -> set[tuple[int, int]]:
-        names, own, blocks = np.array(comps, np.int64), np.array([len(s) for s in sets], np.int64), np.array(blocks, np.int64)
+        names, where = np.array(comps, np.int64), np.array(blocks, np.int64)
         out = np.flatnonzero(np.array(outside, bool))
         pairs: set[tuple[int, int]] = set()
         if not len(out):
             return pairs
-        values, owners = _index([sets[k] for k in out.tolist()])
-        two = blocks[0] != blocks[-1]
-        for k, s in enumerate(sets):
-            shared, n = _overlaps(s, values, owners, len(out)), own[out]
-            ok = (100 * shared >= percent * (len(s) + n - shared)) & (names[out] != names[k])
+        index, two = Overlaps([sets[k] for k in out.tolist()]), blocks[0] != blocks[-1]
+        for x, y in parts_of(sets):
+            ok = index.linked(sets[x:y], percent) & (names[x:y, None] != names[out])
             if two:  # pairs within a block meet in a task of its own
-                ok &= blocks[out] != blocks[k]
-            pairs.update((min(comps[k], c), max(comps[k], c)) for c in set(names[out[ok]].tolist()))
+                ok &= where[x:y, None] != where[out]
+            i, j = np.nonzero(ok)
+            found = np.unique(np.sort(np.stack([names[x + i], names[out[j]]], 1), axis=1), axis=0)
+            pairs.update(map(tuple, found.tolist()))
         return pairs
 
     def run(batches):
@@ -416,12 +452,32 @@ def _last_links(lists: DataFrame, sets: DataFrame, places: DataFrame, comp: Data
     return stages.write(found.distinct(), "links")
 
 
+def _merged(batches):
+    """node and comp of a bounded number of edges: least labels go along the edges and up until nothing changes."""
+    found = [(b.column("u").to_numpy(zero_copy_only=False), b.column("v").to_numpy(zero_copy_only=False)) for b in batches]
+    u, v = (np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v, label = place[: len(u)], place[len(u) :], np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, label[u], low)
+        np.minimum.at(new, label[v], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "comp"])
+
+
 def components(edges: DataFrame, stages: Stages, a: str = "a", b: str = "b") -> DataFrame:
     """node and comp (its component's least node) of every node of the edges, by alternating large and small stars.
 
     A star's centre may have any number of edges: its least neighbour is found by partial sums and joined back to them.
     """
-    edges = stages.write(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "stars")
+    edges, size = stages.measured(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "stars")
+    if size["n"] <= ONE_TASK_LINKS:
+        return edges.coalesce(1).mapInArrow(_merged, "node long, comp long")
     less, more = F.count_if(F.col("v") < F.col("u")), F.count_if(F.col("v") > F.col("u"))
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -489,8 +545,8 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
     stages = Stages(docs.sparkSession, "ngram")
     rows = docs.select(F.col(quoted(key)).alias("_key"), F.col(quoted(text)).alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
-    # sets of a size that even lists of all documents could make worth enumerating are kept whole
-    largest = boundary(float(rows.count()), percent) if small is None else small
+    # longer lists are not scanned by each node, so no mean is above LONG_LIST; sets that could be worth enumerating are kept whole
+    largest = boundary(float(LONG_LIST), percent) if small is None else small
     first = map_rows(rows, _first_pass(n, percent, largest * 100 // percent), f"_key {kind}, n_shingles long, node long, prefix array<long>, whole array<long>", sized="_text")
     first = stages.write(first, "first")
     headers = first.select("_key", "n_shingles", "node")
@@ -505,7 +561,7 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
         stages.drop(f"arrays{k - 1}")
     lists = _kept(arrays, percent)
     if small is None:
-        small = boundary(lists.agg(F.coalesce(F.avg("n"), F.lit(1.0))).first()[0], percent)
+        small = boundary(lists.agg(F.coalesce(F.avg(F.least("n", F.lit(LONG_LIST))), F.lit(1.0))).first()[0], percent)
     if small:
         wholes = first.filter("whole IS NOT NULL").select("node", "whole")
         lists = _with_subsets(lists, arrays, wholes, small, stages, percent)
@@ -522,28 +578,20 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
     bits.destroy()
     stages.drop("copies", "arrays*", "homes", "totals", "subsets")
 
-    comp, last = None, False
+    comp = docs.sparkSession.createDataFrame([], "node long, comp long")
     for turn in range(ROUNDS + 1):
         stages.free()
-        if comp is None:
-            open_lists = lists.withColumn("comp", F.col("node"))
-        else:
-            open_lists = lists.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            several = open_lists.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-            open_lists, left = stages.measured(open_lists.join(several, "key", "left_semi"), f"open{turn}")
-            if not left["n"]:
-                break
-        last = turn == ROUNDS
-        if last:
+        open_lists = lists.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        several = open_lists.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
+        open_lists, left = stages.measured(open_lists.join(several, "key", "left_semi"), f"open{turn}")
+        if not left["n"]:
+            break
+        if turn == ROUNDS:
             found = _last_links(open_lists, sets, places, comp, stages, percent)
         else:
-            found = _links(stages.write(_neighbours(open_lists, turn, percent), "pairs"), sets, places, percent)
-            found = stages.write(found if comp is None else _between(found, comp), "links")
-        merged = components(found, stages)
-        if comp is None:
-            comp = stages.write(merged, f"components{turn}")
-            continue
-        merged = merged.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+            pairs = stages.write(_neighbours(open_lists, turn, percent), "pairs")
+            found = stages.write(_between(_links(pairs, sets, places, percent), comp), "links")
+        merged = components(found, stages).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
         old = comp.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
         fresh = merged.join(comp, F.col("node") == merged["comp"], "left_anti").select(F.col("comp").alias("node"), F.col("to").alias("comp"))
         comp = stages.write(old.union(fresh), f"components{turn}")

@@ -103,8 +103,9 @@ def test_join_against_brute_force(spark, small, documents):
     assert joined(queries.QUERIES["op2_ngram_join"](spark, small)) == brute_components(documents, 4, 85)
 
 
-@pytest.mark.parametrize(("small_sets", "long_list", "rounds"), [(None, 64, 2), (0, 5, 0), (14, 5, 0), (7, 64, 0), (None, 3, 1)])
-def test_join_of_near_copies(spark, small_sets, long_list, rounds, monkeypatch):
+@pytest.mark.parametrize(("small_sets", "long_list", "rounds", "one_task"), [(None, 64, 2, 10**6), (0, 5, 0, 10**6), (14, 5, 0, 0), (None, 3, 1, 10**6)])
+def test_join_of_near_copies(spark, small_sets, long_list, rounds, one_task, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ONE_TASK_LINKS", one_task)
     monkeypatch.setattr(ngram_join, "LONG_LIST", long_list)
     monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
     monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 10_000)
@@ -123,6 +124,27 @@ def test_join_of_near_copies(spark, small_sets, long_list, rounds, monkeypatch):
     assert got == brute_components(dict(enumerate(texts)), 4, 85)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 2**31))
+def test_overlaps_and_merges(seed):
+    r = np.random.default_rng(seed)
+    sets = [np.unique(r.integers(0, 60, r.integers(1, 40))).astype(np.uint64) for _ in range(30)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    assert ngram_join.Overlaps(sets).of(sets).tolist() == want
+    assert [k for x, y in ngram_join.parts_of(sets, 50) for k in range(x, y)] == list(range(30))
+    edges = r.integers(0, 40, (int(r.integers(0, 50)), 2))
+    edges = np.sort(edges[edges[:, 0] != edges[:, 1]], 1)
+    parent = {int(k): int(k) for k in edges.ravel()}
+    for _ in range(60):
+        for a, b in edges.tolist():
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(edges[:, 1].copy()), pa.array(edges[:, 0].copy())], names=["u", "v"])
+    got = next(ngram_join._merged(iter([batch])))
+    assert dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)) == parent
+
+
 def test_join_of_string_keys_and_nulls(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [("b", text), ("a", text), (None, text), ("c", None), ("b", text), ("d", text + " x")]
