@@ -3,15 +3,18 @@
 A wrapper is a union-free regular expression over tags and texts. A page's token stream is folded (equal neighbouring
 groups become a repeated group) and aligned with its host's wrapper: what only one side has becomes optional, texts that
 differ become slots, and texts that are the same on all pages stay constant; so do, inside a repeated group, the texts
-that are in it on all pages. Constants of an item on more than half of the host's pages are template. Alignment is done page by page within a
-task, then between the tasks' wrappers, over salts first, so no task meets all pages of a large host. The texts of a page
-are then read through its host's wrapper: constant texts are template and go, inside an article too; slots and repeated
-groups are content. Boilerplate containers are checked after that. An article's bounds decide only where the host has too
-few pages for a wrapper, and a page that is all template is a copy, not a template, and is kept.
+that are in it on all pages. Constants of an item on more than half of the host's pages are template. Alignment is done
+page by page within a task, then between the tasks' wrappers, a bounded number at a time in as many rounds as it takes, so
+no task meets all pages or wrappers of a large host. The texts of a page are then read through its host's wrapper: constant
+texts are template and go, inside an article too; slots and repeated groups are content. Boilerplate containers are checked
+after that: by tag, role, and the words of class and id, of which inside an article only whole ones on containers count. An
+article's bounds decide only where the host has too few pages for a wrapper, and a page that is all template is a copy, not
+a template, and is kept.
 
 Null pages, URLs and hosts are allowed: a null page has an empty text, a null or odd URL belongs to the host ''. Malformed
-and cut-off pages are read as far as they go. Repeated rows and ties are alike; empty tables give no rows. Other columns
-than key, url and html are left out.
+and cut-off pages are read as far as they go, in time linear in their length; a tag that the page's end cuts off gives no
+text. Repeated rows and ties are alike; empty tables give no rows. Other columns than key, url and html are left out, so
+their names do no harm.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 import html as html_module
 import json
 import re
+import zlib
 from collections import OrderedDict
 
 import numpy as np
@@ -26,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import Stages, map_rows, table
+from tessera.llm._shared import Stages, join_back, map_rows, quoted, slices, table
 from tessera.llm.url_filters import parts
 
-#: Wrappers of up to so many characters in all are broadcast; more are joined over salts.
-BROADCAST_CHARS, SALTS = 4_000_000, 16
+#: Wrappers that are aligned in one task at a time, and hosts that a task holds before it hands their wrappers on.
+FAN, HELD_HOSTS = 64, 1000
 #: A constant is template where it is on more than this share of its host's pages; two pages that share texts may be copies.
 CONSTANT_SHARE, CONSTANT_FROM = 0.5, 3
 #: Groups of up to so many items are folded at once, longer ones by rising length.
@@ -38,7 +42,10 @@ SHORT = 12
 #: Alignments of more cells (a bit each) than this are halved until they fit: the same alignment in linear memory.
 CELLS = 1 << 28
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*(?:>|\Z)", re.DOTALL)
+_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^'">]++|"[^"]*"|'[^']*')*+)""")
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+#: Paths longer than this are told by their digest.
+PATH_CHARS = 200
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "xmp", "noembed"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -47,18 +54,20 @@ _CLOSES_P = _BLOCKS - {"caption", "body", "head", "html", "option", "tbody", "td
 _OUT_TAGS = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", "option", "label", "input"}
 _OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 _OUT_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "banner", "popup", "modal", "newsletter", "subscribe", "subscription", "share", "sharing", "social", "comment", "comments", "respond", "disqus", "related", "recommended", "widget", "widgets", "toolbar", "pagination", "pager", "login", "signup", "search", "masthead", "topbar", "skip"}
+_CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "details"}
 #: Class words after these say what a layout has, not what the element is.
 _LAYOUT = re.compile(r"(?<!\S)(?:has|with|no|without)[-_]\S*")
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-def _names(attrs: str) -> tuple[str, set[str], str]:
-    """First class, the words of class and id, role."""
+def _names(attrs: str) -> tuple[str, set[str], set[str], str]:
+    """First class, the whole words of class and id, the parts of these, role."""
     found = {}
     for m in _ATTRIBUTE.finditer(attrs):
         found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
-    words = {w for v in (_LAYOUT.sub("", found.get("class", "")), found.get("id", "")) for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", v).lower()) if w}
-    return (found.get("class", "").split() or [""])[0], words, found.get("role", "").lower()
+    own = (_LAYOUT.sub("", found.get("class", "")), found.get("id", ""))
+    words = {w for v in own for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", v).lower()) if w}
+    return (found.get("class", "").split() or [""])[0], {w for v in own for w in v.lower().split()}, words, found.get("role", "").lower()
 
 
 class Text:
@@ -77,84 +86,104 @@ def read(page: str | None) -> tuple[list[str | Text], bool]:
     """The page's tokens (tags and block texts, in order) and whether it has an article."""
     page = page or ""
     tokens: list[str | Text] = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, in an article, out, in a header of an article, out by more than words
-    path: list[str] = []
+    # of each open element: tag, path, in an article, out, in a header of an article, out by more than words, in a heading
+    stack: list[tuple[str, str, bool, bool, bool, bool, bool]] = []
+    outside = ("", "", False, False, False, False, False)
+    opened: dict[str, int] = {}
     text: Text | None = None
-    found_article, at, n = False, 0, len(page)
+    found_article, quotes, at, n = False, True, 0, len(page)
 
     def put(raw: str) -> None:
         nonlocal text
         if text is None:
-            if raw.isspace():
+            if not raw or raw.isspace():
                 return
-            _, article, out, header, _ = stack[-1] if stack else ("", False, False, False, False)
-            if header and not any(s[0] in _HEADINGS for s in stack):
-                out = True
-            text = Text("/".join(path), article, out)
+            _, path, article, out, header, _, heading = stack[-1] if stack else outside
+            text = Text(path, article, out or header and not heading)
             tokens.append(text)
         text.parts.append(raw)
 
     def pop_to(k: int) -> None:
-        for tag, *_ in reversed(stack[k:]):
-            tokens.append("/" + tag)
-        del stack[k:], path[k:]
+        for e in reversed(stack[k:]):
+            tokens.append("/" + e[0])
+            opened[e[0]] -= 1
+        del stack[k:]
 
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        if start < 0:
             put(page[at:])
             break
-        if m.start() > at:
-            put(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
+        follows = page[start + 1 : start + 2]
+        if follows == "!" or follows == "?" or follows == "/" and not page[start + 2 : start + 3].isalpha():
+            put(page[at:start])
+            end = page.find("-->", start + 4) + 2 if page.startswith("<!--", start) else page.find(">", start)
+            at = end + 1 if end > start else n
+            continue
+        m = (_TAG if quotes else _NAME).match(page, start)
+        if m is None:
+            put(page[at : start + 1])
+            at = start + 1
             continue
+        put(page[at:start])
+        end = m.end()
+        if not quotes or end < n and page[end] != ">":  # a quote that is never closed
+            quotes, end = False, page.find(">", start)
+        if end < 0 or end >= n:  # the page ends within the tag
+            break
+        closes, tag, attrs, at = m[1], m[2].lower(), page[min(m.end(2), end) : end], end + 1
         if tag in _RAW:
-            if not m["close"] and not m["attrs"].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else n
+            if not closes and not attrs.endswith("/"):
+                last = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
+                at = last.end() if last else n
             continue
         if tag in _BLOCKS:
             text = None
         elif tag == "br" and text is not None:
             text.parts.append("\n")
-        if m["close"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
+        if closes:
+            if opened.get(tag):
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                pop_to(k)
             continue
         if tag in _VOID:
             tokens.append(tag)
             continue
-        if tag in _CLOSES_P or tag == "li":
-            ends = {"p"} if tag != "li" else {"p", "li"}
+        ends = {"p", "li"} if tag == "li" else {"p"} if tag in _CLOSES_P else ()
+        if any(opened.get(e) for e in ends):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in ends:
                     pop_to(k)
                     break
                 if stack[k][0] in _BLOCKS:
                     break
-        name, words, role = _names(m["attrs"]) if m["attrs"] else ("", set(), "")
-        _, article, out, header, hard = stack[-1] if stack else ("", False, False, False, False)
+        name, whole, words, role = _names(attrs) if attrs else ("", set(), set(), "")
+        _, path, article, out, header, hard, heading = stack[-1] if stack else outside
         hard = hard or tag in _OUT_TAGS or role in _OUT_ROLES or (tag == "header" and not article)
         if tag == "main" and not hard:  # a page has one: what it stands in is layout
             out = False
-        out = out or hard or (tag not in ("html", "body") and bool(words & _OUT_WORDS))
+        if article:
+            worded = tag in _CONTAINERS and bool(whole & _OUT_WORDS)
+        else:
+            worded = tag not in ("html", "body") and bool(words & _OUT_WORDS)
+        out = out or hard or worded
         header = header or (tag == "header" and article)
         if not article and not out and (tag in ("article", "main") or role in ("article", "main")):
             article = found_article = True
-        if not m["attrs"].endswith("/"):
-            stack.append((tag, article, out, header, hard))
-            path.append(f"{tag}.{name}" if name else tag)
-        tokens.append(path[-1] if stack else tag)
+        own = f"{tag}.{name}" if name else tag
+        if not attrs.endswith("/"):
+            path = f"{path}/{own}" if path else own
+            if len(path) > PATH_CHARS:
+                path = f"~{zlib.crc32(path.encode('utf-8', 'surrogatepass')):08x}{len(stack)}"
+            stack.append((tag, path, article, out, header, hard, heading or tag in _HEADINGS))
+            opened[tag] = opened.get(tag, 0) + 1
+        tokens.append(own if stack else tag)
     return tokens, found_article
 
 
 def _hash(value: str) -> int:
-    import zlib
-
     return zlib.crc32(value.encode("utf-8", "surrogatepass")) + 1
 
 
@@ -370,38 +399,55 @@ class Inference:
             self.places.popitem(last=False)
 
 
-def _page_wrappers():
-    """One wrapper of each host of a slice."""
+def _page_wrappers(batches):
+    """One wrapper of each host of a task, or of each thousand hosts of it."""
+    hosts: dict[str, Inference] = {}
 
-    def run(batch: pa.RecordBatch) -> dict | None:
-        hosts: dict[str, Inference] = {}
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            hosts.setdefault(host, Inference()).add(fold(items_of(read(page)[0])))
-        return {"host": list(hosts), "wrapper": [json.dumps(w.wrapper) for w in hosts.values()]} if hosts else None
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(list(hosts), pa.string()), pa.array([json.dumps(w.wrapper) for w in hosts.values()], pa.string())], names=["host", "wrapper"])
 
-    return run
+    for batch in batches:
+        for part in slices(batch, "html"):
+            for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
+                hosts.setdefault(host, Inference()).add(fold(items_of(read(page)[0])))
+            if len(hosts) >= HELD_HOSTS:
+                yield out()
+                hosts = {}
+    if hosts:
+        yield out()
 
 
 def _merged(pdf):
     import pandas as pd
 
     wrapper = None
-    for text in pdf["wrapper"]:
+    for text in sorted(pdf["wrapper"]):
         new = json.loads(text)
         if wrapper is None:
             wrapper = new
         else:
             wrapper, new = fold(wrapper, repeated(new)), fold(new, repeated(wrapper))
             wrapper = align(wrapper, new)
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "salt": [0], "wrapper": [json.dumps(wrapper)]})
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(wrapper)]})
+
 
+def infer(pages: DataFrame, stages: Stages) -> DataFrame:
+    """host and wrapper (JSON items) of all hosts. pages: host, html.
 
-def infer(pages: DataFrame) -> DataFrame:
-    """host and wrapper (JSON items) of all hosts. pages: host, html."""
-    part = map_rows(pages.select("host", "html"), _page_wrappers, "host string, wrapper string", sized="html")
-    ddl = "host string, salt int, wrapper string"
-    part = part.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)).cast("int"))
-    return part.groupBy("host", "salt").applyInPandas(_merged, ddl).groupBy("host").applyInPandas(_merged, ddl).select("host", "wrapper")
+    Wrappers of a host are aligned in groups of about FAN, again and again until one is left.
+    """
+    found, turn = stages.write(pages.select("host", "html").mapInArrow(_page_wrappers, "host string, wrapper string"), "parts"), 0
+    done = None
+    while True:
+        counts, size = stages.measured(found.groupBy("host").agg(F.count("*").alias("k")), "counts", chars=F.coalesce(F.sum(F.length("host")), F.lit(0)), rows=F.coalesce(F.sum("k"), F.lit(0)), most=F.max("k"))
+        counted = join_back(found, (counts.select("host", "k", F.struct("k").alias("v")), size), "host", "k", "v").select("host", "wrapper", "v.k")
+        single = counted.filter("k = 1").select("host", "wrapper")
+        done = single if done is None else done.union(single)
+        if (size["most"] or 1) == 1:
+            return done
+        salt = F.pmod(F.xxhash64("wrapper", F.monotonically_increasing_id(), F.lit(turn)), F.ceil(F.col("k") / FAN))
+        many = counted.filter("k > 1").withColumn("salt", salt)
+        found, turn = stages.write(many.groupBy("host", "salt").applyInPandas(_merged, "host string, wrapper string"), f"merged{turn}"), turn + 1
 
 
 def pages_of(wrapper: str | None) -> int:
@@ -409,36 +455,54 @@ def pages_of(wrapper: str | None) -> int:
     return max((i[3] for i in json.loads(wrapper or "[]")), default=0)
 
 
-def constants(wrapper: str | None) -> set[tuple[str, int]]:
+def place_of(key: str, value: int) -> int:
+    """A text's place and hash as one number."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(f"{value} {key}".encode("utf-8", "surrogatepass"))
+
+
+def constants(wrapper: str | None) -> set[int]:
     """Places and hashes of the texts that are the same on all of a host's pages that have them, and on most pages."""
     items = json.loads(wrapper or "[]")
     least = CONSTANT_SHARE * pages_of(wrapper)
     found = set()
     for key, text, _, pages in items:
         if text and pages >= CONSTANT_FROM and pages > least:
-            found.update((k, int(h)) for h, k in (x.split(" ", 1) for x in text) if k) if isinstance(text, list) else found.add((key, text))
+            found.update(place_of(k, int(h)) for h, k in (x.split(" ", 1) for x in text) if k) if isinstance(text, list) else found.add(place_of(key, text))
     return found
 
 
-def main_text(page: str | None, template: set[tuple[str, int]], known: bool = False) -> str:
+def main_text(page: str | None, template: set[int], known: bool = False) -> str:
     """The texts that the template does not have. known: the host has pages enough for one, so an article's bounds decide nothing."""
     tokens, has_article = read(page)
     kept = [(t, v) for t in tokens if not isinstance(t, str) and not t.out and (known or t.article or not has_article) and (v := t.value())]
-    own = [v for t, v in kept if ("#" + t.path, _hash(v)) not in template]
+    own = [v for t, v in kept if place_of("#" + t.path, _hash(v)) not in template] if template else [v for _, v in kept]
     return "\n".join(own or [v for t, v in kept if t.article])
 
 
+def _templates():
+    """Of each wrapper: its constants, ascending, and whether it is made of pages enough."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        wrappers = batch.column("wrapper").to_pylist()
+        places = [np.sort(np.fromiter(constants(w), np.uint64)).tobytes() for w in wrappers]
+        return {"host": batch.column("host"), "places": places, "known": [pages_of(w) >= CONSTANT_FROM for w in wrappers], "k": [pages_of(w) for w in wrappers]}
+
+    return run
+
+
 def _extract():
-    memo: OrderedDict[str, tuple[set, bool]] = OrderedDict()
+    memo: OrderedDict[bytes, set[int]] = OrderedDict()
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = []
-        for page, wrapper in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
-            if wrapper not in memo:
-                memo[wrapper] = constants(wrapper), pages_of(wrapper) >= CONSTANT_FROM
+        for page, places, known in zip(*(batch.column(c).to_pylist() for c in ("html", "places", "known")), strict=True):
+            if places not in memo:
+                memo[places] = set(np.frombuffer(places or b"", np.uint64).tolist())
                 if len(memo) > 1000:
                     memo.popitem(last=False)
-            texts.append(main_text(page, *memo[wrapper]))
+            texts.append(main_text(page, memo[places], bool(known)))
         return {"_key": batch.column("_key"), "url": batch.column("url"), "text": texts, "n_chars": [len(t) for t in texts]}
 
     return run
@@ -446,16 +510,15 @@ def _extract():
 
 def html_extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """key, url, text and n_chars of every page."""
-    pages = pages.select(F.col(key).alias("_key"), F.col(url).alias("url"), parts(F.col(url))[0].alias("host"), F.col(html).alias("html"))
-    wrappers = Stages(pages.sparkSession, "wrappers").write(infer(pages), "wrappers")
-    size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host")), F.lit(0)).alias("n")).first().n
-    if size <= BROADCAST_CHARS:
-        joined = pages.join(F.broadcast(wrappers), "host", "left")
-    else:
-        salted = wrappers.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = pages.withColumn("_salt", F.pmod(F.xxhash64("url", "_key"), F.lit(SALTS)).cast("int")).join(salted, ["host", "_salt"], "left")
-    kind = dict(pages.dtypes)["_key"]
-    return map_rows(joined.select("_key", "url", "html", "wrapper"), _extract, f"_key {kind}, url string, text string, n_chars long", sized="html").withColumnRenamed("_key", key)
+    stages = Stages(pages.sparkSession, "wrappers")
+    own = F.col(quoted(url))
+    pages = pages.select(F.col(quoted(key)).alias("_key"), own.alias("url"), parts(own)[0].alias("host"), F.col(quoted(html)).alias("html"))
+    templates = map_rows(infer(pages, stages), _templates, "host string, places binary, known boolean, k long", sized="wrapper")
+    chars = F.coalesce(F.sum(F.length("template.places") + F.length("host")), F.lit(0))
+    templates, size = stages.measured(templates.select("host", "k", F.struct("places", "known").alias("template")), "templates", chars=chars, rows=F.coalesce(F.sum("k"), F.lit(0)))
+    joined = join_back(pages, (templates, size), "host", "k", "template").select("_key", "url", "html", "template.places", "template.known")
+    kind = pages.schema["_key"].dataType.simpleString()
+    return map_rows(joined, _extract, f"_key {kind}, url string, text string, n_chars long", sized="html").withColumnRenamed("_key", key)
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import html as html_module
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -479,6 +480,29 @@ def test_html_wrapper_decides_in_articles(spark):
     assert got[20] == "Same in all\nText c" and got[50] == "m" and got[51] == "Same in all\nText one"
 
 
+def test_html_of_odd_pages():
+    text = lambda page: html_extract.main_text(page, set())
+    assert text('<article><p>Hello</p><p class="fo') == "Hello" and text("<p>un<closed") == "un" and text("a < b &amp; c<1") == "a < b & c<1"
+    assert text('<article><blockquote class="comment">q</blockquote><div class="social-study">s</div><p class="related-work">r</p><div class="comments">c</div></article>') == "q\ns\nr"
+    assert text('<p title="a>b">x</p><p title="c>y</p><p>z') == "x\ny\nz" and text("</ ><!doctype x><?php y ?><p>t<!-- > --></p><!-- open <p>u") == "t"
+    for page in ('<a "' * 250_000, "<a '\">" * 200_000, '<a "x>"' * 150_000, "<div>" * 100_000 + "x</i>" * 100_000, "<b>" * 100_000 + "<p>y" * 50_000, "<!-" * 300_000, "<" * 10**6, "<p>&" * 250_000):
+        began = time.process_time()
+        html_extract.read(page)
+        assert time.process_time() - began < 5
+
+
+def test_wrappers_merge_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "FAN", 2)
+    page = "<body><div>Terms</div><p>One {0}</p><p>Two {0}</p><div>End</div></body>"
+    rows = [(i, f"http://h{i % 3 // 2}.net/", page.format(i), i) for i in range(60)]
+    got = html_extract.html_extract(spark.createDataFrame(rows, "page_id long, url string, html string, host long").repartition(12)).collect()
+    assert len(got) == 60 and all(r.text == f"One {r.page_id}\nTwo {r.page_id}" for r in got)
+    # another wrapper gives another result: the same page where its texts are the host's constants, and where they are not
+    same = [(i, "http://h.net/", page.format("c" if i else "d"), i) for i in range(9)]
+    got = {r.page_id: r.text for r in html_extract.html_extract(spark.createDataFrame(same, "page_id long, url string, html string, host long")).collect()}
+    assert got[0] == "One d\nTwo d" and html_extract.main_text(page.format("d"), set(), True) == "Terms\nOne d\nTwo d\nEnd"
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 
