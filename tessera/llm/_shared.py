@@ -141,11 +141,11 @@ class Stages:
                     fs.delete(status.getPath(), True)
 
 
-def slices(batch: pa.RecordBatch, sized: str | None = None) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, sized: str | None = None, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batch in parts of bounded rows and, by the column ``sized``, bounded bytes."""
     if sized is None or batch.num_rows <= 1:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(at, SLICE_ROWS)
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
         return
     import numpy as np
     import pyarrow.compute as pc
@@ -155,7 +155,7 @@ def slices(batch: pa.RecordBatch, sized: str | None = None) -> Iterator[pa.Recor
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0
         to = int(np.searchsorted(ends, before + SLICE_BYTES, side="right"))
-        to = max(at + 1, min(to, at + SLICE_ROWS, batch.num_rows))
+        to = max(at + 1, min(to, at + rows, batch.num_rows))
         yield batch.slice(at, to - at)
         at = to
 
@@ -167,15 +167,15 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list] | None]], ddl: str, sized: str | None = None) -> DataFrame:
-    """mapInArrow in bounded slices. ``make`` runs once a task and gives the function from a slice to columns."""
+def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list] | None]], ddl: str, sized: str | None = None, rows: int = SLICE_ROWS) -> DataFrame:
+    """mapInArrow in slices of bounded rows and, by the column ``sized``, bounded bytes. ``make`` runs once a task and gives the function from a slice to columns."""
 
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for part in slices(batch, sized):
+            for part in slices(batch, sized, rows):
                 if (out := f(part)) is not None:
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip((out[n] for n in schema.names), schema.types, strict=True)], schema=schema)
 

@@ -1,5 +1,6 @@
 """The ten operators and the pipeline against brute force, round trips and held-out accuracy."""
 
+import hashlib
 import html as html_module
 import re
 import time
@@ -192,11 +193,38 @@ def test_decontamination(spark):
     assert list(got[k]["items"]) == ["1", "5"] and (got[k].longest_match, got[k].match_start, got[k].match_item_start) == (14, 1, 0)
     assert (got[k + 1].longest_match, got[k + 1].match_item_start) == (11, 2)
     assert sorted(r.doc_id for r in decontaminate.remove(docs_of(spark, texts), bench).collect()) == [*range(k), k + 3]
-    one_word_blocks = decontaminate.blocks_of(bench, block_words=1)
-    assert len(one_word_blocks) > 2
-    out = decontaminate.scan(texts, [lambda b=b: b.value for b in one_word_blocks])
-    assert out["n_hit"] == [got[i].n_hit for i in range(len(texts))]
+    tests = decontaminate.Benchmark(bench, block_words=1)
+    assert len(tests.blocks) > 2
+    out = decontaminate.scan(texts, [lambda b=b: b.value for b in tests.blocks], tests.depth)
+    assert out["n_hit"] == [got[i].n_hit for i in range(len(texts))] and out["longest_match"] == [got[i].longest_match for i in range(len(texts))]
     assert decontaminate.matches(docs_of(spark, texts), bench.limit(0)).filter("n_hit > 0").count() == 0
+    assert decontaminate.matches(docs_of(spark, texts).limit(0), bench).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="ab ", max_size=40), max_size=5), st.lists(st.text(alphabet="ab ", max_size=30), max_size=5), st.sampled_from([2, 3, 10]))
+def test_suffix_arrays_against_brute_force(texts, tests, window):
+    texts, tests = [t.replace("a", "a ") for t in texts], [t.replace("a", "a ") for t in tests]
+    block = decontaminate.Block([(str(k), decontaminate.alnum_words(t)) for k, t in enumerate(tests)], window)
+    got = decontaminate.scan(texts, [lambda: block], max(1, block.longest))
+    for d, t in enumerate(texts):
+        w, hit, items, best = words(t), set(), set(), None
+        for k, x in enumerate(map(words, tests)):
+            need = min(window, len(x))
+            for o in range(len(x) - need + 1 if need else 0):
+                for i in range(len(w) - need + 1):
+                    if w[i : i + need] == x[o : o + need]:
+                        n = need
+                        while i + n < len(w) and o + n < len(x) and w[i + n] == x[o + n]:
+                            n += 1
+                        hit.update(range(i, i + need))
+                        items.add(str(k))
+                        best = min(best or (0, 0), (-n, i))
+        assert (got["n_words"][d], got["n_hit"][d], got["items"][d]) == (len(w), len(hit), sorted(items))
+        assert (got["longest_match"][d], got["match_start"][d]) == ((-best[0], best[1]) if best else (0, None))
+        if best:
+            x = words(tests[int(got["match_item"][d])])[got["match_item_start"][d] :]
+            assert x[: -best[0]] == w[best[1] : best[1] - best[0]]
 
 
 def test_decontamination_against_brute_force(spark, small, documents):
@@ -212,7 +240,8 @@ def test_decontamination_against_brute_force(spark, small, documents):
                 if (key := tuple(w[i : i + size])) in windows:
                     hit.update(range(i, i + size))
                     items |= windows[key]
-        assert (r.n_words, r.n_hit, r.n_items) == (len(w), len(hit), len(items))
+        digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), len(hit), len(items), digest, bool(hit))
 
 
 PIECES = st.one_of(
