@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,13 +142,53 @@ class Stages:
                     fs.delete(status.getPath(), True)
 
 
+#: Bits of a filter of values: as many a value, and at most so many in all.
+BITS_A_KEY, MAX_BITS = 16, 1 << 28
+
+
+def _bitmap(ids: DataFrame, bit, bits: int) -> np.ndarray:
+    """A bitmap of a fixed size of all the ids' places. Executors make its blocks, so the driver takes bits/8 bytes at most."""
+    shift = 19
+
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column("bit").to_numpy(zero_copy_only=False)
+            for block in np.unique(at >> shift).tolist():
+                mine = at[at >> shift == block] & ((1 << shift) - 1)
+                marks = held.setdefault(block, np.zeros((1 << shift) // 32, np.uint32))
+                np.bitwise_or.at(marks, mine >> 5, np.uint32(1) << (mine & 31).astype(np.uint32))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([m.tobytes() for m in held.values()], pa.binary())], names=["block", "marks"])
+
+    rows = ids.select(bit.alias("bit")).repartition(F.expr(f"shiftright(bit, {shift})")).mapInArrow(run, "block long, marks binary")
+    out = np.zeros(bits // 32, np.uint32)
+    for r in rows.collect():
+        at = r.block << (shift - 5)
+        out[at : at + (1 << (shift - 5))] = np.frombuffer(r.marks, np.uint32)
+    return out
+
+
+def filter_of(ids: DataFrame, key: str, n: int):
+    """A broadcast filter of a column's n values (by their xxhash64) and its number of bits.
+
+    It lets through all of them, and few others unless they are more than the bits allow for; an exact step must follow.
+    """
+    bits = min(MAX_BITS, 1 << max(20, (n * BITS_A_KEY).bit_length()))
+    return ids.sparkSession.sparkContext.broadcast(_bitmap(ids, F.pmod(F.xxhash64(key), F.lit(bits)), bits)), bits
+
+
+def is_set(words: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Whether the bits are set in a filter's words."""
+    return ((words[bit >> 5] >> (bit & 31).astype(np.uint32)) & np.uint32(1)).astype(bool)
+
+
 def slices(batch: pa.RecordBatch, sized: str | None = None, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batch in parts of bounded rows and, by the column ``sized``, bounded bytes."""
     if sized is None or batch.num_rows <= 1:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
         return
-    import numpy as np
     import pyarrow.compute as pc
 
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(sized)), 0).to_numpy(zero_copy_only=False))

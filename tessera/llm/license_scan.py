@@ -4,8 +4,9 @@ The automaton runs over the text's words joined by single spaces, so phrases mat
 consecutively, across punctuation, case and lines. After an identifier tag, the rest of its line is parsed as a licence
 expression with AND, OR, WITH and parentheses; its identifiers give labels, and the score falls where it does not parse.
 
-Null texts count as empty: no words, no labels, score 0. Rows are judged each by itself, whole texts only; repeated rows
-are alike; empty tables give no rows. Columns of ours replace others of their names.
+Null texts count as empty: no words, no labels, score 0. Rows are judged each by itself, whole texts of any length only;
+repeated rows and ties are alike; empty tables give no rows. The key and columns of ours are returned, so names of other
+columns do no harm.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import alnum_words, map_rows, table
+from tessera.llm._shared import alnum_words, map_rows, quoted, table
 
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Notice phrases of the method itself: words, label, weight of the evidence.
@@ -44,7 +45,9 @@ NOTICES = [
 ]
 BASE_WEIGHT, TAG_WEIGHT, BAD_TAG_WEIGHT = 0.6, 0.9, 0.3
 TAG = "spdx license identifier"
-_TAG_TEXT = re.compile(r"spdx[^a-z0-9]+license[^a-z0-9]+identifier[^a-z0-9(\n]*([^\n]*)", re.IGNORECASE | re.ASCII)
+#: The tag's words with what the automaton takes for gaps between them, then the rest of the line.
+_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+_TAG_TEXT = re.compile(rf"spdx{_GAP}+license{_GAP}+identifier(?=$|{_GAP})[^A-Za-z0-9(\n\x80-\U0010FFFF]*+([^\n]*)", re.IGNORECASE | re.ASCII)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+|\S")
 _IDENTIFIER = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+:-]*")
 _PRECEDENCE = {"OR": 1, "AND": 2, "WITH": 3}
@@ -118,30 +121,29 @@ def to_postfix(expression: str) -> list[str]:
     return postfix
 
 
-def evaluate(postfix: list[str]) -> list[frozenset[str]]:
-    """The choices that the expression leaves: sets of licences that hold together. Exceptions stay with their licence.
+def evaluate(postfix: list[str]) -> tuple[frozenset[str], frozenset[str]]:
+    """All licences of the expression, and those that hold whatever is chosen. Exceptions stay with their licence.
 
-    AND multiplies choices, so one with more than 64 choices is read as all its licences together.
+    AND needs what either side needs, OR what both do; so an expression of any length takes one pass.
     """
-    stack: list[dict[frozenset[str], None]] = []
+    stack: list[tuple[frozenset[str], frozenset[str]]] = []
     for token in postfix:
         if token not in _PRECEDENCE:
-            stack.append({frozenset([token.lower()]): None})
+            one = frozenset([token.lower()])
+            stack.append((one, one))
             continue
         b, a = stack.pop(), stack.pop()
         if token == "OR":
-            a.update(b)
-            stack.append(a)
-        elif token == "WITH":
-            stack.append({frozenset(f"{x} with {y}" for x in one for y in next(iter(b))): None for one in a})
-        elif len(a) * len(b) <= 64:
-            stack.append(dict.fromkeys(x | y for x in a for y in b))
+            stack.append((a[0] | b[0], a[1] & b[1]))
+        elif token == "AND":
+            stack.append((a[0] | b[0], a[1] | b[1]))
         else:
-            stack.append({frozenset().union(*a, *b): None})
-    return list(stack[0])
+            (exception,) = list(b[0])[:1]
+            stack.append((frozenset(f"{x} with {exception}" for x in a[0]), frozenset(f"{x} with {exception}" for x in a[1])))
+    return stack[0]
 
 
-def _line_expression(rest: str) -> list[frozenset[str]] | None:
+def _line_expression(rest: str) -> tuple[frozenset[str], frozenset[str]] | None:
     """Of the longest start of the line that is an expression, in one pass; comment ends and prose may follow it."""
     postfix, _ = _read(_TOKEN.findall(rest), prose=True)
     return None if postfix is None else evaluate(postfix)
@@ -166,6 +168,7 @@ def scan(text: str, machine) -> dict:
     words = alnum_words(text)
     joined = (b" " + b" ".join(words) + b" ").decode("utf-8", "surrogatepass")
     base, base_labels, labels, doubt, tagged, notices = [], set(), set(), 1.0, False, {}
+    required: set[str] = set()
     for end, (length, what) in machine.iter(joined):
         for kind, label, weight in what:
             if kind == "base":
@@ -178,18 +181,20 @@ def scan(text: str, machine) -> dict:
     expressions = []
     if tagged:
         for m in _TAG_TEXT.finditer(text):
-            choices = _line_expression(m[1])
+            licences = _line_expression(m[1])
             expressions.append(m[1].strip())
-            doubt *= 1.0 - (BAD_TAG_WEIGHT if choices is None else TAG_WEIGHT)
-            labels.update(x for c in choices or () for x in c)
+            doubt *= 1.0 - (BAD_TAG_WEIGHT if licences is None else TAG_WEIGHT)
+            if licences is not None:
+                labels |= licences[0]
+                required |= licences[1]
     for w in notices.values():
         doubt *= 1.0 - w
     labels |= base_labels | {x for x in notices if x != "notice"}
     first, last = (joined.count(" ", 0, min(base)), joined.count(" ", 0, max(base))) if base else (None, None)
-    return {"n_words": len(words), "n_base": len(base), "first_word": None if first is None else first - 1, "last_word": None if last is None else last - 1, "base_labels": ",".join(sorted(base_labels)), "labels": ",".join(sorted(labels)), "score": round(1.0 - doubt, 6), "expressions": expressions}
+    return {"n_words": len(words), "n_base": len(base), "first_word": None if first is None else first - 1, "last_word": None if last is None else last - 1, "base_labels": ",".join(sorted(base_labels)), "labels": ",".join(sorted(labels)), "score": round(1.0 - doubt, 6), "required": ",".join(sorted(required)), "expressions": expressions}
 
 
-RESULT = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>"
+RESULT = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, required string, expressions array<string>"
 
 
 def license_scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -206,7 +211,7 @@ def license_scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
         return run
 
     ddl = f"_key {docs.schema[key].dataType.simpleString()}, {RESULT}"
-    return map_rows(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), make, ddl, sized="_text").withColumnRenamed("_key", key)
+    return map_rows(docs.select(F.col(quoted(key)).alias("_key"), F.col(quoted(text)).alias("_text")), make, ddl, sized="_text").withColumnRenamed("_key", key)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

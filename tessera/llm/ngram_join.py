@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm._shared import LOWER_TABLE, Stages, join_back, map_rows, quoted, space_words, table, unused
+from tessera.llm._shared import LOWER_TABLE, Stages, filter_of, is_set, join_back, map_rows, quoted, space_words, table, unused
 
 SHINGLE, PERCENT = 4, 85
 #: n-grams listed beyond the prefix that a link needs, in hundredths of the size.
@@ -55,8 +55,6 @@ BLOCK_BYTES = 4_000_000
 ONE_TASK_LINKS = 500_000
 #: Partners from which a set is counted against an index of the others rather than pair by pair.
 INDEX_FROM = 16
-#: Bits of a filter of keys: as many a key, and at most so many in all. Beyond, more rows pass it to the exact join behind.
-BITS_A_KEY, MAX_BITS = 16, 1 << 28
 _WORDS_KEPT = 100_000
 
 _U = np.uint64
@@ -493,45 +491,12 @@ def components(edges: DataFrame, stages: Stages, a: str = "a", b: str = "b") ->
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def _bitmap(ids: DataFrame, bit, bits: int) -> np.ndarray:
-    """A bitmap of a fixed size of all the ids' places. Executors make its blocks, so the driver takes bits/8 bytes at most."""
-    shift = 19
-
-    def run(batches):
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            at = batch.column("bit").to_numpy(zero_copy_only=False)
-            for block in np.unique(at >> shift).tolist():
-                mine = at[at >> shift == block] & ((1 << shift) - 1)
-                marks = held.setdefault(block, np.zeros((1 << shift) // 32, np.uint32))
-                np.bitwise_or.at(marks, mine >> 5, np.uint32(1) << (mine & 31).astype(np.uint32))
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([m.tobytes() for m in held.values()], pa.binary())], names=["block", "marks"])
-
-    rows = ids.select(bit.alias("bit")).repartition(F.expr(f"shiftright(bit, {shift})")).mapInArrow(run, "block long, marks binary")
-    out = np.zeros(bits // 32, np.uint32)
-    for r in rows.collect():
-        at = r.block << (shift - 5)
-        out[at : at + (1 << (shift - 5))] = np.frombuffer(r.marks, np.uint32)
-    return out
-
-
-def _filter_of(ids: DataFrame, key: str, n: int):
-    """A broadcast filter of a column's n values and its number of bits."""
-    bits = min(MAX_BITS, 1 << max(20, (n * BITS_A_KEY).bit_length()))
-    return ids.sparkSession.sparkContext.broadcast(_bitmap(ids, F.pmod(F.xxhash64(key), F.lit(bits)), bits)), bits
-
-
-def _is_set(words: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    return ((words[bit >> 5] >> (bit & 31).astype(np.uint32)) & np.uint32(1)).astype(bool)
-
-
 def _needed_sets(n: int, bits):
     def make():
         shingler = Shingler(n)
 
         def run(batch: pa.RecordBatch) -> dict | None:
-            asked = _is_set(bits.value, batch.column("_bit").to_numpy(zero_copy_only=False))
+            asked = is_set(bits.value, batch.column("_bit").to_numpy(zero_copy_only=False))
             sets = [s for t in batch.column("_text").filter(pa.array(asked)).to_pylist() if len(s := shingler(t))]
             return {"node": [node_of(s) for s in sets], "grams": [s.tobytes() for s in sets]} if sets else None
 
@@ -570,7 +535,7 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
     stages.free()
 
     needed, size = stages.measured(arrays.select("node").join(nodes, "node").select("rep"), "needed")
-    bits, size = _filter_of(needed, "rep", size["n"])
+    bits, size = filter_of(needed, "rep", size["n"])
     # rows that the filter lets through by chance give sets that no pair asks for, or a second copy of one
     asked = rows.filter("_key IS NOT NULL").select("_text", F.pmod(F.xxhash64("_key"), F.lit(size)).alias("_bit"))
     sets = stages.write(map_rows(asked, _needed_sets(n, bits), "node long, grams binary", sized="_text"), "copies")
@@ -617,12 +582,12 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", n: int = 5, percent: int =
     stages = Stages(docs.sparkSession, "duplicates")
     name, bit = unused(docs, "_gone", "_bit")
     gone, size = stages.measured(found.filter(F.col("component_id") != F.col(quoted(key))).select(F.col(quoted(key)).alias(name)).distinct(), "gone")
-    bits, size = _filter_of(gone, name, size["n"])
+    bits, size = filter_of(gone, name, size["n"])
 
     def passed(inside: bool) -> DataFrame:
         def run(batches):
             for batch in batches:
-                found = _is_set(bits.value, batch.column(bit).to_numpy(zero_copy_only=False))
+                found = is_set(bits.value, batch.column(bit).to_numpy(zero_copy_only=False))
                 yield batch.filter(pa.array(found == inside)).drop_columns([bit])
 
         return docs.withColumn(bit, F.pmod(F.xxhash64(F.col(quoted(key))), F.lit(size))).mapInArrow(run, docs.schema)

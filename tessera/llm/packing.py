@@ -8,9 +8,10 @@ sliding window is kept by a monotone queue. A block ends where
 its cost a token is least; what follows is left to the next block. What a task's last window
 leaves over is dealt into sequences whose lengths are powers of two, which need no padding.
 
-Null texts are empty documents: they hold the end id alone. Empty tables give no rows; repeated rows are packed each.
-Columns other than the key and the text are not read. No shuffle: a task packs its own input, and the sequence's number
-holds the task's.
+Null texts are empty documents: they hold the end id alone. Texts of any length are packed whole. Empty tables give no
+rows; repeated rows are packed each; among equally cheap cuts the first is taken. Keys may be of any type, null too. Columns
+other than the key and the text are not read, so their names do no harm. No shuffle: a task packs its own input, and the
+sequence's number holds the task's. A task ends in at most 13 sequences that are powers of two, whatever its length.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import arrow_schema, slices, table
+from tessera.llm._shared import quoted, slices, table
 from tessera.llm.tokenizing import WordIds, tokenizer_path
 
 TOKENIZER, SIZE, END = "word_bpe_49k.json", 4096, 2
@@ -33,7 +34,7 @@ SENTENCE_CUT, HARD_CUT = 4, 24
 STEP = 32
 #: Windows of a block, and those of its end among which it is cut.
 BLOCK, LEFT = 64, 2
-DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+DDL = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def cuts(positions: np.ndarray, penalties: np.ndarray, size: int, left: int = 0) -> list[int]:
@@ -131,7 +132,9 @@ class Packer:
 
 def pack(docs: DataFrame, tokenizer: str | None = None, text: str = "text", key: str = "doc_id", size: int = SIZE, end: int = END) -> DataFrame:
     """One row for each piece of a document in a sequence."""
-    path, schema = tokenizer or tokenizer_path(TOKENIZER), arrow_schema(DDL)
+    path = tokenizer or tokenizer_path(TOKENIZER)
+    rows = docs.select(F.col(quoted(key)).alias("_key"), F.col(quoted(text)).alias("_text"))
+    names = ["_key", *[c.split()[0] for c in DDL.split(", ")]]
 
     def run(batches):
         from pyspark import TaskContext
@@ -142,11 +145,17 @@ def pack(docs: DataFrame, tokenizer: str | None = None, text: str = "text", key:
         last = np.array([end], "<u4")
         packer = Packer(ends, size, TaskContext.get().partitionId() << 40)
 
+        kind = None
+
         def rows():
             found = packer.take()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=schema) if found else None
+            if not found:
+                return None
+            keys, *numbers = zip(*found, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys, kind), *[pa.array(c, pa.int64()) for c in numbers]], names=names)
 
         for batch in batches:
+            kind = batch.schema.field("_key").type
             for part in slices(batch, "_text"):
                 ids = words.encode([t or "" for t in part.column("_text").to_pylist()])
                 for k, data in zip(part.column("_key").to_pylist(), ids, strict=True):
@@ -157,7 +166,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, text: str = "text", key:
         if (out := rows()) is not None:
             yield out
 
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, DDL).withColumnRenamed("doc_id", key)
+    return rows.mapInArrow(run, f"_key {rows.schema['_key'].dataType.simpleString()}, {DDL}").withColumnRenamed("_key", key)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

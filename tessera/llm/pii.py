@@ -1,23 +1,26 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words adjust their scores.
 
-Base kinds (email, ip, card, phone) are kept whatever their score. Added kinds (iban, ssn) are kept from ``limit`` on.
+Base kinds (email, ip, card, phone) are kept whatever their score. Added kinds (iban, ssn, secret) are kept from ``limit``
+on: a number like an SSN only beside a word that names it, and a secret unless words such as "test" stand beside it.
 Offsets are in code points, ends exclusive. Null texts count as empty; empty texts and tables have no spans. Every row is
-judged by itself, so ties and repeated rows are alike, and no text is cut. Columns of ours replace others of their names.
-All searches take time linear in the text.
+judged by itself, so ties and repeated rows are alike, and no text is cut. ``pii_spans`` returns the key and spans only,
+``redacted`` all columns, whatever their names. All searches take time linear in the text.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import map_rows, table
+from tessera.llm._shared import ddl_of, map_rows, quoted, table
 
-KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
+KINDS = ["email", "ip", "card", "phone", "iban", "ssn", "secret"]
 BASE = {"email", "ip", "card", "phone"}
 LIMIT, REACH = 0.5, 40
 #: Words near a span that make its kind likelier.
@@ -28,6 +31,7 @@ CONTEXT = {
     "phone": ("phone", "call", "tel", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social", "security"),
+    "secret": ("token", "secret", "password", "key", "credential", "auth"),
 }
 AGAINST = ("sample", "test", "dummy", "version")
 
@@ -47,6 +51,10 @@ LENGTHS = {c[:2]: int(c[2:]) for c in (
 _ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}))")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+#: A name of a credential, then its value.
+_SECRET = re.compile(r"""(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key)["']?\x20?[:=]\x20?["']?([A-Za-z0-9+/_-]{16,})""")
+#: Bits a character that a secret has at least; words have fewer.
+SECRET_BITS = 3.0
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -70,6 +78,12 @@ def mod_97(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def bits(value: str) -> float:
+    """Entropy of a string's characters."""
+    counts = Counter(value).values()
+    return -sum(n / len(value) * math.log2(n / len(value)) for n in counts)
+
+
 def ibans(text: str):
     """Proposals confirmed by mod-97 on the country's own length, or else on the longest that ends at a word boundary."""
     done = 0
@@ -122,13 +136,17 @@ def propose(text: str):
                 yield "phone", m.start(), m.end()
     for a, b in ibans(text):
         yield "iban", a, b
+    if "=" in text or ":" in text:
+        for m in _SECRET.finditer(text):
+            if _DIGIT.search(m[1]) and bits(m[1]) >= SECRET_BITS:
+                yield "secret", m.start(1), m.end(1)
     if "-" in text:
         for m in _SSN.finditer(text):
             yield "ssn", m.start(), m.end()
 
 
 #: Score of a proposal before its context; a checksum confirms cards and IBANs.
-PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
+PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3, "secret": 0.4}
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:
@@ -167,7 +185,7 @@ def pii_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", limit: f
 
     kind = docs.schema[key].dataType.simpleString()
     ddl = f"_key {kind}, spans array<struct<kind:string,start:int,end:int,score:double>>"
-    return map_rows(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), make, ddl, sized="_text").withColumnRenamed("_key", key)
+    return map_rows(docs.select(F.col(quoted(key)).alias("_key"), F.col(quoted(text)).alias("_text")), make, ddl, sized="_text").withColumnRenamed("_key", key)
 
 
 def redacted(docs: DataFrame, text: str = "text", limit: float = LIMIT) -> DataFrame:
@@ -183,10 +201,9 @@ def redacted(docs: DataFrame, text: str = "text", limit: float = LIMIT) -> DataF
 
         return run
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = map_rows(docs, make, ddl, sized=text)
+    out = map_rows(docs, make, ddl_of(docs), sized=text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(text).isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(quoted(text)).isNull(), F.col("n_chars")).otherwise(F.length(F.col(quoted(text)))).cast(docs.schema["n_chars"].dataType))
     return out
 
 
@@ -200,4 +217,4 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     base = F.filter("spans", lambda s: s["kind"].isin(sorted(BASE)))
-    return found.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 1)), ",").alias("scores"))

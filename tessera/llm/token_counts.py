@@ -1,11 +1,14 @@
 """Token counts through a cache that is keyed by digests of content and tokenizer.
 
-The cache is a Parquet table (tokenizer, digest, n_tokens). Texts whose digest it lacks are encoded once each, however
-many copies there are, and appended. Only one copy of a text a map task is shuffled, packed by zstandard, so groups of
-copies of any size stay small; counts are joined back over salts.
-
-Null texts count as empty, which have 0 tokens. Repeated rows each get their count. Other columns are left out; extra
-columns with our names do no harm. An empty table gives no rows and appends nothing.
+The cache is a Parquet table (tokenizer, digest, n_tokens). Digests are joined to it; of each one that it lacks, one row is
+marked, and the marked texts are encoded where they lie and appended. So only digests are shuffled, copies are encoded once
+however many there are, and counts are joined back with the digests of many copies spread. The marks reach the texts as a
+filter of bounded size: a row that it lets through by chance, or that another job appends at the same time, is an equal
+row of the cache, which readers drop. An append that fails leaves no part of it behind, so the next one counts it again.
+
+Null texts count as empty, which have 0 tokens. Texts of any length are encoded whole. Repeated rows and ties each get their
+count. Keys may be of any type, null too. Only key, n_bytes, n_tokens and over_limit are returned, so names of other columns
+do no harm. An empty table gives no rows and appends nothing.
 """
 
 from __future__ import annotations
@@ -16,13 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import Stages, map_rows, table
+from tessera.llm._shared import Stages, filter_of, is_set, join_back, map_rows, quoted, table
 from tessera.llm.tokenizing import ByteCounts, tokenizer_path
 
-TOKENIZER, LIMIT, SALTS = "byte_bpe_50k.json", 1024, 8
-#: Digests that a task remembers to leave out copies; beyond that, copies are left out after the shuffle.
-SEEN = 200_000
-PACKED_FROM = 256
+TOKENIZER, LIMIT = "byte_bpe_50k.json", 1024
 CACHE_DDL = "tokenizer string, digest binary, n_tokens long"
 
 
@@ -31,44 +31,16 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-def _distinct():
-    """Drops a task's repeated texts; packs the rest."""
-    import zstandard
-
-    pack, seen = zstandard.ZstdCompressor(level=1), set()
-
-    def run(batch: pa.RecordBatch) -> dict[str, list] | None:
-        digests, texts = [], []
-        for text in batch.column("_text").to_pylist():
-            data = (text or "").encode("utf-8", "surrogatepass")
-            digest = hashlib.sha256(data).digest()
-            if digest in seen:
-                continue
-            if len(seen) >= SEEN:
-                seen.clear()
-            seen.add(digest)
-            digests.append(digest)
-            texts.append(b"z" + pack.compress(data) if len(data) >= PACKED_FROM else b"r" + data)
-        return {"digest": digests, "packed": texts} if digests else None
-
-    return run
+def _encode(path: str, version: str, bits):
+    """Counts of the marked rows of a slice, each content once."""
 
-
-def _encode(path: str, version: str):
     def make():
-        import zstandard
-
-        counter, unpack, done = ByteCounts(path), zstandard.ZstdDecompressor(), set()
+        counter = ByteCounts(path)
 
         def run(batch: pa.RecordBatch) -> dict[str, list] | None:
-            new = {}
-            for digest, packed in zip(batch.column("digest").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-                if digest not in done and digest not in new:
-                    new[digest] = packed
-            if len(done) < SEEN:  # a repeat that is encoded again gives an equal row, which the reader drops
-                done.update(new)
-            texts = [(unpack.decompress(p[1:]) if p[:1] == b"z" else p[1:]).decode("utf-8", "surrogatepass") for p in new.values()]
-            return {"tokenizer": [version] * len(new), "digest": list(new), "n_tokens": counter.counts(texts)} if new else None
+            marked = batch.filter(pa.array(is_set(bits.value, batch.column("_bit").to_numpy(zero_copy_only=False))))
+            new = dict(zip(marked.column("digest").to_pylist(), marked.column("_text").to_pylist(), strict=True))
+            return {"tokenizer": [version] * len(new), "digest": list(new), "n_tokens": counter.counts([t or "" for t in new.values()])} if new else None
 
         return run
 
@@ -80,30 +52,42 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
 
+def _known(spark: SparkSession, cache: str, version: str) -> DataFrame:
+    return spark.read.schema(CACHE_DDL).parquet(cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+
+
 def fill_cache(docs: DataFrame, cache: str, tokenizer: str, text: str = "text") -> None:
     """Appends the counts of the texts that the cache lacks."""
-    spark, version = docs.sparkSession, tokenizer_digest(tokenizer)
-    rows = map_rows(docs.select(F.col(text).alias("_text")), _distinct, "digest binary, packed binary", sized="_text")
+    spark, version, stages = docs.sparkSession, tokenizer_digest(tokenizer), Stages(docs.sparkSession, "misses")
+    content = F.coalesce(F.col(quoted(text)), F.lit(""))
+    # a row's mark need only tell it from most others: digests and places of the input
+    rows = docs.select(content.alias("_text"), F.unhex(F.sha2(content, 256)).alias("digest"), F.xxhash64(F.monotonically_increasing_id()).alias("mark"))
+    missing = rows.groupBy("digest").agg(F.min("mark").alias("mark"))
     if _exists(spark, cache):
-        known = spark.read.schema(CACHE_DDL).parquet(cache).filter(F.col("tokenizer") == version).select("digest")
-        rows = rows.join(known, "digest", "left_anti")
-    counted = map_rows(rows.repartition("digest"), _encode(tokenizer, version), CACHE_DDL, sized="packed")
-    counted.write.mode("append").parquet(cache)
+        missing = missing.join(_known(spark, cache, version).select("digest"), "digest", "left_anti")
+    missing, size = stages.measured(missing.select("mark"), "marks")
+    if size["n"] or not _exists(spark, cache):
+        bits, n = filter_of(missing, "mark", size["n"])
+        marked = rows.select("_text", "digest", F.pmod(F.xxhash64("mark"), F.lit(n)).alias("_bit"))
+        map_rows(marked, _encode(tokenizer, version, bits), CACHE_DDL, sized="_text").write.mode("append").parquet(cache)
+        bits.destroy()
+    stages.drop()
 
 
 def token_counts(docs: DataFrame, cache: str, tokenizer: str | None = None, text: str = "text", key: str = "doc_id", limit: int = LIMIT) -> DataFrame:
     """key, n_bytes, n_tokens and over_limit of each document; fills the cache first."""
-    tokenizer = tokenizer or tokenizer_path(TOKENIZER)
+    tokenizer, stages = tokenizer or tokenizer_path(TOKENIZER), Stages(docs.sparkSession, "counts")
     fill_cache(docs, cache, tokenizer, text)
-    content = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key), F.octet_length(content).cast("long").alias("n_bytes"), F.unhex(F.sha2(content, 256)).alias("digest"))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    known = docs.sparkSession.read.schema(CACHE_DDL).parquet(cache).filter(F.col("tokenizer") == tokenizer_digest(tokenizer))
-    known = known.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    known = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.join(known, ["digest", "_salt"], "left").select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    content = F.coalesce(F.col(quoted(text)), F.lit(""))
+    rows = docs.select(F.col(quoted(key)).alias("_key"), F.octet_length(content).cast("long").alias("n_bytes"), F.unhex(F.sha2(content, 256)).alias("digest"))
+    rows = stages.write(rows, "rows")
+    copies = rows.groupBy("digest").agg(F.count("*").alias("copies")).join(_known(docs.sparkSession, cache, tokenizer_digest(tokenizer)), "digest")
+    found = join_back(rows, stages.keyed(copies, "copies", "digest", "copies"), "digest", "copies", "n_tokens")
+    return found.select(F.col("_key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stages = Stages(spark, "tokens")
-    return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), f"{stages.folder}/cache")
+    """The cache is filled with half of the documents first, as an earlier job would; then all are counted through it."""
+    docs, cache = table(spark, sf_dir, "documents").select("doc_id", "text"), f"{Stages(spark, 'tokens').folder}/cache"
+    fill_cache(docs.filter(F.pmod(F.xxhash64("text"), F.lit(2)) == 0), cache, tokenizer_path(TOKENIZER))
+    return token_counts(docs, cache)

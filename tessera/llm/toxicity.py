@@ -16,10 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tessera.llm._shared import alnum_words, map_rows, table
+from tessera.llm._shared import alnum_words, map_rows, quoted, table
 
-TRAIN_ROWS, TRAIN_CHARS = 1500, 12_000
+#: Labelled texts of each class that are learned from, in the order of their keys' hashes, and their characters in all.
+TRAIN_ROWS, TRAIN_TOTAL = 1500, 20_000_000
 WINDOW, STRIDE = 48, 32
 HIDDEN, WIDTH, ROWS = 8, 12, 1 << 14
 GRAMS = (3, 4, 5)
@@ -285,17 +287,21 @@ def train(docs: list[list[bytes]], labels: list[int], seed: int = 7) -> Network:
 
 def held_out(key: str) -> Column:
     """Whether crc32 of the key as text is a multiple of 5."""
-    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return F.coalesce(F.crc32(F.col(quoted(key)).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int = TRAIN_ROWS) -> tuple[list, list]:
     """A bounded sample of labelled texts that are not held out, some of each class."""
-    known = labels.filter(~held_out(key) & F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias("y")).dropDuplicates([key])
+    known = labels.filter(~held_out(key) & F.col(quoted(label)).isin(0, 1)).select(F.col(quoted(key)).alias("_k"), F.col(quoted(label)).cast("int").alias("y")).groupBy("_k").agg(F.max("y").alias("y"))
     chosen = None
     for y in (0, 1):
-        part = known.filter(F.col("y") == y).orderBy(F.xxhash64(key), key).limit(rows)
+        part = known.filter(F.col("y") == y).orderBy(F.xxhash64("_k"), "_k").limit(rows)
         chosen = part if chosen is None else chosen.union(part)
-    found = docs.select(key, F.col(text).alias("_t")).filter(F.length("_t") <= TRAIN_CHARS).join(F.broadcast(chosen), key).dropDuplicates([key]).toPandas().sort_values(key)
+    texts = docs.select(F.col(quoted(key)).alias("_k"), F.col(quoted(text)).alias("_t")).filter("_t IS NOT NULL").join(F.broadcast(chosen), "_k")
+    # of a repeated key, the least text; the sample ends where its texts are too long in all
+    found = texts.groupBy("_k").agg(F.min("_t").alias("_t"), F.first("y").alias("y"))
+    before = F.sum(F.length("_t")).over(Window.orderBy(F.xxhash64("_k"), "_k").rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") <= TRAIN_TOTAL).select("_k", "_t", "y").toPandas().sort_values("_k")
     return [alnum_words(t) for t in found["_t"]], found["y"].astype(int).tolist()
 
 
@@ -303,7 +309,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """key, held_out, score and predicted of every document."""
     words, y = sample(docs, labels, key, text, label)
     model = docs.sparkSession.sparkContext.broadcast(train(words, y).p if len(set(y)) == 2 else None)
-    kind = dict(docs.dtypes)[key]
+    kind = docs.schema[key].dataType.simpleString()
 
     def make():
         network = Network()
@@ -318,8 +324,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
         return run
 
-    scored = map_rows(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), make, f"_key {kind}, score double", sized="_text").withColumnRenamed("_key", key)
-    return scored.select(key, held_out(key).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = map_rows(docs.select(F.col(quoted(key)).alias("_key"), F.col(quoted(text)).alias("_text")), make, f"_key {kind}, score double", sized="_text").withColumnRenamed("_key", key)
+    return scored.select(quoted(key), held_out(key).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
