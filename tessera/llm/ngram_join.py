@@ -46,7 +46,9 @@ PRUNINGS = 2
 #: Rounds over random orders, the neighbours that a node is held against in each list, and the best of them that are compared.
 ROUNDS, LAGS, PARTNERS = 2, 2, 2
 #: Rows of a list that are put into one order; longer lists are dealt out by hash.
-LIST_ROWS = 10_000
+LIST_ROWS = 1000
+#: Nodes that have a key from which it can be their home; chance keys have fewer.
+HOME_FROM = 8
 #: Lists of more nodes are not enumerated by pairs but compared in blocks.
 LONG_LIST = 64
 #: Bytes of n-grams of a block of nodes; two blocks meet in a task.
@@ -250,10 +252,13 @@ def _neighbours(lists: DataFrame, seed: int, percent: int) -> DataFrame:
     return ends.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= PARTNERS).select("a", "b").distinct()
 
 
-def _places(arrays: DataFrame, stages: Stages, percent: int) -> DataFrame:
-    """node and block: nodes that share their most common kept key stand together, in blocks of about BLOCK_BYTES."""
-    e = _extra(F.col("size"), percent)
-    home = F.element_at("ks", (F.size("ks") - e + F.floor(e / 2)).cast("int"))["key"]
+def _places(arrays: DataFrame, stages: Stages) -> DataFrame:
+    """node and block: nodes of the same least key (of those that several have) stand together, in blocks of about BLOCK_BYTES.
+
+    Keys are hashes, so similar sets mostly have the same least one.
+    """
+    least_of = lambda ks: F.array_min(F.transform(ks, lambda k: k["key"]))
+    home = F.coalesce(least_of(F.filter("ks", lambda k: k["n"] >= HOME_FROM)), least_of(F.col("ks")))
     own = stages.write(arrays.select("node", "size", home.alias("home")), "homes")
     total = own.groupBy("home").agg(F.count("*").alias("rows"), F.sum(F.col("size").cast("long") * 8).alias("bytes"))
     placed = join_back(own, stages.keyed(total, "totals", "home", "rows"), "home", "rows", "bytes")
@@ -531,7 +536,7 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
         wholes = first.filter("whole IS NOT NULL").select("node", "whole")
         lists = _with_subsets(lists, arrays, wholes, small, stages, percent)
     lists = stages.write(lists, "lists")
-    places = _places(arrays, stages, percent)
+    places = _places(arrays, stages)
     stages.free()
 
     needed, size = stages.measured(arrays.select("node").join(nodes, "node").select("rep"), "needed")
