@@ -51,44 +51,109 @@ def nan_to_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-_TERNARY = re.compile(r"[?:]")
-
-
-def _ternary(text: str) -> str:
-    """Rewrites ``a ? b : c`` (right-associative, also in parentheses) to SQL's if()."""
-
-    def scan(i: int, stops: str) -> tuple[str, int]:
-        out = ""
-        while i < len(text):
-            ch = text[i]
-            if ch == "(":
-                inner, i = scan(i + 1, ")")
-                out += f"({inner})"
-                i += 1
-            elif ch == "?":
-                yes, i = scan(i + 1, ":")
-                no, i = scan(i + 1, stops)
-                return f"if({out.strip()}, {yes.strip()}, {no.strip()})", i
-            elif ch in stops:
-                return out, i
+_LEX = re.compile(r"\s*(?:(\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+(?:[eE][-+]?\d+)?)|([A-Za-z_]\w*)|(<=|>=|==|!=|&&|\|\||[-+*/%<>!?:(),]))")
+_CALLS = {
+    "exp": lambda x: F.exp(x), "log": lambda x: ln(x), "sqrt": lambda x: F.sqrt(x), "abs": lambda x: F.abs(x), "fabs": lambda x: F.abs(x),
+    "fmin": lambda x, y: F.least(x, y), "fmax": lambda x, y: F.greatest(x, y), "pow": lambda x, y: F.pow(x, y), "floor": lambda x: F.floor(x).cast("double"),
+    "ceil": lambda x: F.ceil(x).cast("double"), "sin": lambda x: F.sin(x), "cos": lambda x: F.cos(x), "tan": lambda x: F.tan(x), "tanh": lambda x: F.tanh(x),
+}
+#: Binary operators from the loosest to the tightest.
+_LEVELS = [("||",), ("&&",), ("==", "!="), ("<", ">", "<=", ">="), ("+", "-"), ("*", "/", "%")]
+
+
+class _Formula:
+    """A formula's parser. Values are pairs: a column, and whether it is a truth."""
+
+    def __init__(self, text: str, columns: dict):
+        self.columns, self.tokens, at = columns, [], 0
+        while at < len(text.rstrip()):
+            m = _LEX.match(text, at)
+            if not m:
+                raise ValueError(f"unexpected {text[at : at + 10]!r} in a formula")
+            self.tokens.append(m[0].strip())
+            at = m.end()
+        self.at = 0
+
+    def peek(self) -> str:
+        return self.tokens[self.at] if self.at < len(self.tokens) else ""
+
+    def take(self, wanted: str | None = None) -> str:
+        token = self.peek()
+        if not token or wanted is not None and token != wanted:
+            raise ValueError(f"expected {wanted or 'more'}, found {token or 'the end'} in a formula")
+        self.at += 1
+        return token
+
+    @staticmethod
+    def number(v: tuple[Column, bool]) -> Column:
+        return truth(v[0]) if v[1] else v[0]
+
+    @staticmethod
+    def truth(v: tuple[Column, bool]) -> Column:
+        return v[0] if v[1] else (v[0] != 0) | F.isnan(v[0])
+
+    def ternary(self) -> tuple[Column, bool]:
+        c = self.binary(0)
+        if self.peek() != "?":
+            return c
+        self.take("?")
+        yes = self.ternary()
+        self.take(":")
+        no = self.ternary()
+        if yes[1] and no[1]:
+            return F.when(self.truth(c), yes[0]).otherwise(no[0]), True
+        return F.when(self.truth(c), self.number(yes)).otherwise(self.number(no)), False
+
+    def binary(self, level: int) -> tuple[Column, bool]:
+        if level == len(_LEVELS):
+            return self.unary()
+        left = self.binary(level + 1)
+        while self.peek() in _LEVELS[level]:
+            op = self.take()
+            right = self.binary(level + 1)
+            if op in ("&&", "||"):
+                a, b = self.truth(left), self.truth(right)
+                left = (a & b if op == "&&" else a | b), True
+                continue
+            a, b = self.number(left), self.number(right)
+            if level in (2, 3):
+                left = compare(op, a, b) == 1.0, True
             else:
-                out += ch
-                i += 1
-        return out, i
-
-    return scan(0, "")[0]
-
-
-_NAMES = {"fabs": "abs", "fmin": "least", "fmax": "greatest", "log": "ln", "pow": "power"}
+                left = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": div, "%": BINARY["mod"]}[op](a, b), False
+        return left
+
+    def unary(self) -> tuple[Column, bool]:
+        if self.peek() in ("-", "!", "+"):
+            op, v = self.take(), self.unary()
+            return (~self.truth(v), True) if op == "!" else (-self.number(v) if op == "-" else self.number(v), False)
+        token = self.take()
+        if token == "(":
+            v = self.ternary()
+            self.take(")")
+            return v
+        if token[0].isdigit() or token[0] == ".":
+            return F.lit(float(token)), False
+        if self.peek() == "(" and token in _CALLS:
+            self.take("(")
+            args = [self.number(self.ternary())]
+            while self.peek() == ",":
+                self.take(",")
+                args.append(self.number(self.ternary()))
+            self.take(")")
+            return _CALLS[token](*args), False
+        if not token[0].isalpha() and token[0] != "_":
+            raise ValueError(f"unexpected {token!r} in a formula")
+        return num(self.columns.get(token, token)), False
 
 
 def phi(text: str, **columns) -> Column:
-    """A per-row formula: + - * /, comparisons, ternaries, exp log sqrt abs fabs fmin fmax pow, over names of columns."""
-    sql = re.sub(r"\b(fabs|fmin|fmax|log|pow)\b(?=\s*\()", lambda m: _NAMES[m[1]], _ternary(text).replace("==", "="))
-    sql = re.sub(r"(?<![\w.])(\d+\.\d*|\d*\.\d+)(?:[eE][-+]?\d+)?(?![\w.])", lambda m: f"CAST('{m[0]}' AS DOUBLE)", sql)
-    for name, c in columns.items():
-        sql = re.sub(rf"\b{name}\b(?!\s*\()", f"`{c}`", sql)
-    return F.expr(sql)
+    """A per-row formula of floating-point numbers: + - * / %, comparisons, && || !, ternaries, exp log sqrt abs fabs fmin
+    fmax pow and more, over names of columns. Division and logarithms follow IEEE rules; a comparison alone is a truth."""
+    parser = _Formula(text, columns)
+    value = parser.ternary()[0]
+    if parser.peek():
+        raise ValueError(f"unexpected {parser.peek()!r} in a formula")
+    return value
 
 
 #: Unary and binary nodes of the expression tree.

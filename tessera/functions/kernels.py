@@ -359,34 +359,35 @@ def theil_sen(x: np.ndarray, y: np.ndarray) -> dict:
     return {"slope": slope, "intercept": float(np.median(y) - slope * np.median(x))}
 
 
-def skewtest(x: np.ndarray) -> float:
-    """D'Agostino's z of the skewness."""
-    n = len(x)
-    d = x - x.mean()
-    s2 = float((d * d).mean())
-    if n < 8 or s2 <= 0:
-        return NAN
-    y = float((d**3).mean()) / s2**1.5 * math.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+def skewness_z(n: float, g1: float) -> float:
+    """D'Agostino's z of a population skewness."""
+    y = g1 * math.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
     b2 = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
     w2 = math.sqrt(2 * (b2 - 1)) - 1
     return math.asinh(y / math.sqrt(2 / (w2 - 1))) / math.sqrt(0.5 * math.log(w2))
 
 
-def kurtosistest(x: np.ndarray) -> float:
-    """Anscombe and Glynn's z of the kurtosis."""
-    n = len(x)
-    d = x - x.mean()
-    s2 = float((d * d).mean())
-    if n < 20 or s2 <= 0:
-        return NAN
-    b = float((d**4).mean()) / s2**2
-    z = (b - 3 * (n - 1) / (n + 1)) / math.sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5)))
+def kurtosis_z(n: float, excess: float) -> float:
+    """Anscombe and Glynn's z of a population excess kurtosis."""
+    z = (excess + 3 - 3 * (n - 1) / (n + 1)) / math.sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5)))
     g = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * math.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
     a = 6 + 8 / g * (2 / g + math.sqrt(1 + 4 / g**2))
     part = (1 - 2 / a) / (1 + z * math.sqrt(2 / (a - 4)))
     return (1 - 2 / (9 * a) - math.copysign(abs(part) ** (1 / 3), part)) / math.sqrt(2 / (9 * a))
 
 
+def skewtest(x: np.ndarray) -> float:
+    d = x - x.mean()
+    s2 = float((d * d).mean())
+    return skewness_z(len(x), float((d**3).mean()) / s2**1.5) if len(x) >= 8 and s2 > 0 else NAN
+
+
+def kurtosistest(x: np.ndarray) -> float:
+    d = x - x.mean()
+    s2 = float((d * d).mean())
+    return kurtosis_z(len(x), float((d**4).mean()) / s2**2 - 3) if len(x) >= 20 and s2 > 0 else NAN
+
+
 def jarque_bera(x: np.ndarray) -> dict:
     n, d = len(x), x - x.mean()
     s2 = float((d * d).mean())
@@ -524,7 +525,7 @@ def rts(z: np.ndarray, f: float, h: float, q: float, r: float, x0: float = 0.0,
 
 
 def interpolate(kind: str, x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """lagrange, newton, linear, cubic (natural spline) or polynomial through knots."""
+    """lagrange, newton, linear, cubic (natural spline), akima or pchip (cubics by slopes at the knots)."""
     at = np.atleast_1d(np.asarray(at, float))
     if kind == "linear":
         return np.interp(at, x, y)
@@ -545,9 +546,42 @@ def interpolate(kind: str, x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.n
         i = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
         a, b = (x[i + 1] - at) / h[i], (at - x[i]) / h[i]
         return a * y[i] + b * y[i + 1] + ((a**3 - a) * m[i] + (b**3 - b) * m[i + 1]) * h[i] ** 2 / 6
+    if kind in ("akima", "pchip"):
+        h = np.diff(x)
+        m = np.diff(y) / h
+        slope = _akima_slopes(m) if kind == "akima" else _monotone_slopes(h, m)
+        i = np.clip(np.searchsorted(x, at, "right") - 1, 0, len(x) - 2)
+        t = (at - x[i]) / h[i]
+        return (1 + 2 * t) * (1 - t) ** 2 * y[i] + t * t * (3 - 2 * t) * y[i + 1] + h[i] * (t * (1 - t) ** 2 * slope[i] - t * t * (1 - t) * slope[i + 1])
     raise ValueError(kind)
 
 
+def _akima_slopes(m: np.ndarray) -> np.ndarray:
+    """Means of neighbouring secants, each weighted by the change on the other side; two secants are added at both ends."""
+    if len(m) == 1:
+        return np.repeat(m, 2)
+    e = np.concatenate([[3 * m[0] - 2 * m[1], 2 * m[0] - m[1]], m, [2 * m[-1] - m[-2], 3 * m[-1] - 2 * m[-2]]])
+    left, right = np.abs(e[1:-2] - e[:-3]), np.abs(e[3:] - e[2:-1])
+    total = left + right
+    flat = total < 1e-12
+    return np.where(flat, (e[1:-2] + e[2:-1]) / 2, (right * e[1:-2] + left * e[2:-1]) / np.where(flat, 1.0, total))
+
+
+def _monotone_slopes(h: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Weighted harmonic means of neighbouring secants of one sign, else 0; ends by a three-point rule that keeps the shape."""
+    if len(m) == 1:
+        return np.repeat(m, 2)
+    a, b = 2 * h[1:] + h[:-1], h[1:] + 2 * h[:-1]
+    same = m[1:] * m[:-1] > 0
+    inner = np.where(same, (a + b) / (a / np.where(same, m[:-1], 1.0) + b / np.where(same, m[1:], 1.0)), 0.0)
+
+    def end(h0: float, h1: float, m0: float, m1: float) -> float:
+        d = ((2 * h0 + h1) * m0 - h0 * m1) / (h0 + h1)
+        return 0.0 if d * m0 <= 0 else 3 * m0 if m0 * m1 <= 0 and abs(d) > 3 * abs(m0) else d
+
+    return np.concatenate([[end(h[0], h[1], m[0], m[1])], inner, [end(h[-1], h[-2], m[-1], m[-2])]])
+
+
 def aitken(s: np.ndarray) -> np.ndarray:
     d, d2 = np.diff(s), np.diff(s, 2)
     return np.where(np.abs(d2) > 1e-300, s[:-2] - d[:-1] ** 2 / np.where(d2 == 0, 1, d2), s[2:])

@@ -35,11 +35,16 @@ def pagerank(edges: DataFrame, n: int, damping: float = 0.85, rounds: int = 100,
     return ranks.select("node", "rank")
 
 
-def components(edges: DataFrame, n: int) -> DataFrame:
-    """Labels from 0, in the order of each component's first node. Edges count both ways."""
-    e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).filter((F.col("a") < n) & (F.col("b") < n))
+def components(edges: DataFrame, n: int | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """Labels from 0, in the order of each component's first node. Edges count both ways.
+
+    Nodes are 0..n-1, or those of the column ``node``, whose ids may be any numbers.
+    """
+    e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    e = e if n is None else e.filter((F.col("a") < n) & (F.col("b") < n))
     e = written(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
-    labels = edges.sparkSession.range(n).select(F.col("id").alias("node"), F.col("id").alias("label"))
+    ids = nodes.select("node") if nodes is not None else edges.sparkSession.range(n).select(F.col("id").alias("node")) if n is not None else e.select(F.col("a").alias("node")).distinct()
+    labels = ids.select("node", F.col("node").alias("label"))
     while True:
         near = e.join(labels, e["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
         new = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("label", F.coalesce("m", "label")).alias("new"), "label")

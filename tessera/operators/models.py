@@ -165,8 +165,7 @@ def dbscan(df: DataFrame, key: str, columns: list[str], radius2: float, min_samp
     nodes = df.select(F.col(key).alias("id"))
     cores = written(nodes.join(counts, nodes["id"] == counts["i"], "left").filter(F.coalesce("n", F.lit(1)) >= min_samples).select("id"), "cores")
     links = both.join(cores.select(F.col("id").alias("i")), "i").join(cores.select(F.col("id").alias("j")), "j")
-    top = (df.agg(F.max(key)).first()[0] or 0) + 1
-    labels = graph.components(links.select(F.col("i").alias("src"), F.col("j").alias("dst")), top)
+    labels = graph.components(links.select(F.col("i").alias("src"), F.col("j").alias("dst")), nodes=cores.select(F.col("id").alias("node")))
     cored = cores.join(labels, cores["id"] == labels["node"]).select("id", "component")
     number = cored.groupBy("component").agg(F.min("id").alias("first"))
     from tessera.operators.aggregates import running_total

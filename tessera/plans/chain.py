@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import kernels
+from tessera.functions import kernels, samples
 from tessera.functions import special as sp
 from tessera.operators import aggregates as agg
 from tessera.operators import hypothesis, models
@@ -149,7 +149,10 @@ class Context:
     df: DataFrame
     columns: list[str]
     using: dict[str, Any] = field(default_factory=dict)
-    labels: DataFrame | None = None
+    #: Columns that order the rows; without them, the frame's own order holds.
+    order: list[str] = field(default_factory=list)
+    #: The column of labels that a clustering verb has made.
+    label: str | None = None
 
     def col(self, step: Step, name: str = "col", place: int | None = 0, default: int = 0) -> str:
         k = int(step.get(name, place, default))
@@ -160,13 +163,42 @@ class Context:
     def one(self, *exprs) -> tuple:
         return tuple(self.df.agg(*[e.alias(f"v{i}") for i, e in enumerate(exprs)]).first())
 
-    def array(self, c: str, limit: int = 1_000_000) -> np.ndarray:
-        """One column in the frame's order, for kernels that need it whole; too long a column is an error."""
-        x = [r[0] for r in self.df.select(F.col(c).cast("double")).limit(limit + 1).collect()]
-        if len(x) > limit:
-            raise ChainError(f"the kernel takes up to {limit} rows; group the series instead")
-        v = np.array([math.nan if a is None else a for a in x], float)
-        return v[~np.isnan(v)]
+    def compute(self, names: list[str], f: Callable, paired: bool = False) -> Any:
+        """What a kernel makes of whole columns, in a task of the executors; only the result comes back.
+
+        Rows are in the chain's order. NaN and NULL are left out of each column, or where paired, with their rows.
+        """
+        order = [F.col(c) for c in self.order] or [F.monotonically_increasing_id()]
+        keys = [f"_order{i}" for i in range(len(order))]
+        df = self.df.select(*[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(names)], *[o.alias(k) for o, k in zip(order, keys, strict=True)])
+        return self.compute_on(df, [f"_c{i}" for i in range(len(names))], f, keys, paired)
+
+    @staticmethod
+    def compute_on(df: DataFrame, names: list[str], f: Callable, order: list[str], paired: bool = True) -> Any:
+        import pickle
+
+        def run(parts):
+            held = [[] for _ in names]
+            for part in parts:
+                for h, n in zip(held, names, strict=True):
+                    h.append(part[n].to_numpy(dtype=float, na_value=math.nan))
+            cols = [np.concatenate([np.empty(0), *h]) for h in held]
+            live = [~np.isnan(c) for c in cols]
+            if paired:
+                live = [np.logical_and.reduce(live)] * len(cols)
+            import pandas as pd
+
+            try:
+                out = True, f(*[c[m] for c, m in zip(cols, live, strict=True)])
+            except (ValueError, np.linalg.LinAlgError) as e:
+                out = False, str(e)
+            yield pd.DataFrame({"out": [pickle.dumps(out)]})
+
+        rows = df.select(*dict.fromkeys([*names, *order])).repartition(1).sortWithinPartitions(*order).mapInPandas(run, "out binary").collect()
+        done, value = pickle.loads(rows[0].out) if rows else (False, "no rows")
+        if not done:
+            raise ChainError(value)
+        return value
 
 
 VERBS: dict[str, Callable[[Context, Step], Any]] = {}
@@ -278,27 +310,39 @@ def _matrix(c: Context, s: Step) -> np.ndarray:
 
 
 def looks_normal(c: Context, x: str) -> bool:
-    """D'Agostino's omnibus on moments of the whole column at 5 per cent."""
+    """Shapiro and Wilk's test below the threshold of rows, D'Agostino's from it on (by moments, over all rows)."""
+    alpha, threshold = float(c.using.get("normality_alpha", 0.05)), int(c.using.get("normality_test_n_threshold", 5000))
     n, g1, g2 = c.one(F.count(x), F.skewness(x), F.kurtosis(x))
-    if n < 20 or g1 is None or g2 is None:
+    if n < threshold:
+        return c.compute([x], lambda v: samples.normality(v, threshold)) > alpha
+    if g1 is None or g2 is None:
         return False
-    jb = n / 6 * (g1 * g1 + g2 * g2 / 4)
-    return sp.chi2_cdf(jb, 2) < 0.95
+    z1, z2 = kernels.skewness_z(n, g1), kernels.kurtosis_z(n, g2)
+    return 1 - sp.chi2_cdf(z1 * z1 + z2 * z2, 2) > alpha
 
 
 def is_binary(c: Context, x: str) -> bool:
-    return c.df.select(x).dropna().distinct().limit(3).count() == 2
+    return c.df.select(x).dropna().distinct().limit(3).count() <= 2
 
 
 @verb("correlation")
 def _correlation(c: Context, s: Step) -> dict:
     """phi, point-biserial, Pearson or Spearman, as the columns call for; ``using(method=...)`` overrides."""
     x, y = c.col(s, "col_x", 0, 0), c.col(s, "col_y", 1, 1)
-    method = c.using.get("method")
-    if method is None:
-        bx, by = is_binary(c, x), is_binary(c, y)
-        method = "phi" if bx and by else "point_biserial" if bx or by else "pearson" if looks_normal(c, x) and looks_normal(c, y) else "spearman"
-    value = hypothesis.spearman(c.df, x, y).first()[0] if method == "spearman" else c.one(F.corr(x, y))[0]
+    bx, by = is_binary(c, x), is_binary(c, y)
+    auto = "phi" if bx and by else "point_biserial" if bx or by else "pearson" if looks_normal(c, x) and looks_normal(c, y) else "spearman"
+    method = {"phi_coefficient": "phi", "kendall_tau": "kendall"}.get(str(c.using.get("method", auto)), str(c.using.get("method", auto)))
+    cut = lambda v: F.when(F.col(v) > 0.5, 1.0).when(F.col(v).isNotNull(), 0.0)
+    if method == "spearman":
+        value = hypothesis.spearman(c.df, x, y).first()[0]
+    elif method == "kendall":
+        value = c.compute([x, y], kernels.kendall, paired=True)
+    elif method == "phi":
+        value = c.one(F.corr(cut(x), cut(y)))[0]
+    elif method == "point_biserial":
+        value = c.one(F.corr(cut(x), F.col(y)) if bx or not by else F.corr(cut(y), F.col(x)))[0]
+    else:
+        method, value = "pearson", c.one(F.corr(x, y))[0]
     return {"method": method, "value": value}
 
 
@@ -358,9 +402,26 @@ def _g(c: Context, s: Step) -> float:
 
 @verb("test.anova", "anova")
 def _anova(c: Context, s: Step) -> dict:
+    """One-way ANOVA; Welch's where Levene's test finds unequal spreads, Kruskal and Wallis's where a group is not normal."""
     x, g = c.col(s, "col_val", 0, 0), c.col(s, "col_group", 1, min(1, len(c.columns) - 1))
-    f, a, b, eta = hypothesis.anova(c.df, x, g).first()
-    return {"statistic": f, "df_between": a, "df_within": b, "eta2": eta, "p": 1 - sp.f_cdf(f, a, b)}
+    df = c.df.select(F.col(x).cast("double").alias("x"), F.col(g).cast("long").alias("g")).dropna()
+    groups = df.groupBy("g").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.var_samp("x").alias("v"), F.median("x").alias("med")).orderBy("g").collect()
+    if len(groups) < 2:
+        return {"method": "anova", "statistic": math.nan, "p": math.nan}
+    alpha = float(c.using.get("normality_alpha", 0.05))
+    normal = all(looks_normal(Context(df.filter(F.col("g") == r.g), ["x"], c.using), "x") for r in groups)
+    spread = df.join(df.groupBy("g").agg(F.median("x").alias("med")), "g").select(F.abs(F.col("x") - F.col("med")).alias("x"), "g")
+    f, a, b, _ = hypothesis.anova(spread, "x", "g").first()
+    equal = f is None or 1 - sp.f_cdf(f, a, b) > alpha
+    auto = "kruskal_wallis" if not normal else "anova" if equal else "welch_anova"
+    method = {"kruskal": "kruskal_wallis", "welch": "welch_anova"}.get(str(c.using.get("method", auto)), str(c.using.get("method", auto)))
+    if method == "kruskal_wallis":
+        h = hypothesis.kruskal(df, "x", "g").first()[0]
+        return {"method": method, "recommended": auto, "statistic": h, "p": 1 - sp.chi2_cdf(h, len(groups) - 1)}
+    if method == "welch_anova":
+        return {"method": method, "recommended": auto} | samples.welch_anova_of(np.array([r.n for r in groups], float), np.array([r.m for r in groups]), np.array([r.v for r in groups]))
+    f, a, b, eta = hypothesis.anova(df, "x", "g").first()
+    return {"method": "anova", "recommended": auto, "statistic": f, "df_between": a, "df_within": b, "eta2": eta, "p": 1 - sp.f_cdf(f, a, b)}
 
 
 @verb("test.chi2", "chi2")
@@ -453,11 +514,11 @@ class Result:
     lints: list[tuple[str, str]]
 
 
-def run(df: DataFrame, chain: str | list[Step], columns: list[str] | None = None) -> Result:
-    """Runs a chain over the numeric columns (all, unless named)."""
+def run(df: DataFrame, chain: str | list[Step], columns: list[str] | None = None, order: list[str] | None = None) -> Result:
+    """Runs a chain over the numeric columns (all, unless named), for ordered verbs in the order of the given columns."""
     steps = parse(chain) if isinstance(chain, str) else chain
     columns = columns or [n for n, t in df.dtypes if t in ("double", "float", "int", "bigint", "smallint", "tinyint")]
-    c, outputs = Context(df, columns), []
+    c, outputs = Context(df, columns, order=list(order or [])), []
     for s in steps:
         if s.name == "using":
             c.using |= s.named
@@ -465,9 +526,9 @@ def run(df: DataFrame, chain: str | list[Step], columns: list[str] | None = None
         if s.name in VERBS:
             value = VERBS[s.name](c, s)
         elif s.name in _SERIES:
-            value = _SERIES[s.name](c.array(c.col(s, place=None)), s)
+            value = c.compute([c.col(s, place=None)], lambda x, s=s: _SERIES[s.name](x, s))
         elif s.name in _TWO:
-            value = _TWO[s.name](c.array(c.col(s, "col_x", 0, 0)), c.array(c.col(s, "col_y", 1, 1)))
+            value = c.compute([c.col(s, "col_x", 0, 0), c.col(s, "col_y", 1, 1)], lambda x, y, s=s: _TWO[s.name](x, y))
         elif s.name in _SCALAR:
             value = _SCALAR[s.name](s)
         else:
@@ -479,4 +540,4 @@ def run(df: DataFrame, chain: str | list[Step], columns: list[str] | None = None
     return Result(outputs, c.df, lint(steps))
 
 
-from tessera.plans import verbs_more  # noqa: E402,F401  (registers its verbs)
+from tessera.plans import verbs_more, verbs_wide  # noqa: E402,F401  (they register their verbs)

@@ -9,11 +9,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import matrix
 from tessera.operators import divergences, models
-from tessera.plans.chain import VERBS, ChainError, Context, Step
-
-#: Rows of a frame that a matrix verb takes as a matrix.
-MAX_ROWS = 5000
-
+from tessera.plans.chain import VERBS, Context, Step
 
 def _divergence(f):
     def run(c: Context, s: Step) -> float:
@@ -32,18 +28,6 @@ for _names, _f in {
 VERBS["renyi_divergence"] = lambda c, s: c.one(divergences.renyi(c.col(s, "col_x", 0, 0), c.col(s, "col_y", 1, 1), float(s.get("alpha", 2, 1.0))))[0]
 
 
-def _dense(c: Context) -> np.ndarray:
-    rows = c.df.select(*[F.col(x).cast("double") for x in c.columns]).limit(MAX_ROWS + 1).collect()
-    if len(rows) > MAX_ROWS:
-        raise ChainError(f"a matrix verb takes up to {MAX_ROWS} rows")
-    return np.array(rows, float).reshape(len(rows), len(c.columns))
-
-
-def _system(c: Context) -> tuple[np.ndarray, np.ndarray]:
-    a = _dense(c)
-    return a[:, :-1], a[:, -1]
-
-
 for _name, _g in {
     "det": lambda a: float(np.linalg.det(a)), "cond": lambda a: float(np.linalg.cond(a)), "pinv": np.linalg.pinv, "svd": lambda a: np.linalg.svd(a, compute_uv=False),
     "qr": lambda a: np.linalg.qr(a)[1], "lu": lambda a: matrix.lu(a)[2], "sym_eigen": lambda a: np.linalg.eigvalsh(a)[::-1], "matrix_exp": matrix.expm,
@@ -51,11 +35,11 @@ for _name, _g in {
     "effective_rank": matrix.effective_rank, "markov_chain": matrix.stationary, "rips_h0": matrix.persistence_h0,
     "mds": lambda a: matrix.classical_mds(((a[:, None] - a[None]) ** 2).sum(2)),
 }.items():
-    VERBS[_name] = lambda c, s, g=_g: g(_dense(c))
+    VERBS[_name] = lambda c, s, g=_g: c.compute(c.columns, lambda *cols: g(np.column_stack(cols)), paired=True)
 for _alias, _of in {"lu_decomp": "lu", "qr_decomp": "qr", "eigendecomp": "sym_eigen", "effective_rank_from_sv": "effective_rank", "stationary_distribution": "markov_chain", "persistent_homology_h0": "rips_h0"}.items():
     VERBS[_alias] = VERBS[_of]
-VERBS["solve_linear"] = lambda c, s: np.linalg.solve(*_system(c))
-VERBS["conjugate_gradient"] = VERBS["cg"] = lambda c, s: matrix.conjugate_gradient(*_system(c), float(s.get("tol", 0, 1e-10)), int(s.get("max_iter", 1, 1000)))
+VERBS["solve_linear"] = lambda c, s: c.compute(c.columns, lambda *cols: np.linalg.solve(np.column_stack(cols[:-1]), cols[-1]), paired=True)
+VERBS["conjugate_gradient"] = VERBS["cg"] = lambda c, s: c.compute(c.columns, lambda *cols: matrix.conjugate_gradient(np.column_stack(cols[:-1]), cols[-1], float(s.get("tol", 0, 1e-10)), int(s.get("max_iter", 1, 1000))), paired=True)
 VERBS["cronbachs_alpha"] = VERBS["cronbach_alpha"] = lambda c, s: matrix.cronbach(models.covariance(c.df, c.columns))
 VERBS["kmo_bartlett"] = VERBS["kmo"] = lambda c, s: matrix.kmo(models.correlation(c.df, c.columns))
 VERBS["scree_elbow"] = lambda c, s: int(np.diff(np.linalg.eigvalsh(models.correlation(c.df, c.columns))[::-1]).argmin()) + 1
