@@ -179,7 +179,9 @@ def naive_bayes_fit(spark, sf_dir):
     return m.select("l_returnflag", r("prior", 9).alias("prior"), r("mean_l_quantity").alias("mean_l_quantity"), r("mean_l_tax").alias("mean_l_tax"), r("var_l_quantity", 5).alias("var_l_quantity"), r("var_l_tax", 8).alias("var_l_tax"))
 
 
-@query()
+@query("""WITH x AS (SELECT vec_id, label, unnest([1, 2, 3, 4]) AS j, unnest(embedding[1:4])::DOUBLE AS v FROM embeddings), m AS (SELECT label, j, avg(v) AS m, var_pop(v) AS s FROM x GROUP BY 1, 2),
+k AS (SELECT label, count(*) / (SELECT count(*) FROM embeddings) AS prior FROM embeddings GROUP BY 1)
+SELECT vec_id, c.label AS predicted FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS r FROM (SELECT x.vec_id, m.label, any_value(ln(prior)) + sum(-0.5 * ln(2 * pi() * greatest(s, 1e-9)) - (v - m) ^ 2 / (2 * greatest(s, 1e-9))) AS score FROM x JOIN m USING (j) JOIN k ON k.label = m.label GROUP BY 1, 2)) c WHERE r = 1""")
 def naive_bayes_predict(spark, sf_dir):
     df = t(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(4)])
     f = [f"x{i}" for i in range(4)]
@@ -265,18 +267,24 @@ def _supply(spark, sf_dir):
     return e.select(F.col("o_custkey_id").alias("src"), F.col("l_suppkey_id").alias("dst"), "w"), n + m
 
 
-@query()
+_SUPPLY = """e0 AS MATERIALIZED (SELECT o_custkey AS c, l_suppkey AS s, min(l_quantity) AS w FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey IS NOT NULL AND l_suppkey IS NOT NULL GROUP BY 1, 2),
+cs AS MATERIALIZED (SELECT c, row_number() OVER (ORDER BY c) - 1 AS ci FROM (SELECT DISTINCT c FROM e0)), ss AS MATERIALIZED (SELECT s, row_number() OVER (ORDER BY s) - 1 + (SELECT count(*) FROM cs) AS si FROM (SELECT DISTINCT s FROM e0)),
+e1 AS MATERIALIZED (SELECT ci AS a, si AS b, w FROM e0 JOIN cs USING (c) JOIN ss USING (s)), e AS MATERIALIZED (SELECT a, b, w FROM e1 UNION ALL SELECT b, a, w FROM e1)"""
+
+
+@query(f"""WITH RECURSIVE {_SUPPLY}, p(k, node, l) AS (SELECT 0, a, a FROM (SELECT DISTINCT a FROM e) UNION ALL SELECT p.k + 1, p.node, least(any_value(p.l), min(q.l)) FROM p JOIN e ON e.a = p.node JOIN p q ON q.node = e.b WHERE p.k < 24 GROUP BY p.k, p.node),
+f AS (SELECT node, l FROM p WHERE k = 24) SELECT node, dense_rank() OVER (ORDER BY l) - 1 AS component FROM f""")
 def connected_components(spark, sf_dir):
     return graph.components(*_supply(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SUPPLY}, p(k, node, d) AS (SELECT 0, 0::BIGINT, 0.0::DOUBLE UNION ALL SELECT k + 1, b, min(d + w) FROM p JOIN e ON a = node WHERE k < 40 GROUP BY k, b) SELECT node, round(min(d), 4) AS d FROM p GROUP BY node""")
 def shortest_paths(spark, sf_dir):
     edges, n = _supply(spark, sf_dir)
     return graph.shortest_paths(edges, 0, n, directed=False).select("node", r("d", 4).alias("d"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SUPPLY}, p(hops, node) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT hops + 1, b FROM p JOIN e ON a = node WHERE hops < 40) SELECT node, min(hops) AS hops FROM p GROUP BY node""")
 def breadth_first(spark, sf_dir):
     edges, n = _supply(spark, sf_dir)
     return graph.bfs(edges, 0, n)
@@ -314,7 +322,8 @@ def tfidf(spark, sf_dir):
     return x.select("doc_id", "word", "n", r(F.col("n") / F.col("total") * F.ln(F.col("docs") / F.col("df")), 8).alias("tfidf"))
 
 
-@query()
+@query("""SELECT a.c_mktsegment, round(sum(sign(a.c_acctbal - b.c_acctbal) * sign(a.c_nationkey - b.c_nationkey)) / sqrt(sum((a.c_acctbal <> b.c_acctbal)::INT)::DOUBLE * sum((a.c_nationkey <> b.c_nationkey)::INT)::DOUBLE), 6) AS tau
+FROM customer a JOIN customer b ON a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey GROUP BY 1""")
 def kendall_by_segment(spark, sf_dir):
     from tessera.operators import series
 

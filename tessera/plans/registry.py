@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.plans import queries_core, queries_series, queries_stats
+from tessera.plans import queries_chain, queries_core, queries_series, queries_stats
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (queries_core, queries_stats, queries_series):
+for _module in (queries_core, queries_stats, queries_series, queries_chain):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
