@@ -1 +1 @@
-"""sources of the engine."""
+"""Tables on disk with the statistics of their tiles."""
