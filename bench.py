@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINES = [
     "revenue_by_brand", "multi_output_reduce", "fused_sums", "groupby_sum", "groupby_mean_high_cardinality", "group_statistics", "moments",
     "describe", "inner_join", "first_match_join", "filter_mask", "recipes", "quantiles", "rolling_pipeline", "scans", "cadence_roll_up",
-    "ohlcv_hourly", "tick_counts", "realized_measures", "autocorrelation", "mann_whitney", "knn", "pagerank", "heavy_hitters",
+    "ohlcv_hourly", "tick_counts", "realized_measures", "autocorrelation", "mann_whitney", "knn", "kmeans", "dbscan", "chain_descriptive", "pagerank", "heavy_hitters",
 ]
 
 

@@ -149,21 +149,24 @@ def average_ranks(df: DataFrame, c: str, out: str, key: str | None = None) -> Da
     return df.join(ranks, df[c] == ranks["_c"], "left").drop("_c")
 
 
-def running_total(df: DataFrame, order: str, c: str, out: str, parts: int = 64) -> DataFrame:
+def running_total(df: DataFrame, order: str, c: str, out: str, parts: int | None = None) -> DataFrame:
     """Inclusive prefix sums over one order of the whole table, without one task of all rows.
 
-    Rows are dealt by ranges of the order; a range's sum is a plain aggregate, and only the ranges' sums (one row each)
-    are summed in one task.
+    Rows are dealt by ranges of the order, as many as shuffles have partitions; ties are told apart by their other columns,
+    so equal values may be split. A range's sum is a plain aggregate, and only the ranges' sums (one row each) are summed in
+    one task.
     """
-    dealt = df.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id())
+    parts = parts or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tie = F.xxhash64(*df.columns)
+    dealt = df.withColumn("_t", tie).repartitionByRange(parts, order, "_t").withColumn("_p", F.spark_partition_id())
     from tessera.operators.stages import written
 
     dealt = written(dealt, "ranges")
     sums = dealt.groupBy("_p").agg(F.sum(c).alias("_s"))
     w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("_p", F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_b"))
-    inside = F.sum(c).over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return dealt.withColumn(out, inside).join(F.broadcast(before), "_p").withColumn(out, F.col(out) + F.col("_b")).drop("_p", "_b")
+    inside = F.sum(c).over(Window.partitionBy("_p").orderBy(order, "_t").rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn(out, inside).join(F.broadcast(before), "_p").withColumn(out, F.col(out) + F.col("_b")).drop("_p", "_b", "_t")
 
 
 def bin_stats(df: DataFrame, keys: list[str], c: str, order: list[str]) -> DataFrame:
@@ -189,6 +192,8 @@ CADENCES = (30, 60, 300, 900, 1800, 3600, 14400, 86400)
 
 def roll_up(df: DataFrame, key: str, ts: str, c: str, cadences: tuple[int, ...] = CADENCES) -> DataFrame:
     """Sufficient statistics by key, cadence and bucket. Coarser buckets are made of finer ones where they nest."""
+    from tessera.operators.stages import written
+
     def stats(rows: DataFrame, n: Column, s: Column, q: Column, lo: Column, hi: Column, start: Column) -> DataFrame:
         return rows.groupBy(key, start.alias("start")).agg(F.sum(s).alias("sum"), F.sum(q).alias("sum_sq"), F.min(lo).alias("min"), F.max(hi).alias("max"), F.sum(n).alias("count"))
 
@@ -200,6 +205,8 @@ def roll_up(df: DataFrame, key: str, ts: str, c: str, cadences: tuple[int, ...]
             level = stats(df, F.when(x.isNotNull(), 1).otherwise(0), x, x * x, x, x, bucket(ts, size))
         else:
             level = stats(levels[finer], F.col("count"), F.col("sum"), F.col("sum_sq"), F.col("min"), F.col("max"), (F.floor(F.col("start") / size) * size).cast("long"))
+        if not levels:  # the finest level feeds all others
+            level = written(level, "finest")
         levels[size] = level
         part = level.withColumn("cadence", F.lit(size))
         out = part if out is None else out.unionByName(part)

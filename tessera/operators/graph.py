@@ -23,12 +23,13 @@ def pagerank(edges: DataFrame, n: int, damping: float = 0.85, rounds: int = 100,
     weights = written(edges.join(degree, "src").select("src", "dst", (F.col("k") / F.col("deg")).alias("share")), "shares")
     ranks = nodes.join(degree, nodes["node"] == degree["src"], "left").select("node", F.lit(1.0 / n).alias("rank"), F.col("deg").isNull().alias("dangling"))
     ranks = written(ranks, "ranks")
+    dangling = F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))
+    lost = ranks.agg(dangling).first()[0]
     for _ in range(rounds):
-        lost = ranks.filter("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         got = weights.join(ranks, weights["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("in"))
         new = ranks.join(got, ranks["node"] == got["dst"], "left").select("node", ((1 - damping) / n + damping * (F.coalesce("in", F.lit(0.0)) + lost / n)).alias("rank"), "dangling", F.col("rank").alias("old"))
         new = written(new, "ranks")
-        change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        change, lost = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), dangling).first()
         ranks = new.drop("old")
         if change is None or change < tol:
             break

@@ -59,14 +59,13 @@ def anova(df: DataFrame, c: str, group: str) -> DataFrame:
 
 
 def chi2_independence(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: chi2, dof and cramers_v of a contingency table."""
+    """One row: chi2, dof and cramers_v of a contingency table. Empty cells are counted without being made."""
     cells = df.groupBy(a, b).agg(F.count("*").alias("o"))
     rows, cols = cells.groupBy(a).agg(F.sum("o").alias("r")), cells.groupBy(b).agg(F.sum("o").alias("c"))
-    n = cells.agg(F.sum("o").alias("n"))
-    full = rows.join(F.broadcast(n)).join(F.broadcast(cols)).join(cells, [a, b], "left")
-    e = F.col("r") * F.col("c") / F.col("n")
-    o = F.coalesce("o", F.lit(0))
-    s = full.agg(F.sum((o - e) * (o - e) / e).alias("chi2"), F.count_distinct(a).alias("i"), F.count_distinct(b).alias("j"), F.max("n").alias("n"))
+    full = cells.join(rows, a).join(cols, b)
+    share = F.col("o") * F.col("o") / (F.col("r") * F.col("c").cast("double"))
+    s = full.agg(F.sum(share).alias("share"), F.count_distinct(a).alias("i"), F.count_distinct(b).alias("j"), F.sum("o").alias("n"))
+    s = s.select((F.col("n") * (F.col("share") - 1.0)).alias("chi2"), "i", "j", "n")
     return s.select("chi2", ((F.col("i") - 1) * (F.col("j") - 1)).alias("dof"), F.sqrt(F.col("chi2") / (F.col("n") * F.least(F.col("i") - 1, F.col("j") - 1))).alias("cramers_v"))
 
 

@@ -1,4 +1,8 @@
-"""Kernels over ordered series, one a group, through Arrow-based grouped functions."""
+"""Kernels over ordered series, one a group, through Arrow-based grouped functions.
+
+A series is one task's: its order and values, and nothing else of its rows. What decomposes (moments, lagged sums, realized
+measures, counts of patterns) is written with windows and aggregates instead, which split groups of any size.
+"""
 
 from __future__ import annotations
 
@@ -12,9 +16,6 @@ from pyspark.sql import functions as F
 from tessera.functions import kernels
 from tessera.functions.exprs import num
 
-#: A group's rows must fit into one worker; larger ones are an error here, not a lost executor later.
-MAX_GROUP = 1_000_000
-
 
 def apply(df: DataFrame, key: str, order: list[str], columns: list[str], kernel: Callable, outputs: list[str]) -> DataFrame:
     """key and the kernel's outputs (double) of each group. The kernel gets one array a column, in order, NULLs and NaN rows left out."""
@@ -22,8 +23,6 @@ def apply(df: DataFrame, key: str, order: list[str], columns: list[str], kernel:
     ddl = f"{key} {kind}, " + ", ".join(f"{o} double" for o in outputs)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_GROUP:
-            raise ValueError(f"a group of {len(pdf)} rows; kernels take up to {MAX_GROUP}")
         rows = pdf.sort_values(order, kind="stable")[[f"_{i}" for i in range(len(columns))]].dropna()
         value = kernel(*[rows[c].to_numpy(float) for c in rows.columns]) if len(rows) else float("nan")
         found = value if isinstance(value, dict) else dict(zip(outputs, np.atleast_1d(value), strict=False))
@@ -38,8 +37,6 @@ def vectors(df: DataFrame, key: str, order: list[str], column: str, kernel: Call
     kind = dict(df.dtypes)[key]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_GROUP:
-            raise ValueError(f"a group of {len(pdf)} rows; kernels take up to {MAX_GROUP}")
         x = pdf.sort_values(order, kind="stable")["_x"].dropna().to_numpy(float)
         out = np.asarray(kernel(x), float) if len(x) else np.empty(0)
         return pd.DataFrame({key: [pdf[key].iloc[0]] * len(out), "i": range(len(out)), "value": out})

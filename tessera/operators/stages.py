@@ -1,4 +1,4 @@
-"""Tables that cut lineage, in the folder that the cluster names in spark.checkpoint.dir."""
+"""Tables that cut lineage, in the folder that the cluster names in spark.checkpoint.dir; local masters may name none."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
