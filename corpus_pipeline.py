@@ -1,7 +1,10 @@
 """A corpus pipeline: quality rules, near duplicates, benchmark passages, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns a DataFrame; ``run`` writes it
-as Parquet to the shared folder and gives it, read again, to the next. All but the last return the columns of documents.
+as Parquet to the shared folder and gives it, read again, to the next. All but the last return the columns of documents,
+whatever their names, and empty tables stay empty. Null texts have no words: the quality rules reject them. Texts of any
+length are read whole. Of equal or similar documents the one of the least key stays; rows that repeat a key stay or go
+together. Documents of null or hot sources are judged like others. The last stage gives one row for each packed piece.
 """
 
 from __future__ import annotations
