@@ -56,12 +56,13 @@ def _known(spark: SparkSession, cache: str, version: str) -> DataFrame:
     return spark.read.schema(CACHE_DDL).parquet(cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def fill_cache(docs: DataFrame, cache: str, tokenizer: str, text: str = "text") -> None:
-    """Appends the counts of the texts that the cache lacks."""
+def fill_cache(docs: DataFrame, cache: str, tokenizer: str, text: str = "text", key: str | None = None) -> None:
+    """Appends the counts of the texts that the cache lacks. key: tells copies apart; without one, each slice that has a copy encodes it."""
     spark, version, stages = docs.sparkSession, tokenizer_digest(tokenizer), Stages(docs.sparkSession, "misses")
     content = F.coalesce(F.col(quoted(text)), F.lit(""))
-    # a row's mark need only tell it from most others: digests and places of the input
-    rows = docs.select(content.alias("_text"), F.unhex(F.sha2(content, 256)).alias("digest"), F.xxhash64(F.monotonically_increasing_id()).alias("mark"))
+    digest = F.unhex(F.sha2(content, 256))
+    # of the copies of a text, the one of the least mark is encoded
+    rows = docs.select(content.alias("_text"), digest.alias("digest"), F.xxhash64(digest, F.lit(0) if key is None else F.col(quoted(key))).alias("mark"))
     missing = rows.groupBy("digest").agg(F.min("mark").alias("mark"))
     if _exists(spark, cache):
         missing = missing.join(_known(spark, cache, version).select("digest"), "digest", "left_anti")
@@ -77,7 +78,7 @@ def fill_cache(docs: DataFrame, cache: str, tokenizer: str, text: str = "text")
 def token_counts(docs: DataFrame, cache: str, tokenizer: str | None = None, text: str = "text", key: str = "doc_id", limit: int = LIMIT) -> DataFrame:
     """key, n_bytes, n_tokens and over_limit of each document; fills the cache first."""
     tokenizer, stages = tokenizer or tokenizer_path(TOKENIZER), Stages(docs.sparkSession, "counts")
-    fill_cache(docs, cache, tokenizer, text)
+    fill_cache(docs, cache, tokenizer, text, key)
     content = F.coalesce(F.col(quoted(text)), F.lit(""))
     rows = docs.select(F.col(quoted(key)).alias("_key"), F.octet_length(content).cast("long").alias("n_bytes"), F.unhex(F.sha2(content, 256)).alias("digest"))
     rows = stages.write(rows, "rows")
@@ -89,5 +90,5 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str | None = None, text
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cache is filled with half of the documents first, as an earlier job would; then all are counted through it."""
     docs, cache = table(spark, sf_dir, "documents").select("doc_id", "text"), f"{Stages(spark, 'tokens').folder}/cache"
-    fill_cache(docs.filter(F.pmod(F.xxhash64("text"), F.lit(2)) == 0), cache, tokenizer_path(TOKENIZER))
+    fill_cache(docs.filter(F.pmod(F.xxhash64("text"), F.lit(2)) == 0), cache, tokenizer_path(TOKENIZER), key="doc_id")
     return token_counts(docs, cache)
