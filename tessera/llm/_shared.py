@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import re
 import tempfile
@@ -99,11 +100,27 @@ def join_back(rows: DataFrame, small: tuple[DataFrame, dict], key: str, weight:
     return joined.select(*own, F.coalesce(F.col(hv)[sv], F.col(sv)).alias(value))
 
 
+#: Stages whose tables results may still read; they go when the driver ends.
+_LEFT: list[Stages] = []
+
+
+@atexit.register
+def _clear() -> None:
+    for stages in _LEFT:
+        if stages.spark.sparkContext._jsc is not None:  # else the session has been stopped, and the folder is the cluster's
+            with contextlib.suppress(Exception):
+                stages.drop()
+
+
 class Stages:
-    """Tables that cut lineage, written to the shared folder; a lost executor loses none of them."""
+    """Tables that cut lineage, written to the shared folder; a lost executor loses none of them.
+
+    What is not dropped before is dropped when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder, self.count = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        _LEFT.append(self)
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.count += 1
