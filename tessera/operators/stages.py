@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_LEFT: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clear() -> None:
+    """Deletes the tables when the driver ends, as results may read them until then."""
+    for spark, path in _LEFT:
+        if spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Exception):
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -18,5 +32,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
         folder = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _LEFT.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
