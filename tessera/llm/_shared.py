@@ -218,6 +218,18 @@ def slices(batch: pa.RecordBatch, sized: str | None = None, rows: int = SLICE_RO
         at = to
 
 
+#: Rows and bytes that the JVM hands to a Python worker at once, where the session does not say otherwise.
+ARROW_ROWS, ARROW_BYTES = 2048, 8_000_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, which a task holds in the JVM and in its worker; settings of the user's own stay."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        if spark.conf.get(key, None) in (None, "10000", "64MB", "67108864b", str(64 << 20)):
+            with contextlib.suppress(Exception):  # not every version has both
+                spark.conf.set(key, str(value))
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -229,6 +241,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[s
     """mapInArrow in slices of bounded rows and, by the column ``sized``, bounded bytes. ``make`` runs once a task and gives the function from a slice to columns."""
 
     schema = arrow_schema(ddl)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()

@@ -29,7 +29,7 @@ WINDOW = 10
 #: Words of a block of the benchmark.
 BLOCK_WORDS = 200_000
 #: Documents of a shard, whose bytes are bounded too.
-SHARD_ROWS = 8192
+SHARD_ROWS = 1024
 
 
 class Block:
@@ -178,7 +178,8 @@ def scan(texts: list[str | None], blocks: list[Callable[[], Block]], depth: int)
     starts = np.cumsum(lengths + 1) - lengths - 1
     total = int((lengths + 1).sum())
     vocabulary, ids = _Numbers(), np.zeros(total, np.int64)
-    for s, ws in zip(starts.tolist(), words, strict=True):
+    for k, s in enumerate(starts.tolist()):
+        ws, words[k] = words[k], None  # the numbers stand for the words from here on
         ids[s : s + len(ws)] = np.fromiter(map(vocabulary.__getitem__, ws), np.int64, len(ws))
     array = SuffixArray(ids, depth)
     edge, items, best = np.zeros(total + 1, np.int64), [set() for _ in texts], [(0, None, None, None)] * len(texts)
@@ -222,7 +223,7 @@ def scan(texts: list[str | None], blocks: list[Callable[[], Block]], depth: int)
     n_hit = np.add.reduceat(hit, starts).tolist() if len(texts) else []
     return {
         "n_words": lengths.tolist(),
-        "n_hit": [int(n) if w else 0 for n, w in zip(n_hit, words, strict=True)],
+        "n_hit": [int(n) if w else 0 for n, w in zip(n_hit, lengths.tolist(), strict=True)],
         "items": [sorted(s) for s in items],
         "longest_match": [b[0] for b in best],
         "match_start": [b[1] for b in best],

@@ -52,7 +52,7 @@ HOME_FROM = 8
 #: Lists of more nodes are not enumerated by pairs but compared in blocks.
 LONG_LIST = 64
 #: Bytes of n-grams of a block of nodes; two blocks meet in a task.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 3_000_000
 #: Components of up to so many links are found in one task, of more by stars.
 ONE_TASK_LINKS = 500_000
 #: Partners from which a set is counted against an index of the others rather than pair by pair.

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import quoted, slices, table
+from tessera.llm._shared import quoted, slices, small_batches, table
 from tessera.llm.tokenizing import WordIds, tokenizer_path
 
 TOKENIZER, SIZE, END = "word_bpe_49k.json", 4096, 2
@@ -136,6 +136,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, text: str = "text", key:
     rows = docs.select(F.col(quoted(key)).alias("_key"), F.col(quoted(text)).alias("_text"))
     names = ["_key", *[c.split()[0] for c in DDL.split(", ")]]
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         from pyspark import TaskContext
 
