@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that are turned into Python objects at once.
@@ -186,13 +186,18 @@ def _bitmap(ids: DataFrame, bit, bits: int) -> np.ndarray:
     return out
 
 
+def bitmap_of(ids: DataFrame, place: Callable[[int], Column], n: int):
+    """A broadcast bitmap of the places of n rows and its number of bits, a power of two. place: from that number to a row's place."""
+    bits = min(MAX_BITS, 1 << max(20, (n * BITS_A_KEY).bit_length()))
+    return ids.sparkSession.sparkContext.broadcast(_bitmap(ids, place(bits), bits)), bits
+
+
 def filter_of(ids: DataFrame, key: str, n: int):
     """A broadcast filter of a column's n values (by their xxhash64) and its number of bits.
 
     It lets through all of them, and few others unless they are more than the bits allow for; an exact step must follow.
     """
-    bits = min(MAX_BITS, 1 << max(20, (n * BITS_A_KEY).bit_length()))
-    return ids.sparkSession.sparkContext.broadcast(_bitmap(ids, F.pmod(F.xxhash64(key), F.lit(bits)), bits)), bits
+    return bitmap_of(ids, lambda bits: F.pmod(F.xxhash64(key), F.lit(bits)), n)
 
 
 def is_set(words: np.ndarray, bit: np.ndarray) -> np.ndarray:

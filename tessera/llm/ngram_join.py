@@ -12,8 +12,10 @@ boundary is the size up to which enumerating is cheaper than scanning, by the me
 Lists are scanned in rounds. Each node is held against neighbours in random orders of its lists, those first with which it
 shares most; linked nodes are merged into components. At last all pairs of a list that are still in different components
 are compared: in short lists one by one, in long ones in blocks, where one of a pair is an outsider to the list's largest
-component. So a group of near copies costs little more than its size, no pair within a component needs a comparison, and
-no link between components is lost. Sets travel once to each pair of blocks of nodes, not to each pair of nodes.
+component. Before that, nodes of long lists whose whole sets share less with all other components together than a link needs
+are out, and the others are held against the hub of each of their lists. So a group of near copies costs little more than its
+size, a common passage costs the sizes of its documents, no pair within a component needs a comparison, and no link between
+components is lost. Sets travel once to each pair of blocks of nodes, not to each pair of nodes.
 
 No task holds a whole list or a group of copies: counts are combined before shuffles, joins on keys are split by adaptive
 execution, long lists are dealt out by salts or blocks. Nothing of the documents passes the driver but the bits of a filter
@@ -36,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm._shared import LOWER_TABLE, Stages, filter_of, is_set, join_back, map_rows, quoted, space_words, table, unused
+from tessera.llm._shared import ARROW_ROWS, LOWER_TABLE, Stages, bitmap_of, filter_of, is_set, join_back, map_rows, quoted, space_words, table, unused
 
 SHINGLE, PERCENT = 4, 85
 #: n-grams listed beyond the prefix that a link needs, in hundredths of the size.
@@ -196,6 +198,7 @@ def _shared_keys(postings: DataFrame, stages: Stages, percent: int, name: str) -
     """
     counts = postings.groupBy("key").agg(F.count("*").cast("int").alias("n"), F.min("node").alias("x"), F.max("node").alias("y"))
     counts = stages.write(counts.filter("x <> y").select("key", "n"), "shared")
+    stages.free()
     found = postings.join(counts, "key").groupBy("node").agg(F.max("size").alias("size"), F.sort_array(F.collect_set(F.struct("n", "key"))).alias("ks"))
     found = stages.write(found.filter(F.size("ks") > _extra(F.col("size"), percent)), name)
     stages.drop("shared")
@@ -399,12 +402,84 @@ def _short_pairs(lists: DataFrame, far: DataFrame, percent: int) -> DataFrame:
     return pairs.filter("n >= least").select("a", "b")
 
 
-def _long_links(rows: DataFrame, far: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _grams_of():
+    """Of each n-gram of a slice: the least and the largest component, whether an outsider has it, and the sets that do."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        grams = [np.frombuffer(g, np.int64) for g in batch.column("grams").to_pylist()]
+        values, each = np.concatenate(grams), np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        order = np.argsort(values, kind="stable")
+        values, each = values[order], each[order]
+        starts = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+        comp, outside = (batch.column(c).to_numpy(zero_copy_only=False)[each] for c in ("comp", "outside"))
+        found = np.minimum.reduceat(comp, starts), np.maximum.reduceat(comp, starts), np.maximum.reduceat(outside, starts)
+        return {"gram": pa.array(values[starts])} | {k: pa.array(v) for k, v in zip("xyo", found, strict=True)} | {"n": pa.array(np.diff(np.append(starts, len(values))))}
+
+    return run
+
+
+def _marked(marks, bits: int, names: list[str], percent: int | None = None):
+    """The rows and ``score``: how many more n-grams are marked than not. percent: only rows of as many as a link needs."""
+
+    def make():
+        def run(batch: pa.RecordBatch) -> dict:
+            grams = [np.frombuffer(g, np.int64) for g in batch.column("grams").to_pylist()]
+            sizes = np.array([len(g) for g in grams], np.int64)
+            found = np.array([is_set(marks.value, g & np.int64(bits - 1)).sum() for g in grams], np.int64)
+            asked = pa.array(found >= least(sizes, percent) if percent else found >= 0)
+            return {n: batch.column(n).filter(asked) for n in names} | {"score": pa.array(2 * found - sizes).filter(asked)}
+
+        return run
+
+    return make
+
+
+def _possible(far: DataFrame, stages: Stages, percent: int) -> tuple[DataFrame, int]:
+    """The far nodes whose whole sets may share what a link needs with other components, and their number.
+
+    far: node, comp, outside, block, grams. A link has an outsider at one end, so each n-gram that it shares is held by two
+    components and an outsider. Both ends have least(size) of them; a filter of bounded size says which are held so, which may
+    keep some nodes too many. score: n-grams that many of the nodes have less the others, most in an original of near copies.
+    """
+    names = ["node", "comp", "outside", "block", "grams"]
+    total = F.coalesce(F.sum(F.length("grams") / 8), F.lit(0.0))
+    far, size = stages.measured(far.select(names), "far", grams=total)
+    ddl = ", ".join(f"{n} {far.schema[n].dataType.simpleString()}" for n in names) + ", score long"
+    for turn in range(PRUNINGS + 1):
+        if not size["n"]:
+            break
+        last = turn == PRUNINGS
+        held = map_rows(far.select("comp", "outside", "grams"), _grams_of, "gram long, x long, y long, o boolean, n long", sized="grams", rows=ARROW_ROWS)
+        if last:
+            found, each = held.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOME_FROM), HOME_FROM
+        else:
+            found, each = held.groupBy("gram").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.max("o").alias("o")).filter("x <> y AND o"), 2
+        marks, bits = bitmap_of(found, lambda bits: F.pmod("gram", F.lit(bits)), int(size["grams"]) // each)
+        kept = map_rows(far.select(names), _marked(marks, bits, names, None if last else percent), ddl, sized="grams")
+        far, size = stages.measured(kept, "far", grams=total)
+        marks.destroy()
+    return far, size["n"]
+
+
+def _hub_links(rows: DataFrame, far: DataFrame, places: DataFrame, percent: int) -> DataFrame:
+    """Links of nodes to the hubs of their long lists, the nodes of the best score; of each node those it has most lists with.
+
+    Near copies of an original that are linked to it alone do not find it by chance.
+    """
+    rows = rows.select("key", "node").join(far.select("node", "comp", "score"), "node")
+    hubs = rows.groupBy("key").agg(F.max_by(F.struct("node", "comp"), F.struct("score", "node")).alias("hub"))
+    met = rows.join(hubs, "key").filter("comp <> hub.comp").groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("*").alias("n"))
+    best = Window.partitionBy("node").orderBy(F.desc("n"), "hub")
+    pairs = met.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= PARTNERS)
+    return _links(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), far.select("node", "grams"), places, percent)
+
+
+def _long_links(rows: DataFrame, far: DataFrame, percent: int) -> DataFrame:
     """Pairs of components that are linked by an outsider and another node of a long list. rows: key, node, block, outside."""
-    per = rows.groupBy("key", "block").agg(F.max("outside").alias("o"))
+    per = rows.join(far.select("node"), "node", "left_semi").groupBy("key", "block").agg(F.max("outside").alias("o"))
     met = per.alias("x").join(per.alias("y"), "key").filter("x.block <= y.block AND (x.o OR y.o)").select(F.col("x.block").alias("x"), F.col("y.block").alias("y")).distinct()
     met = met.select(F.xxhash64("x", "y").alias("met"), F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    held = far.join(sets, "node").select("block", "comp", "outside", "grams")
+    held = far.select("block", "comp", "outside", "grams")
     sent = met.join(held, "block").repartition("met").sortWithinPartitions("met", "block")
 
     def compare(comps: list[int], outside: list[bool], blocks: list[int], sets: list[np.ndarray]) -> set[tuple[int, int]]:
@@ -441,17 +516,35 @@ def _long_links(rows: DataFrame, far: DataFrame, sets: DataFrame, percent: int)
     return sent.mapInArrow(run, "a long, b long").distinct()
 
 
+def _main(rows: DataFrame) -> DataFrame:
+    """key, n, comps and main (the largest component) of each list."""
+    per = rows.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key")
+    return per.agg(F.sum("n").alias("n"), F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
+
+
+def _far(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("node").agg(F.max("outside").alias("outside"), F.first("comp").alias("comp"), F.first("block").alias("block"))
+
+
 def _last_links(lists: DataFrame, sets: DataFrame, places: DataFrame, comp: DataFrame, stages: Stages, percent: int) -> DataFrame:
     """Pairs of components that any link joins. lists: key, node, size, f, comp of the lists with several components."""
-    per = lists.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
-    long = stages.write(per.filter(F.col("n") > LONG_LIST).select("key", "main"), "long")
+    long = stages.write(_main(lists).filter(F.col("n") > LONG_LIST).select("key", "main"), "long")
     rows = lists.join(long, "key").join(places, "node").select("key", "node", "comp", "block", (F.col("comp") != F.col("main")).alias("outside"))
     rows = stages.write(rows, "rows")
-    far, size = stages.measured(rows.groupBy("node").agg(F.max("outside").alias("outside"), F.first("comp").alias("comp"), F.first("block").alias("block")), "far")
+    far, n = _possible(_far(rows).join(sets, "node"), stages, percent)
     pairs = stages.write(_short_pairs(lists.join(long, "key", "left_anti"), far, percent), "pairs")
     found = _between(_links(pairs, sets, places, percent), comp)
-    if size["n"]:
-        found = found.union(_long_links(rows, far, sets, percent))
+    if n:
+        hubs = stages.write(_between(_hub_links(rows, far, places, percent), comp), "hubs")
+        merged = components(hubs, stages).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+        own = far.select("node", "comp", "block").join(merged, "comp", "left").select("node", "block", F.coalesce("to", "comp").alias("comp"))
+        rows = rows.select("key", "node").join(own, "node")
+        rows = rows.join(_main(rows).filter("comps > 1").select("key", "main"), "key").withColumn("outside", F.col("comp") != F.col("main"))
+        rows = stages.write(rows.select("key", "node", "comp", "block", "outside"), "rows")
+        far, n = _possible(_far(rows).join(far.select("node", "grams"), "node"), stages, percent)
+        found = found.union(hubs)
+    if n:
+        found = found.union(_long_links(rows, far, percent))
     return stages.write(found.distinct(), "links")
 
 
@@ -536,6 +629,8 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
         wholes = first.filter("whole IS NOT NULL").select("node", "whole")
         lists = _with_subsets(lists, arrays, wholes, small, stages, percent)
     lists = stages.write(lists, "lists")
+    headers = stages.write(headers, "headers")
+    stages.drop("first")
     places = _places(arrays, stages)
     stages.free()
 
@@ -571,7 +666,7 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
     own = stages.write(labels.withColumn("comp", F.coalesce("comp", "node")), "own")
     least_key = stages.keyed(own.groupBy("comp").agg(F.count("*").alias("k"), F.min("rep").alias("component_id")), "least", "comp", "k")
     labels = stages.keyed(join_back(own, least_key, "comp", "k", "component_id").select("node", "rows", "component_id"), "labels", "node", "rows")
-    stages.drop("lists", "sets", "pairs", "links", "stars", "near", "components*", "open*", "long", "rows", "far", "own", "least", "places", "nodes", "needed")
+    stages.drop("lists", "sets", "pairs", "links", "stars", "near", "components*", "open*", "long", "rows", "far", "hubs", "own", "least", "places", "nodes", "needed")
     stages.free()
     found = join_back(headers, labels, "node", "rows", "component_id")
     own_key = F.when(F.col("_key").isNotNull(), F.coalesce("component_id", "_key")).alias("component_id")
