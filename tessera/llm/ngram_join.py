@@ -43,6 +43,8 @@ from tessera.llm._shared import ARROW_ROWS, LOWER_TABLE, Stages, bitmap_of, filt
 SHINGLE, PERCENT = 4, 85
 #: n-grams listed beyond the prefix that a link needs, in hundredths of the size.
 EXTRA_PERCENT = 4
+#: Parts of the keys that are shuffled one after the other when all prefixes are listed.
+KEY_PARTS = 4
 #: Times that sets which share too little are taken out of the lists.
 PRUNINGS = 2
 #: Rounds over random orders, the neighbours that a node is held against in each list, and the best of them that are compared.
@@ -191,17 +193,26 @@ def _first_pass(n: int, percent: int, whole_to: int):
     return make
 
 
-def _shared_keys(postings: DataFrame, stages: Stages, percent: int, name: str) -> DataFrame:
+def _shared_keys(postings: DataFrame, stages: Stages, percent: int, name: str, parts: int = 1) -> DataFrame:
     """node, size and ks: (n, key) of the keys that other nodes have too, rarest first, of nodes that share enough.
 
-    postings: node, size, key, perhaps repeated. n orders keys; repeated postings may raise it.
+    postings: node, size, key, perhaps repeated. n orders keys; repeated postings may raise it. Keys are shuffled in so many
+    parts, one after the other, so that the disk holds the shuffles of one part only.
     """
-    counts = postings.groupBy("key").agg(F.count("*").cast("int").alias("n"), F.min("node").alias("x"), F.max("node").alias("y"))
-    counts = stages.write(counts.filter("x <> y").select("key", "n"), "shared")
-    stages.free()
-    found = postings.join(counts, "key").groupBy("node").agg(F.max("size").alias("size"), F.sort_array(F.collect_set(F.struct("n", "key"))).alias("ks"))
+    found = None
+    for part in range(parts):
+        mine = postings.filter(F.pmod("key", F.lit(parts)) == part) if parts > 1 else postings
+        counts = mine.groupBy("key").agg(F.count("*").cast("int").alias("n"), F.min("node").alias("x"), F.max("node").alias("y"))
+        counts = stages.write(counts.filter("x <> y").select("key", "n"), "shared")
+        stages.free()
+        hits = mine.join(counts, "key").select("node", "size", "n", "key")
+        if parts > 1:
+            hits = stages.write(hits, "hits")
+            stages.free()
+        found = hits if found is None else found.union(hits)
+    found = found.groupBy("node").agg(F.max("size").alias("size"), F.sort_array(F.collect_set(F.struct("n", "key"))).alias("ks"))
     found = stages.write(found.filter(F.size("ks") > _extra(F.col("size"), percent)), name)
-    stages.drop("shared")
+    stages.drop("shared", "hits")
     return found
 
 
@@ -617,7 +628,7 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
     nodes = stages.write(nodes, "nodes")
 
     postings = first.filter("prefix IS NOT NULL").select("node", F.col("n_shingles").cast("int").alias("size"), F.explode("prefix").alias("key"))
-    arrays = _shared_keys(postings, stages, percent, "arrays0")
+    arrays = _shared_keys(postings, stages, percent, "arrays0", KEY_PARTS)
     for k in range(1, PRUNINGS):
         stages.free()
         arrays = _shared_keys(arrays.select("node", "size", F.explode("ks.key").alias("key")), stages, percent, f"arrays{k}")

@@ -56,3 +56,18 @@ def test_pruned_sets_lose_no_link(spark, long_list, monkeypatch):
     r = np.random.default_rng(4)
     texts = [*passages(r), *star(r)[:40]]
     assert joined(ngram_join.ngram_join(docs_of(spark, texts))) == brute_components(dict(enumerate(texts)), 4, 85)
+
+
+def test_prefixes_are_shuffled_in_parts(spark, monkeypatch):
+    """No part of the keys is much more than its share, and none is lost."""
+    held, old = [], ngram_join.Stages.write
+
+    def write(self, df, name="t"):
+        out = old(self, df, name)
+        held.extend([out.count()] if name == "hits" else [])
+        return out
+
+    monkeypatch.setattr(ngram_join.Stages, "write", write)
+    texts = star(np.random.default_rng(6))[:30] + [f"{k} {' '.join(f'a{k}_{i}' for i in range(60))}{' x' * j}" for k in range(60) for j in range(2)]
+    assert {r.doc_id for r in ngram_join.deduplicate(docs_of(spark, texts)).collect()} == {k for k, v in brute_components(dict(enumerate(texts)), 5, 80).items() if v[1] == k}
+    assert len(held) == ngram_join.KEY_PARTS > 1 and max(held) < 0.5 * sum(held)
