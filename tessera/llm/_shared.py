@@ -163,41 +163,51 @@ class Stages:
 BITS_A_KEY, MAX_BITS = 16, 1 << 28
 
 
-def _bitmap(ids: DataFrame, bit, bits: int) -> np.ndarray:
-    """A bitmap of a fixed size of all the ids' places. Executors make its blocks, so the driver takes bits/8 bytes at most."""
-    shift = 19
+#: Bits of a block of a bitmap, as a power of two.
+BLOCK_BITS = 19
 
-    def run(batches):
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            at = batch.column("bit").to_numpy(zero_copy_only=False)
-            for block in np.unique(at >> shift).tolist():
-                mine = at[at >> shift == block] & ((1 << shift) - 1)
-                marks = held.setdefault(block, np.zeros((1 << shift) // 32, np.uint32))
-                np.bitwise_or.at(marks, mine >> 5, np.uint32(1) << (mine & 31).astype(np.uint32))
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([m.tobytes() for m in held.values()], pa.binary())], names=["block", "marks"])
 
-    rows = ids.select(bit.alias("bit")).repartition(F.expr(f"shiftright(bit, {shift})")).mapInArrow(run, "block long, marks binary")
-    out = np.zeros(bits // 32, np.uint32)
-    for r in rows.collect():
-        at = r.block << (shift - 5)
-        out[at : at + (1 << (shift - 5))] = np.frombuffer(r.marks, np.uint32)
-    return out
+def bits_for(n: int) -> int:
+    """Bits of a bitmap of n values, a power of two."""
+    return min(MAX_BITS, 1 << max(20, (n * BITS_A_KEY).bit_length()))
 
 
-def bitmap_of(ids: DataFrame, place: Callable[[int], Column], n: int):
-    """A broadcast bitmap of the places of n rows and its number of bits, a power of two. place: from that number to a row's place."""
-    bits = min(MAX_BITS, 1 << max(20, (n * BITS_A_KEY).bit_length()))
-    return ids.sparkSession.sparkContext.broadcast(_bitmap(ids, place(bits), bits)), bits
+def mark(block: np.ndarray | None, at: np.ndarray) -> np.ndarray:
+    """A block of a bitmap, a new one if None, with these places marked too."""
+    block = np.zeros((1 << BLOCK_BITS) // 32, np.uint32) if block is None else block
+    np.bitwise_or.at(block, at >> 5, np.uint32(1) << (at & 31).astype(np.uint32))
+    return block
+
+
+def broadcast_blocks(rows: DataFrame, bits: int, *names: str):
+    """Broadcasts a bitmap from each of these columns of blocks. The driver takes bits/8 bytes a column at most."""
+    out = [np.zeros(bits // 32, np.uint32) for _ in names]
+    for r in rows.collect():
+        at = r.block << (BLOCK_BITS - 5)
+        for words, name in zip(out, names, strict=True):
+            words[at : at + (1 << (BLOCK_BITS - 5))] = np.frombuffer(r[name], np.uint32)
+    return rows.sparkSession.sparkContext.broadcast(out if len(out) > 1 else out[0])
 
 
 def filter_of(ids: DataFrame, key: str, n: int):
     """A broadcast filter of a column's n values (by their xxhash64) and its number of bits.
 
     It lets through all of them, and few others unless they are more than the bits allow for; an exact step must follow.
+    Executors make its blocks.
     """
-    return bitmap_of(ids, lambda bits: F.pmod(F.xxhash64(key), F.lit(bits)), n)
+    bits = bits_for(n)
+
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column("bit").to_numpy(zero_copy_only=False)
+            for block in np.unique(at >> BLOCK_BITS).tolist():
+                held[block] = mark(held.get(block), at[at >> BLOCK_BITS == block] & ((1 << BLOCK_BITS) - 1))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([m.tobytes() for m in held.values()], pa.binary())], names=["block", "marks"])
+
+    rows = ids.select(F.pmod(F.xxhash64(key), F.lit(bits)).alias("bit")).repartition(F.expr(f"shiftright(bit, {BLOCK_BITS})"))
+    return broadcast_blocks(rows.mapInArrow(run, "block long, marks binary"), bits, "marks"), bits
 
 
 def is_set(words: np.ndarray, bit: np.ndarray) -> np.ndarray:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm._shared import ARROW_ROWS, LOWER_TABLE, Stages, bitmap_of, filter_of, is_set, join_back, map_rows, quoted, space_words, table, unused
+from tessera.llm._shared import ARROW_ROWS, BLOCK_BITS, LOWER_TABLE, Stages, bits_for, broadcast_blocks, filter_of, is_set, join_back, map_rows, mark, quoted, space_words, table, unused
 
 SHINGLE, PERCENT = 4, 85
 #: n-grams listed beyond the prefix that a link needs, in hundredths of the size.
@@ -55,6 +55,10 @@ LIST_ROWS = 1000
 HOME_FROM = 8
 #: Lists of more nodes are not enumerated by pairs but compared in blocks.
 LONG_LIST = 64
+#: Ranges of hashes, in quarters of all, by which sets of long lists are pruned one after the other; prefixes come from the first.
+QUARTERS = ((3, 4), (2, 3), (0, 2))
+#: An n-gram of several sets: the least and the largest component, whether an outsider has it, and how many sets do.
+_HELD = np.dtype([("gram", "<i8"), ("x", "<i8"), ("y", "<i8"), ("outside", "?"), ("n", "<i4")])
 #: Bytes of n-grams of a block of nodes; two blocks meet in a task.
 BLOCK_BYTES = 3_000_000
 #: Components of up to so many links are found in one task, of more by stars.
@@ -413,61 +417,117 @@ def _short_pairs(lists: DataFrame, far: DataFrame, percent: int) -> DataFrame:
     return pairs.filter("n >= least").select("a", "b")
 
 
-def _grams_of():
-    """Of each n-gram of a slice: the least and the largest component, whether an outsider has it, and the sets that do."""
+def _merged_grams(held: np.ndarray) -> np.ndarray:
+    """One entry of each n-gram: the least and the largest component, whether an outsider has it, and the sets that do."""
+    held = held[np.argsort(held["gram"], kind="stable")]
+    starts = np.flatnonzero(np.append(True, held["gram"][1:] != held["gram"][:-1])) if len(held) else np.empty(0, np.int64)
+    out = held[starts]
+    for name, of in (("x", np.minimum), ("y", np.maximum), ("outside", np.maximum), ("n", np.add)):
+        out[name] = of.reduceat(held[name], starts) if len(held) else held[name]
+    return out
 
-    def run(batch: pa.RecordBatch) -> dict:
-        grams = [np.frombuffer(g, np.int64) for g in batch.column("grams").to_pylist()]
-        values, each = np.concatenate(grams), np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        order = np.argsort(values, kind="stable")
-        values, each = values[order], each[order]
-        starts = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
-        comp, outside = (batch.column(c).to_numpy(zero_copy_only=False)[each] for c in ("comp", "outside"))
-        found = np.minimum.reduceat(comp, starts), np.maximum.reduceat(comp, starts), np.maximum.reduceat(outside, starts)
-        return {"gram": pa.array(values[starts])} | {k: pa.array(v) for k, v in zip("xyo", found, strict=True)} | {"n": pa.array(np.diff(np.append(starts, len(values))))}
 
-    return run
+def _in_range(grams: bytes, lo: int, hi: int) -> np.ndarray:
+    """The set's n-grams in these of the QUARTERS of all hashes; sets are ascending."""
+    s = np.frombuffer(grams, _U)
+    at, to = np.searchsorted(s, _U(lo << 62)), len(s) if hi == 4 else np.searchsorted(s, _U(hi << 62))
+    return s[at:to].view(np.int64)
+
+
+def _grams_of(lo: int, hi: int, bits: int):
+    """The n-grams of a slice of sets, one entry each, by the block of the bitmap that they stand in."""
+
+    def make():
+        def run(batch: pa.RecordBatch) -> dict:
+            grams = [_in_range(g, lo, hi) for g in batch.column("grams").to_pylist()]
+            each = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+            held = np.empty(len(each), _HELD)
+            held["gram"], held["n"] = np.concatenate(grams), 1
+            held["x"] = held["y"] = batch.column("comp").to_numpy(zero_copy_only=False)[each]
+            held["outside"] = batch.column("outside").to_numpy(zero_copy_only=False)[each]
+            held = _merged_grams(held)
+            block = (held["gram"] & np.int64(bits - 1)) >> BLOCK_BITS
+            order = np.argsort(block, kind="stable")
+            held, block = held[order], block[order]
+            starts = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block)) if len(block) else np.zeros(1, np.int64)
+            parts = [held[x:y].tobytes() for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+            return {"block": pa.array(block[starts[:-1]], pa.int64()), "held": pa.array(parts, pa.binary())}
+
+        return run
+
+    return make
+
 
+def _marks(far: DataFrame, lo: int, hi: int, n: int, often: bool):
+    """Broadcast bitmaps of the n-grams that two components and an outsider have and, if asked, of those of many sets; bits.
 
-def _marked(marks, bits: int, names: list[str], percent: int | None = None):
-    """The rows and ``score``: how many more n-grams are marked than not. percent: only rows of as many as a link needs."""
+    far holds about n n-grams of the range. A task sends one row to each block of the bitmap, so their number grows with the
+    n-grams by tasks and blocks, not one by one. A block holds about as many n-grams whatever n is, up to MAX_BITS.
+    """
+    bits = bits_for(n)
+
+    def run(batches):
+        def marked(held: list[bytes], block: int):
+            found = _merged_grams(np.frombuffer(b"".join(held), _HELD))
+            at = found["gram"] & np.int64((1 << BLOCK_BITS) - 1)
+            shared = mark(None, at[(found["x"] != found["y"]) & found["outside"]]).tobytes()
+            many = mark(None, at[found["n"] >= HOME_FROM]).tobytes() if often else None
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([shared], pa.binary()), pa.array([many], pa.binary())], names=["block", "shared", "many"])
+
+        held, block = [], 0
+        for new, (blocks, parts) in _by_group(batches, ("block", "held"), "block"):
+            if new and held:
+                yield marked(held, block)
+                held = []
+            block = blocks[0].as_py()
+            held += parts.to_pylist()
+        if held:
+            yield marked(held, block)
+
+    sent = map_rows(far.select("comp", "outside", "grams"), _grams_of(lo, hi, bits), "block long, held binary", sized="grams", rows=ARROW_ROWS)
+    rows = sent.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, shared binary, many binary")
+    return broadcast_blocks(rows, bits, *["shared", "many"][: 1 + often]), bits
+
+
+def _marked(marks, scored: bool, lo: int, hi: int, bits: int, names: list[str], percent: int):
+    """The rows that lack no more n-grams than a link allows. missing, score: with what this range adds to them."""
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
-            grams = [np.frombuffer(g, np.int64) for g in batch.column("grams").to_pylist()]
-            sizes = np.array([len(g) for g in grams], np.int64)
-            found = np.array([is_set(marks.value, g & np.int64(bits - 1)).sum() for g in grams], np.int64)
-            asked = pa.array(found >= least(sizes, percent) if percent else found >= 0)
-            return {n: batch.column(n).filter(asked) for n in names} | {"score": pa.array(2 * found - sizes).filter(asked)}
+            sets = batch.column("grams").to_pylist()
+            sizes, grams = np.array([len(g) // 8 for g in sets], np.int64), [_in_range(g, lo, hi) & np.int64(bits - 1) for g in sets]
+            own = np.array([len(g) for g in grams], np.int64)
+            found = [np.array([is_set(m, g).sum() for g in grams], np.int64) for m in (marks.value if scored else [marks.value])]
+            missing = batch.column("missing").to_numpy(zero_copy_only=False) + own - found[0]
+            score = batch.column("score").to_numpy(zero_copy_only=False) + 2 * found[-1] - own
+            asked = pa.array(missing <= sizes - least(sizes, percent))
+            return {n: batch.column(n).filter(asked) for n in names} | {"missing": pa.array(missing).filter(asked), "score": pa.array(score).filter(asked)}
 
         return run
 
     return make
 
 
-def _possible(far: DataFrame, stages: Stages, percent: int) -> tuple[DataFrame, int]:
+def _possible(far: DataFrame, stages: Stages, percent: int, scored: bool = False) -> tuple[DataFrame, int]:
     """The far nodes whose whole sets may share what a link needs with other components, and their number.
 
     far: node, comp, outside, block, grams. A link has an outsider at one end, so each n-gram that it shares is held by two
     components and an outsider. Both ends have least(size) of them; a filter of bounded size says which are held so, which may
-    keep some nodes too many. score: n-grams that many of the nodes have less the others, most in an original of near copies.
+    keep some nodes too many. The n-grams are counted by ranges of their hashes, and a node is out as soon as it lacks more
+    than a link allows, so most sets of a common passage are held by a part of their n-grams only. scored, score: n-grams that
+    many of the nodes have less the others, most in an original of near copies.
     """
     names = ["node", "comp", "outside", "block", "grams"]
     total = F.coalesce(F.sum(F.length("grams") / 8), F.lit(0.0))
-    far, size = stages.measured(far.select(names), "far", grams=total)
-    ddl = ", ".join(f"{n} {far.schema[n].dataType.simpleString()}" for n in names) + ", score long"
-    for turn in range(PRUNINGS + 1):
+    zero = F.lit(0).cast("long")
+    far, size = stages.measured(far.select(*names, zero.alias("missing"), zero.alias("score")), "far", grams=total)
+    ddl = ", ".join(f"{n} {far.schema[n].dataType.simpleString()}" for n in far.columns)
+    for lo, hi in QUARTERS:
         if not size["n"]:
             break
-        last = turn == PRUNINGS
-        held = map_rows(far.select("comp", "outside", "grams"), _grams_of, "gram long, x long, y long, o boolean, n long", sized="grams", rows=ARROW_ROWS)
-        if last:
-            found, each = held.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOME_FROM), HOME_FROM
-        else:
-            found, each = held.groupBy("gram").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.max("o").alias("o")).filter("x <> y AND o"), 2
-        marks, bits = bitmap_of(found, lambda bits: F.pmod("gram", F.lit(bits)), int(size["grams"]) // each)
-        kept = map_rows(far.select(names), _marked(marks, bits, names, None if last else percent), ddl, sized="grams")
-        far, size = stages.measured(kept, "far", grams=total)
+        # an n-gram that counts is held twice
+        marks, bits = _marks(far, lo, hi, int(size["grams"]) * (hi - lo) // 8, scored)
+        far, size = stages.measured(map_rows(far, _marked(marks, scored, lo, hi, bits, names, percent), ddl, sized="grams"), "far", grams=total)
         marks.destroy()
     return far, size["n"]
 
@@ -542,7 +602,7 @@ def _last_links(lists: DataFrame, sets: DataFrame, places: DataFrame, comp: Data
     long = stages.write(_main(lists).filter(F.col("n") > LONG_LIST).select("key", "main"), "long")
     rows = lists.join(long, "key").join(places, "node").select("key", "node", "comp", "block", (F.col("comp") != F.col("main")).alias("outside"))
     rows = stages.write(rows, "rows")
-    far, n = _possible(_far(rows).join(sets, "node"), stages, percent)
+    far, n = _possible(_far(rows).join(sets, "node"), stages, percent, scored=True)
     pairs = stages.write(_short_pairs(lists.join(long, "key", "left_anti"), far, percent), "pairs")
     found = _between(_links(pairs, sets, places, percent), comp)
     if n:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_llm import brute_components, docs_of, joined
 
 from tessera.llm import ngram_join
@@ -71,3 +72,24 @@ def test_prefixes_are_shuffled_in_parts(spark, monkeypatch):
     texts = star(np.random.default_rng(6))[:30] + [f"{k} {' '.join(f'a{k}_{i}' for i in range(60))}{' x' * j}" for k in range(60) for j in range(2)]
     assert {r.doc_id for r in ngram_join.deduplicate(docs_of(spark, texts)).collect()} == {k for k, v in brute_components(dict(enumerate(texts)), 5, 80).items() if v[1] == k}
     assert len(held) == ngram_join.KEY_PARTS > 1 and max(held) < 0.5 * sum(held)
+
+
+def test_ngrams_of_a_group_are_counted_in_parts(spark, monkeypatch):
+    """A passage's sets are out before most of their n-grams are counted, and n-grams travel by blocks, not one by one."""
+    held, rows, counted, old = [], [], [], ngram_join.map_rows
+
+    def seen(df, make, ddl, **more):
+        out = old(df, make, ddl, **more)
+        if df.columns == ["comp", "outside", "grams"]:
+            one = out.select(F.length("held") / ngram_join._HELD.itemsize) if "held" in out.columns else out.select(F.lit(1))
+            sent = one.toDF("n").agg(F.count("*"), F.sum("n")).first()
+            held.append(df.agg(F.sum(F.length("grams") / 8)).first()[0])
+            rows.append(sent[0])
+            counted.append(sent[1])
+        return out
+
+    monkeypatch.setattr(ngram_join, "map_rows", seen)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+    texts = passages(np.random.default_rng(7))
+    assert joined(ngram_join.ngram_join(docs_of(spark, texts))) == brute_components(dict(enumerate(texts)), 4, 85)
+    assert held and sum(rows) < held[0] / 20 and sum(counted) < held[0] / 2
