@@ -74,7 +74,8 @@ def test_prefixes_are_shuffled_in_parts(spark, monkeypatch):
     assert len(held) == ngram_join.KEY_PARTS > 1 and max(held) < 0.5 * sum(held)
 
 
-def test_ngrams_of_a_group_are_counted_in_parts(spark, monkeypatch):
+@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
+def test_ngrams_of_a_group_are_counted_in_parts(spark, n, percent, monkeypatch):
     """A passage's sets are out before most of their n-grams are counted, and n-grams travel by blocks, not one by one."""
     held, rows, counted, old = [], [], [], ngram_join.map_rows
 
@@ -91,5 +92,5 @@ def test_ngrams_of_a_group_are_counted_in_parts(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "map_rows", seen)
     monkeypatch.setattr(ngram_join, "ROUNDS", 0)
     texts = passages(np.random.default_rng(7))
-    assert joined(ngram_join.ngram_join(docs_of(spark, texts))) == brute_components(dict(enumerate(texts)), 4, 85)
+    assert joined(ngram_join.ngram_join(docs_of(spark, texts), n=n, percent=percent)) == brute_components(dict(enumerate(texts)), n, percent)
     assert held and sum(rows) < held[0] / 20 and sum(counted) < held[0] / 2
