@@ -252,6 +252,14 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def with_plain_names(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The frame and the function for its mapInArrow, which cannot take names with backticks; the function sees the own names."""
+    names = df.columns
+    if not any("`" in c for c in names):
+        return df, run
+    return df.toDF(*[f"_{k}" for k in range(len(names))]), lambda batches: run(b.rename_columns(names) for b in batches)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list] | None]], ddl: str, sized: str | None = None, rows: int = SLICE_ROWS) -> DataFrame:
     """mapInArrow in slices of bounded rows and, by the column ``sized``, bounded bytes. ``make`` runs once a task and gives the function from a slice to columns."""
 
@@ -265,7 +273,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[s
                 if (out := f(part)) is not None:
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip((out[n] for n in schema.names), schema.types, strict=True)], schema=schema)
 
-    return df.mapInArrow(run, ddl)
+    plain, run_plain = with_plain_names(df, run)
+    return plain.mapInArrow(run_plain, ddl)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

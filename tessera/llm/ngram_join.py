@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm._shared import ARROW_ROWS, BLOCK_BITS, LOWER_TABLE, Stages, bits_for, broadcast_blocks, filter_of, is_set, join_back, map_rows, mark, quoted, space_words, table, unused
+from tessera.llm._shared import ARROW_ROWS, BLOCK_BITS, LOWER_TABLE, Stages, bits_for, broadcast_blocks, filter_of, is_set, join_back, map_rows, mark, quoted, space_words, table, unused, with_plain_names
 
 SHINGLE, PERCENT = 4, 85
 #: n-grams listed beyond the prefix that a link needs, in hundredths of the size.
@@ -761,7 +761,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", n: int = 5, percent: int =
                 found = is_set(bits.value, batch.column(bit).to_numpy(zero_copy_only=False))
                 yield batch.filter(pa.array(found == inside)).drop_columns([bit])
 
-        return docs.withColumn(bit, F.pmod(F.xxhash64(F.col(quoted(key))), F.lit(size))).mapInArrow(run, docs.schema)
+        plain, run_plain = with_plain_names(docs.withColumn(bit, F.pmod(F.xxhash64(F.col(quoted(key))), F.lit(size))), run)
+        return plain.mapInArrow(run_plain, docs.schema)
 
     # most documents pass by the filter alone; only the rest are shuffled for the exact answer
     rest = passed(inside=True)
