@@ -117,6 +117,52 @@ def test_dbscan_and_within(spark):
     assert labels[0] == 0 and labels[30] == 1 and labels[60] == -1
 
 
+def plain_dbscan(x, radius2, least):
+    """Labels of cores (None: no core), and each row's near rows."""
+    near = sum((x[:, None, k] - x[None, :, k]) ** 2 for k in range(x.shape[1])) <= radius2
+    np.fill_diagonal(near, True)
+    core, label, k = near.sum(1) >= least, [None] * len(x), 0
+    for i in np.flatnonzero(core):
+        if label[i] is None:
+            stack = [i]
+            while stack:
+                j = stack.pop()
+                if label[j] is None:
+                    label[j] = k
+                    stack += list(np.flatnonzero(near[j] & core))
+            k += 1
+    return label, near
+
+
+@pytest.mark.parametrize(("least", "columns"), [(1, 2), (8, 2), (4, 4)])
+def test_neighbours_of_repeated_places(spark, least, columns):
+    """Rows that share places, and odd ones: pairs, clusters and the least near core of the rest, against plain loops."""
+    r = np.random.default_rng(least)
+    x = np.round(r.uniform(-2, 2, (260, columns)), 1)
+    x[:40] = x[0]
+    x[-1, 0], x[-2, -1] = np.nan, np.inf
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, " + ", ".join(f"c{k} double" for k in range(columns)))
+    names = [f"c{k}" for k in range(columns)]
+    with np.errstate(invalid="ignore"):
+        label, near = plain_dbscan(x, 0.05, least)
+    want = {(i, j) for i in range(260) for j in range(i + 1, 260) if near[i, j]}
+    got = [(p.i, p.j) for p in joins.within(df, "id", names, 0.05).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    label = [next((label[j] for j in np.flatnonzero(near[i]) if label[j] is not None), -1) if label[i] is None else label[i] for i in range(260)]
+    own = {p.id: p.label for p in models.dbscan(df, "id", names, 0.05, least).collect()}
+    kept = [i for i in range(260) if np.isfinite(x[i]).all()]
+    assert {i: own[i] for i in kept} == {i: label[i] for i in kept} and len(own) == 260
+
+
+def test_rows_of_one_place_pass_as_arrays(spark):
+    """Joins of repeated places grow by places, not rows: no plan broadcasts rows, and none joins single rows."""
+    df = spark.range(50_000).select("id", (F.col("id") % 10).cast("double").alias("a"))
+    labels = models.dbscan(df, "id", ["a"], 0.25, 3)
+    assert {tuple(r) for r in labels.groupBy("label").count().collect()} == {(k, 5000) for k in range(10)}
+    plan = joins.within(df, "id", ["a"], 0.25)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "collect_list" in plan
+
+
 def test_stream_equals_batch(spark, small, tmp_path):
     rows = spark.read.parquet(f"{small}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
