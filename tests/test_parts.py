@@ -163,6 +163,24 @@ def test_rows_of_one_place_pass_as_arrays(spark):
     assert "BroadcastHashJoin" not in plan and "collect_list" in plan
 
 
+def test_tiles_of_neighbours():
+    """A task's k nearest by tiles equal those of all distances, and take the memory of one tile (64 MB for all distances)."""
+    import tracemalloc
+
+    r, n, k = np.random.default_rng(5), 2900, 4
+    x, ids = np.round(r.normal(size=(n, 3)), 1) + 50, np.arange(n)
+    held, keys, bad = np.full((n, k), np.inf), np.full((n, k), n), np.zeros(n, bool)
+    tracemalloc.start()
+    for at in range(0, n, joins.TILE):
+        joins.nearer(ids, x, held, keys, bad, ids[at : at + joins.TILE], x[at : at + joins.TILE])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    d = sum((x[:, None, c] - x[None, :, c]) ** 2 for c in range(3))
+    np.fill_diagonal(d, np.inf)
+    want = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
+    assert (keys == want).all() and (held == np.take_along_axis(d, want, 1)).all() and not bad.any() and peak < 48e6
+
+
 def test_stream_equals_batch(spark, small, tmp_path):
     rows = spark.read.parquet(f"{small}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
