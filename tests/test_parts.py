@@ -181,6 +181,29 @@ def test_tiles_of_neighbours():
     assert (keys == want).all() and (held == np.take_along_axis(d, want, 1)).all() and not bad.any() and peak < 48e6
 
 
+def test_pairs_of_two_columns_by_sorting(monkeypatch):
+    """Medians of slopes, distance correlation and energy distance without arrays of all pairs, against those with them."""
+    import tracemalloc
+
+    from tessera.functions import samples
+
+    r = np.random.default_rng(6)
+    cases = [(r.normal(size=n), r.normal(size=n)) for n in (40, 41, 60)] + [(r.integers(0, 9, 70) * 1.0, r.integers(0, 5, 70) * 1.0)]
+    want = [(kernels.theil_sen(x, y)["slope"], samples.distance_correlation(x, y)) for x, y in cases]
+    monkeypatch.setattr(kernels, "DIRECT", 10)
+    got = [(kernels.theil_sen(x, y)["slope"], samples.distance_correlation(x, y)) for x, y in cases]
+    assert np.array(got) == pytest.approx(np.array(want), rel=1e-9, abs=1e-9)
+    d = lambda a, b: np.abs(a[:, None] - b[None]).mean()
+    for x, y in cases:
+        assert samples.energy_distance(x, y[:-3]) == pytest.approx(2 * d(x, y[:-3]) - d(x, x) - d(y[:-3], y[:-3]))
+    x, y = r.normal(size=(2, 4000))
+    tracemalloc.start()
+    kernels.theil_sen(x, y), samples.distance_correlation(x, y), samples.energy_distance(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8e6
+
+
 def test_stream_equals_batch(spark, small, tmp_path):
     rows = spark.read.parquet(f"{small}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
