@@ -204,6 +204,20 @@ def test_pairs_of_two_columns_by_sorting(monkeypatch):
     assert peak < 8e6
 
 
+def test_garch_asks_each_point_once(monkeypatch):
+    """The search over a series equals the recurrence by hand at its end, and takes one likelihood a point tried (numpy, not scalars)."""
+    asked, log = [], np.log
+    r = np.random.default_rng(7).normal(size=200)
+    monkeypatch.setattr(kernels.np, "log", lambda x: asked.append(len(x)) or log(x))
+    found = kernels.garch(r, 5)
+    monkeypatch.undo()
+    h, total = float(r.var()), 0.0
+    for x in r:
+        total -= 0.5 * (math.log(2 * math.pi * h) + x * x / h)
+        h = found["omega"] + found["alpha"] * x * x + found["beta"] * h
+    assert found["loglik"] == pytest.approx(total, rel=1e-9) and 0 < len(asked) <= 1 + 5 * 8 and set(asked) == {200}
+
+
 def test_stream_equals_batch(spark, small, tmp_path):
     rows = spark.read.parquet(f"{small}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
