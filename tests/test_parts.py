@@ -218,6 +218,21 @@ def test_garch_asks_each_point_once(monkeypatch):
     assert found["loglik"] == pytest.approx(total, rel=1e-9) and 0 < len(asked) <= 1 + 5 * 8 and set(asked) == {200}
 
 
+def test_ordered_statistics_take_ranges(spark, monkeypatch):
+    """Statistics of a column in order need no task of all rows, and equal the kernels over the whole column."""
+    from tessera.functions import dynamics, samples
+
+    x = np.random.default_rng(8).normal(size=3000)
+    x[100:120] = x[100]
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)] + [(5000, None), (5001, float("nan"))], "i long, x double").repartition(7)
+    monkeypatch.setattr(chain.Context, "compute_on", staticmethod(lambda *a: pytest.fail("one task of all rows")))
+    text = "zero_crossing_rate().cesaro_sum().harmonic_r_stat().entropy().sign_test(median=0.1).realized_variance().realized_volatility()"
+    got = [v for _, v in chain.run(df, text, ["x"], ["i"]).outputs]
+    want = [dynamics.zero_crossing_rate(x), dynamics.cesaro(x), dynamics.spacing_ratio(x), samples.histogram_entropy(x), samples.sign_test(x, 0.1), (x * x).sum(), (x * x).sum() ** 0.5]
+    for a, b in zip(got, want, strict=True):
+        assert a == pytest.approx(b, rel=1e-9)
+
+
 def test_stream_equals_batch(spark, small, tmp_path):
     rows = spark.read.parquet(f"{small}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
